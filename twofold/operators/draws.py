@@ -59,19 +59,49 @@ def draw_index(allocated: DataFrame, per_model: int = 4000, seed: int = 52399832
 # Parameters as contrasts of group estimates --------------------------------
 
 
-def _parts(form: str, kind: str, term: str, level: Column, role: str, group: Column, coef) -> Column:
-    coef = coef if isinstance(coef, Column) else F.lit(float(coef))
+def _part(form: str, kind: str, term: str, level, role: str, group, coef) -> Column:
+    def col(v):
+        return v if isinstance(v, Column) else F.lit(v)
+
     return F.struct(
         F.lit(form).alias("form"),
         F.lit(kind).alias("kind"),
         F.lit(term).alias("term"),
-        level.alias("level"),
+        col(level).alias("level"),
         F.lit(role).alias("role"),
-        group.alias("group_level"),
-        coef.cast("double").alias("coef"),
+        col(group).alias("group_level"),
+        col(coef).cast("double").alias("coef"),
     )
 
 
+def _one_factor(form: str, term: str, level: Column, ref: str, role: str = "fixed") -> list[Column]:
+    """Intercept at the reference level, offsets elsewhere."""
+    away = level != ref
+    return [
+        F.when(~away, _part(form, "intercept", "intercept", "", role, ref, 1.0)),
+        F.when(away, _part(form, "fixed", term, level, role, level, 1.0)),
+        F.when(away, _part(form, "fixed", term, level, role, F.lit(ref), -1.0)),
+    ]
+
+
+def _crossed(form: str, term: str, first: Column, ref: str, name: Column, base: str) -> list[Column]:
+    """Source offsets at the first factor's reference, and interactions."""
+    s = F.col("source_site")
+
+    def cell(x, y):
+        x = F.lit(x) if isinstance(x, str) else x
+        y = F.lit(y) if isinstance(y, str) else y
+        return F.concat_ws("|", x, y)
+
+    source = (first == ref) & (s != base)
+    both = (first != ref) & (s != base)
+    signs = ((cell(first, s), 1.0), (cell(first, base), -1.0), (cell(ref, s), -1.0), (cell(ref, base), 1.0))
+    return [
+        F.when(source, _part(form, "fixed", "source", s, "fixed", cell(ref, s), 1.0)),
+        F.when(source, _part(form, "fixed", "source", s, "fixed", cell(ref, base), -1.0)),
+    ] + [F.when(both, _part(form, "interaction", term, name, "fixed", g, c)) for g, c in signs]
+
+
 def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
     """Each parameter as a sum of group estimates.
 
@@ -80,99 +110,77 @@ def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
     if it has none; host offsets are taken from there. The table is bounded by
     the number of factor levels.
     """
-    none = F.lit("")
-    out = []
-
-    def add(df: DataFrame, *rows: Column):
-        out.append(df.select(F.inline(F.array(*rows))))
-
-    def simple(form: str, term: str, column: str, ref: str, role: str = "fixed", kind: str = "fixed"):
-        level = F.col(column).cast("string")
-        lv = cells.select(level.alias("lv")).distinct()
-        add(lv.where(F.col("lv") == ref), _parts(form, "intercept", "intercept", none, role, F.col("lv"), 1))
-        add(
-            lv.where(F.col("lv") != ref),
-            _parts(form, kind, term, F.col("lv"), role, F.col("lv"), 1),
-            _parts(form, kind, term, F.col("lv"), role, F.lit(ref), -1),
+    host, genus, source = F.col("host_site"), F.col("genus"), F.col("source_site")
+    native, family, block = F.col("native").cast("string"), F.col("family"), F.col("block")
+    at_base = (source == design.source) & (genus == design.genus)
+    off_base = (source == design.source) & (genus != design.genus)
+    ref_pair = F.lit(f"{design.genus}|{design.source}")
+    parts = (
+        _one_factor("source", "source", source, design.source)
+        + _one_factor("genus", "genus", genus, design.genus)
+        + _one_factor("native", "native", native, "false")
+        + _one_factor("source_family", "source", source, design.source, role="parent")
+        + _crossed(
+            "genus_source", "genus:source", genus, design.genus, F.concat_ws(":", genus, source), design.source
         )
-
-    simple("source", "source", "source_site", design.source)
-    simple("genus", "genus", "genus", design.genus)
-    simple("native", "native", "native", "false")
+        + _crossed(
+            "host_source", "source:host", host, design.host, F.concat_ws(":", source, host), design.source
+        )
+        + [
+            F.when(at_base, _part("genus_source", "intercept", "intercept", "", "fixed", ref_pair, 1.0)),
+            F.when(
+                off_base,
+                _part("genus_source", "fixed", "genus", genus, "fixed", F.concat_ws("|", genus, source), 1.0),
+            ),
+            F.when(off_base, _part("genus_source", "fixed", "genus", genus, "fixed", ref_pair, -1.0)),
+            _part("source_family", "random", "(1|family)", family, "random", family, 1.0),
+            _part("block", "intercept", "intercept", "", "parent", "all", 1.0),
+            _part("block", "random", "(1|block)", block, "random", block, 1.0),
+        ]
+    )
+    rows = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    plain = cells.select(F.inline(rows)).distinct()
 
     # Hosts nested in genus.
     hosts = cells.select("host_site", "genus").distinct()
-    is_ref = F.col("host_site") == design.host
+    is_ref = host == design.host
     per_genus = Window.partitionBy("genus")
-    base = hosts.withColumn("has_ref", F.max(is_ref.cast("int")).over(per_genus)).where(
-        (F.col("has_ref") == 0) | is_ref
+    base = (
+        hosts.withColumn("has_ref", F.max(is_ref.cast("int")).over(per_genus))
+        .where((F.col("has_ref") == 0) | is_ref)
+        .select(
+            "genus",
+            F.col("host_site").alias("base_host"),
+            (F.lit(1.0) / F.count(F.lit(1)).over(per_genus)).alias("w"),
+        )
     )
-    base = base.select(
-        F.col("genus"),
-        F.col("host_site").alias("base_host"),
-        (F.lit(1.0) / F.count(F.lit(1)).over(per_genus)).alias("w"),
-        F.lit(design.genus).alias("ref_genus"),
+    tails = (("host", ""), ("host_source", f"|{design.source}"))
+    b, w = F.col("base_host"), F.col("w")
+
+    def emit(df: DataFrame, rows_of) -> DataFrame:
+        rows = [r for form, tail in tails for r in rows_of(form, lambda h: F.concat(h, F.lit(tail)))]
+        return df.select(F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+
+    own = emit(
+        base,
+        lambda form, at: [
+            F.when(genus == design.genus, _part(form, "intercept", "intercept", "", "fixed", at(b), w)),
+            F.when(genus != design.genus, _part(form, "fixed", "genus", genus, "fixed", at(b), w)),
+        ],
     )
-    base_ref = base.where(F.col("genus") == design.genus)
-    others = hosts.select("genus").distinct().where(F.col("genus") != design.genus)
-    genera = others.withColumn("ref_genus", F.lit(design.genus))
-    moved = hosts.where(~is_ref).join(base, "genus")
-    for form, tail in (("host", None), ("host_source", design.source)):
-        at = (lambda h: h) if tail is None else (lambda h: F.concat_ws("|", h, F.lit(tail)))
-        g, h, b, w = F.col("genus"), F.col("host_site"), F.col("base_host"), F.col("w")
-        add(base_ref, _parts(form, "intercept", "intercept", none, "fixed", at(b), w))
-        add(base.where(g != design.genus), _parts(form, "fixed", "genus", g, "fixed", at(b), w))
-        against = genera.join(base_ref.drop("genus"), "ref_genus")
-        add(against, _parts(form, "fixed", "genus", g, "fixed", at(b), -w))
-        add(hosts.where(~is_ref), _parts(form, "fixed", "host", h, "fixed", at(h), 1))
-        add(moved, _parts(form, "fixed", "host", h, "fixed", at(b), -w))
-
-    # Two crossed factors: first (genus or host) by source.
-    for form, term, first, ref in (
-        ("genus_source", "genus:source", "genus", design.genus),
-        ("host_source", "source:host", "host_site", design.host),
-    ):
-        pairs = cells.select(F.col(first).alias("a"), F.col("source_site").alias("s")).distinct()
-        a, s, r, rs = F.col("a"), F.col("s"), F.lit(ref), F.lit(design.source)
-
-        def cell(x, y):
-            return F.concat_ws("|", x, y)
-
-        add(
-            pairs.where((a == ref) & (s != design.source)),
-            _parts(form, "fixed", "source", s, "fixed", cell(r, s), 1),
-            _parts(form, "fixed", "source", s, "fixed", cell(r, rs), -1),
-        )
-        name = F.concat_ws(":", a, s) if first == "genus" else F.concat_ws(":", s, a)
-        add(
-            pairs.where((a != ref) & (s != design.source)),
-            _parts(form, "interaction", term, name, "fixed", cell(a, s), 1),
-            _parts(form, "interaction", term, name, "fixed", cell(a, rs), -1),
-            _parts(form, "interaction", term, name, "fixed", cell(r, s), -1),
-            _parts(form, "interaction", term, name, "fixed", cell(r, rs), 1),
-        )
-        if first == "genus":
-            add(
-                pairs.where((a == ref) & (s == design.source)),
-                _parts(form, "intercept", "intercept", none, "fixed", cell(r, rs), 1),
-            )
-            add(
-                pairs.where((a != ref) & (s == design.source)),
-                _parts(form, "fixed", "genus", a, "fixed", cell(a, rs), 1),
-                _parts(form, "fixed", "genus", a, "fixed", cell(r, rs), -1),
-            )
-
-    # Random intercepts around a parent estimate.
-    simple("source_family", "source", "source_site", design.source, role="parent")
-    families = cells.select("family").distinct()
-    f = F.col("family")
-    add(families, _parts("source_family", "random", "(1|family)", f, "random", f, 1))
-    whole = cells.agg(F.lit("all").alias("lv"))
-    add(whole, _parts("block", "intercept", "intercept", none, "parent", F.col("lv"), 1))
-    blocks = cells.select("block").distinct()
-    b = F.col("block")
-    add(blocks, _parts("block", "random", "(1|block)", b, "random", b, 1))
-    return reduce(DataFrame.unionByName, out)
+    ref_base = base.where(genus == design.genus).select(b, w, F.lit(1).alias("_one"))
+    others = hosts.where(genus != design.genus).select("genus", F.lit(1).alias("_one")).distinct()
+    against = emit(
+        others.join(ref_base, "_one"),
+        lambda form, at: [_part(form, "fixed", "genus", genus, "fixed", at(b), -w)],
+    )
+    moved = hosts.where(~is_ref)
+    offsets = emit(moved, lambda form, at: [_part(form, "fixed", "host", host, "fixed", at(host), 1.0)])
+    from_base = emit(
+        moved.join(base, "genus"),
+        lambda form, at: [_part(form, "fixed", "host", host, "fixed", at(b), -w)],
+    )
+    return reduce(DataFrame.unionByName, [plain, own, against, offsets, from_base])
 
 
 def parameters(contrast: DataFrame, fits: DataFrame) -> DataFrame:

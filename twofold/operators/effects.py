@@ -86,21 +86,19 @@ def reference_marginals(present: DataFrame) -> DataFrame:
 def absent_rows(index: DataFrame, present: DataFrame) -> DataFrame:
     """One row per draw and factor that its model lacks.
 
-    Factors are those seen in any draw of the component; each draw lists them by
-    an explode, and those it has are removed by an anti join.
+    Factors are those seen in any draw of the component. Each draw's own factors
+    are gathered once (eight at most) and taken from the full list.
     """
+    own = present.select("draw_id", "component", "factor").unionByName(
+        _both_parts(index).withColumn("factor", F.lit(None).cast("string"))
+    )
     names = F.array(*[F.lit(v) for v in FACTOR_LABELS.values()])
-    sides = F.array(F.lit("count"), F.lit("prop"))
-    grid = index.select("draw_id", F.explode(sides).alias("component")).select(
-        "draw_id", "component", F.explode(names).alias("factor")
+    lacking = own.groupBy("draw_id", "component").agg(F.collect_set("factor").alias("own"))
+    rows = lacking.select(
+        "draw_id", "component", F.explode(F.array_except(names, "own")).alias("factor")
     )
     seen = present.select("component", "factor").distinct()
-    missing = grid.join(seen, ["component", "factor"], "left_semi").join(
-        present.select("draw_id", "component", "factor").distinct(),
-        ["draw_id", "component", "factor"],
-        "left_anti",
-    )
-    return missing.select(
+    return rows.join(seen, ["component", "factor"], "left_semi").select(
         "draw_id",
         "component",
         "factor",
@@ -111,6 +109,11 @@ def absent_rows(index: DataFrame, present: DataFrame) -> DataFrame:
     )
 
 
+def _both_parts(index: DataFrame) -> DataFrame:
+    sides = F.explode(F.array(F.lit("count"), F.lit("prop")))
+    return index.select("draw_id", sides.alias("component"))
+
+
 def marginals(draws: DataFrame, index: DataFrame) -> DataFrame:
     """All marginals: present levels, reference classes and absent factors."""
     present = present_marginals(draws)
@@ -141,64 +144,58 @@ def level_parent(levels: DataFrame, dimension: DataFrame) -> DataFrame:
     return levels.join(dimension, "level", "left")
 
 
-def nested_rows(draws: DataFrame, parent_term: str, child_term: str) -> DataFrame:
-    """Parameters of the two terms with their intercept, plus a zero row for the
-    reference level of each fixed term."""
-    rows = with_intercept(draws).where(F.col("term").isin(parent_term, child_term))
-    own = rows.select("draw_id", "component", "term", "level", "intercept", "value")
-    zero = (
-        rows.where(F.col("kind") != "random")
-        .groupBy("draw_id", "component", "term")
-        .agg(F.first("intercept").alias("intercept"))
-        .select(
-            "draw_id",
-            "component",
-            "term",
-            F.lit(None).cast("string").alias("level"),
-            "intercept",
-            F.lit(0.0).alias("value"),
-        )
-    )
-    return own.unionByName(zero)
-
-
-def joint_levels(
-    rows: DataFrame,
+def nested_vectors(
+    draws: DataFrame,
+    index: DataFrame,
     parent_term: str,
     child_term: str,
     dimension: DataFrame,
     parent_ref: str,
     child_ref: str | None,
-    label: str,
 ) -> DataFrame:
-    """Joint marginal of every child level with its parent, for draws with both.
+    """One row per draw and component with the levels of both terms.
 
-    ``dimension`` maps each child level to its parent. ``child_ref`` names the
-    child's reference level; None for a random child, which has no reference.
-    An equi-join on (draw, component, parent level).
+    ``parents`` maps each parent level to its value; ``children`` lists child
+    levels with their parent level and value. A fixed term that is in the model
+    also has its reference level, with value 0. Both are null for a term that
+    is not in the model. A draw's lists hold the levels of one model.
     """
-    parents = rows.where(F.col("term") == parent_term).select(
-        "draw_id",
-        "component",
-        F.coalesce("level", F.lit(parent_ref)).alias("parent"),
-        F.col("value").alias("parent_value"),
+    rows = draws.where(
+        (F.col("kind") == "intercept") | F.col("term").isin(parent_term, child_term)
     )
-    children = rows.where(F.col("term") == child_term)
-    if child_ref is None:
-        children = children.where(F.col("level").isNotNull())
-    else:
-        children = children.withColumn("level", F.coalesce("level", F.lit(child_ref)))
-    placed = level_parent(children, dimension)
-    both = placed.join(parents, ["draw_id", "component", "parent"])
-    eta = F.col("intercept") + F.col("parent_value") + F.col("value")
-    return both.select(
+    placed = level_parent(rows, dimension)
+    term, level, value = F.col("term"), F.col("level"), F.col("value")
+    slots = _both_parts(index).unionByName(
+        placed.select("draw_id", "component", "term", "level", "parent", "value"), allowMissingColumns=True
+    )
+    parents = F.collect_list(F.when(term == parent_term, F.struct(level.alias("level"), value.alias("value"))))
+    children = F.collect_list(
+        F.when(
+            term == child_term,
+            F.struct(level.alias("level"), F.col("parent").alias("parent"), value.alias("value")),
+        )
+    )
+    gathered = slots.groupBy("draw_id", "component").agg(
+        F.max(F.when(term == "intercept", value)).alias("intercept"),
+        parents.alias("parents"),
+        children.alias("children"),
+    )
+    zero_parent = F.array(F.struct(F.lit(parent_ref).alias("level"), F.lit(0.0).alias("value")))
+    full_parents = F.when(F.size("parents") > 0, F.concat("parents", zero_parent))
+    full_children = F.when(F.size("children") > 0, F.col("children"))
+    if child_ref is not None:
+        at = dimension.where(F.col("level") == child_ref).select(F.col("parent").alias("ref_parent"))
+        gathered = gathered.withColumn("_one", F.lit(1)).join(at.withColumn("_one", F.lit(1)), "_one", "left")
+        zero_child = F.struct(
+            F.lit(child_ref).alias("level"), F.col("ref_parent").alias("parent"), F.lit(0.0).alias("value")
+        )
+        full_children = F.when(F.size("children") > 0, F.concat("children", F.array(zero_child)))
+    return gathered.select(
         "draw_id",
         "component",
-        F.lit(label).alias("factor"),
-        "level",
         "intercept",
-        inverse_link(F.col("component"), eta).alias("linear_value"),
-        F.lit(False).alias("absent"),
+        full_parents.alias("parents"),
+        full_children.alias("children"),
     )
 
 
@@ -218,39 +215,56 @@ def pool_nested(
     Joint: child levels combined with their parent, for draws whose model has
     both. Pooled: the joint rows where there are any, else the rows of whichever
     of the two is in the model. Every other draw gets one absent row, so both
-    frequencies are over all draws.
+    frequencies are over all draws. ``child_ref`` is None for a random child,
+    which has no reference level. One grouping by draw does all of it.
     """
-    rows = nested_rows(draws, parent_term, child_term)
-    joint = joint_levels(rows, parent_term, child_term, dimension, parent_ref, child_ref, joint_label)
-    has_joint = joint.select("draw_id", "component").distinct()
-    single = rows.join(has_joint, ["draw_id", "component"], "left_anti").select(
+    vectors = nested_vectors(draws, index, parent_term, child_term, dimension, parent_ref, child_ref)
+    intercept, part = F.col("intercept"), F.col("component")
+
+    def row(level: Column, eta: Column) -> Column:
+        return F.struct(
+            level.alias("level"), inverse_link(part, intercept + eta).alias("linear_value")
+        )
+
+    values = F.map_from_entries("parents")
+    placed = F.filter(
+        "children", lambda c: F.exists("parents", lambda p: p["level"] == c["parent"])
+    )
+    joint = F.transform(placed, lambda c: row(c["level"], F.element_at(values, c["parent"]) + c["value"]))
+    # Alone, a reference level keeps the null level it has among the marginals.
+    alone = F.coalesce(
+        F.transform("parents", lambda p: row(F.nullif(p["level"], F.lit(parent_ref)), p["value"])),
+        F.transform(
+            "children",
+            lambda c: row(
+                F.nullif(c["level"], F.lit(child_ref)) if child_ref else c["level"], c["value"]
+            ),
+        ),
+    )
+    both = F.col("parents").isNotNull() & F.col("children").isNotNull()
+    rows = vectors.select(
         "draw_id",
         "component",
-        F.lit(pooled_label).alias("factor"),
-        "level",
         "intercept",
-        inverse_link(F.col("component"), F.col("intercept") + F.col("value")).alias("linear_value"),
-        F.lit(False).alias("absent"),
+        F.when(both, joint).alias("joint"),
+        F.when(both, joint).otherwise(alone).alias("pooled"),
     )
-    pooled = joint.withColumn("factor", F.lit(pooled_label)).unionByName(single)
-    both = joint.unionByName(pooled)
-    sides = F.explode(F.array(F.lit("count"), F.lit("prop"))).alias("component")
-    labels = F.explode(F.array(F.lit(joint_label), F.lit(pooled_label))).alias("factor")
-    grid = index.select("draw_id", sides).select("draw_id", "component", labels)
-    missing = grid.join(
-        both.select("draw_id", "component", "factor").distinct(),
-        ["draw_id", "component", "factor"],
-        "left_anti",
+    factors = F.array(
+        F.struct(F.lit(joint_label).alias("factor"), F.col("joint").alias("rows")),
+        F.struct(F.lit(pooled_label).alias("factor"), F.col("pooled").alias("rows")),
     )
-    return both.unionByName(
-        missing.select(
+    absent = F.col("level").isNull() & F.col("linear_value").isNull()
+    return (
+        rows.select("draw_id", "component", "intercept", F.inline(factors))
+        .select("draw_id", "component", "factor", "intercept", F.inline_outer("rows"))
+        .select(
             "draw_id",
             "component",
             "factor",
-            F.lit(None).cast("string").alias("level"),
-            F.lit(None).cast("double").alias("intercept"),
-            F.lit(None).cast("double").alias("linear_value"),
-            F.lit(True).alias("absent"),
+            "level",
+            F.when(~absent, intercept).alias("intercept"),
+            "linear_value",
+            absent.alias("absent"),
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twofold.functions.links import prevalence, truncated_mean
 from twofold.operators.joins import block_product
-from twofold.operators.modelspace import cell_levels
+from twofold.operators.modelspace import cell_levels, term_level
 from twofold.operators.quantiles import grouped_quantiles
 from twofold.rules import EV_NAMES, EV_PROBS, TERMS
 
@@ -45,11 +45,18 @@ def draw_vectors(draws: DataFrame) -> DataFrame:
     return draws.groupBy("draw_id", "model_name").agg(part("count"), part("prop"))
 
 
-def cell_keys(cells: DataFrame, interactions: bool = True) -> DataFrame:
-    """Cells with the list of parameter keys their linear predictor may use."""
-    keys = F.collect_list(_key(F.col("term"), F.col("level")))
-    rows = cell_levels(cells).where(F.col("term").isin(*_terms(interactions)))
-    return rows.groupBy("cell_id").agg(keys.alias("keys"))
+def cell_keys(cells: DataFrame, terms: list[str], reference: dict[str, str] | None = None) -> DataFrame:
+    """Cells with one column per term: the key of the parameter it calls for.
+
+    With ``reference``, levels that need no parameter have a null key.
+    """
+    keys = []
+    for i, term in enumerate(terms):
+        key = _key(F.lit(term), term_level(term))
+        if reference and term in reference:
+            key = F.when(term_level(term) != reference[term], key)
+        keys.append(key.alias(f"key_{i}"))
+    return cells.select("cell_id", *keys)
 
 
 def linear_predictors(
@@ -65,15 +72,16 @@ def linear_predictors(
     parameters is looked up in the draw's own map, so pairs are built and
     summed in place and never shuffled.
     """
+    terms = _terms(interactions)
     pairs = block_product(
-        draw_vectors(draws), cell_keys(cells, interactions), "draw_id", "cell_id", draw_blocks, cell_blocks
+        draw_vectors(draws), cell_keys(cells, terms), "draw_id", "cell_id", draw_blocks, cell_blocks
     )
 
     def total(part: str) -> Column:
-        start = F.try_element_at(part, F.lit("intercept|"))
-        return F.aggregate(
-            "keys", start, lambda a, k: a + F.coalesce(F.try_element_at(F.col(part), k), F.lit(0.0))
-        )
+        eta = F.try_element_at(part, F.lit("intercept|"))
+        for i in range(len(terms)):
+            eta = eta + F.coalesce(F.try_element_at(part, F.col(f"key_{i}")), F.lit(0.0))
+        return eta
 
     return pairs.select(
         "draw_id", "model_name", "cell_id", total("count").alias("eta_count"), total("prop").alias("eta_prop")
@@ -155,17 +163,15 @@ def complete_share(
 
     Reference levels need no parameter. ``by`` is ``cell_id`` or ``draw_id``.
     """
-    needed = F.lit(True)
-    for term, level in reference.items():
-        needed = needed & ~((F.col("term") == term) & (F.col("level") == level))
-    rows = cell_levels(cells).where(F.col("term").isin(*terms)).where(needed)
-    keys = rows.groupBy("cell_id").agg(F.collect_list(_key(F.col("term"), F.col("level"))).alias("keys"))
-    wanted = cells.select("cell_id").join(keys, "cell_id", "left")
-    wanted = wanted.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    pairs = block_product(draw_vectors(draws), wanted, "draw_id", "cell_id", 8, 4)
+    pairs = block_product(
+        draw_vectors(draws), cell_keys(cells, terms, reference), "draw_id", "cell_id", 8, 4
+    )
 
     def share(part: str, name: str) -> Column:
-        complete = F.forall("keys", lambda k: F.map_contains_key(F.col(part), k))
+        complete = F.lit(True)
+        for i in range(len(terms)):
+            key = F.col(f"key_{i}")
+            complete = complete & (key.isNull() | F.try_element_at(part, key).isNotNull())
         return F.avg(complete.cast("int").cast("double")).alias(name)
 
     return pairs.groupBy(by).agg(share("count", "prop_count"), share("prop", "prop_hu"))

@@ -259,43 +259,55 @@ def diagonal_step(swept: DataFrame, damping: float = 0.5) -> DataFrame:
     )
 
 
-def newton_step(design: DataFrame, cells: DataFrame, state: DataFrame) -> DataFrame:
+def patterns(design: DataFrame, cells: DataFrame) -> DataFrame:
+    """Sufficient statistics per side and distinct set of active parameters.
+
+    Cells that a candidate cannot tell apart are summed, so a candidate without
+    block and family effects works on a handful of rows.
+    """
+    name = F.concat_ws("|", "term", "level")
+    active = design.groupBy("side", "cell_id").agg(F.sort_array(F.collect_list(name)).alias("params"))
+    return (
+        active.join(cells.select("cell_id", *STATS), "cell_id")
+        .groupBy("side", "params")
+        .agg(*[F.sum(c).alias(c) for c in STATS])
+    )
+
+
+def newton_step(table: DataFrame, state: DataFrame) -> DataFrame:
     """One full Newton step of every candidate.
 
-    Spark sums the normal equations over the cells: a cell has at most nine
-    active parameters, so it adds a small block, pre-summed on the map side.
-    What reaches one task per candidate is its P x P system, P being its number
-    of parameters. The step is halved where a parameter would move by more
+    Spark sums the normal equations over the patterns: a pattern has at most
+    nine active parameters, so it adds a small block, pre-summed on the map
+    side. What reaches one task per candidate is its P x P system, P being its
+    number of parameters. Steps are scaled so that no parameter moves by more
     than 2, which keeps the rates of the first steps finite.
     """
-    scored = cell_scores(predictors(design, cells, state)).select(
-        "side", "component", "cell_id", "score", "weight"
+    values = state.select(
+        "side", "component", F.concat_ws("|", "term", "level").alias("row"), "value", "precision"
+    )
+    # The parameter vector of a candidate travels with it: P numbers per side.
+    vectors = values.groupBy("side", "component").agg(
+        F.map_from_entries(F.collect_list(F.struct("row", "value"))).alias("values")
+    )
+    eta = F.aggregate("params", F.lit(0.0), lambda a, p: a + F.element_at("values", p))
+    scored = cell_scores(table.join(vectors, "side").withColumn("eta", eta))
+    order = F.sequence(F.lit(1), F.size("params"))
+    pairs = F.transform(
+        order,
+        lambda i: F.struct(
+            F.element_at("params", i).alias("row"),
+            F.concat(F.slice("params", i, F.size("params")), F.array(F.lit(""))).alias("cols"),
+        ),
     )
-    name = F.concat_ws("|", "term", "level")
-    active = design.groupBy("side", "cell_id").agg(F.sort_array(F.collect_list(name)).alias("params"))
-    joined = scored.join(active, ["side", "cell_id"])
     blocks = (
-        joined.select("side", "component", "score", "weight", "params", F.explode("params").alias("row"))
-        .select(
-            "side",
-            "component",
-            "row",
-            F.explode(F.concat("params", F.array(F.lit("")))).alias("col"),
-            "score",
-            "weight",
-        )
+        scored.select("side", "component", "score", "weight", F.inline(pairs))
+        .select("side", "component", "row", "score", "weight", F.explode("cols").alias("col"))
         .groupBy("side", "component", "row", "col")
         .agg(
             F.sum(F.when(F.col("col") == "", F.col("score")).otherwise(F.col("weight"))).alias("total")
         )
     )
-    values = state.select(
-        "side",
-        "component",
-        F.concat_ws("|", "term", "level").alias("row"),
-        "value",
-        "precision",
-    )
     return (
         blocks.join(values, ["side", "component", "row"])
         .groupBy("side", "component")
@@ -320,7 +332,10 @@ def _solve(key, block):
     is_score = (block["col"] == "").to_numpy()
     g[rows[is_score]] += block["total"].to_numpy()[is_score]
     cols = block.loc[~is_score, "col"].map(at).to_numpy()
-    np.add.at(h, (rows[~is_score], cols), block["total"].to_numpy()[~is_score])
+    total = block["total"].to_numpy()[~is_score]
+    h[rows[~is_score], cols] += total
+    off = rows[~is_score] != cols
+    h[cols[off], rows[~is_score][off]] += total[off]
     move = np.linalg.solve(h, g)
     size = float(np.abs(move).max())
     move *= min(1.0, 2.0 / size) if size > 0 else 1.0
@@ -352,10 +367,10 @@ def newton_fit(
     """
     from twofold.sources.tables import stage
 
-    design = stage(design, "design")
+    table = stage(patterns(design, cells), "patterns")
     state = stage(initial_state(design, precision), "newton")
     for _ in range(max_steps):
-        moved = stage(newton_step(design, cells, state), "newton")
+        moved = stage(newton_step(table, state), "newton")
         state = moved.drop("change")
         if moved.agg(F.max("change")).first()[0] < tol:
             break

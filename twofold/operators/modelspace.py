@@ -19,20 +19,24 @@ MAX_SEED = 2**31 - 1
 PRIORS_TYPE = "array<struct<dist:string,class:string,dpar:string>>"
 
 
+def term_level(term: str) -> Column:
+    """Level of a term in a design cell; interactions join their two levels."""
+    columns = {
+        "host": ("host_site",),
+        "source": ("source_site",),
+        "source:host": ("source_site", "host_site"),
+        "genus": ("genus",),
+        "genus:source": ("genus", "source_site"),
+        "native": ("native",),
+        "(1|block)": ("block",),
+        "(1|family)": ("family",),
+    }[term]
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
+
+
 def cell_levels(cells: DataFrame) -> DataFrame:
     """One row per cell and term: the level of that term in the cell."""
-    pair = lambda a, b: F.concat_ws(":", a, b)
-    level = {
-        "host": F.col("host_site"),
-        "source": F.col("source_site"),
-        "source:host": pair("source_site", "host_site"),
-        "genus": F.col("genus"),
-        "genus:source": pair("genus", "source_site"),
-        "native": F.col("native").cast("string"),
-        "(1|block)": F.col("block"),
-        "(1|family)": F.col("family"),
-    }
-    rows = F.array(*[F.struct(F.lit(t).alias("term"), level[t].alias("level")) for t in TERMS])
+    rows = F.array(*[F.struct(F.lit(t).alias("term"), term_level(t).alias("level")) for t in TERMS])
     return cells.select("cell_id", F.inline(rows))
 
 

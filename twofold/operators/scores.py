@@ -1,7 +1,6 @@
 """Pointwise leave-one-out predictive scores on classes of equal trials."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,8 +145,6 @@ def smoothed_loo(log_lik: DataFrame, keys: tuple[str, ...] = ("model_name", "gro
 
     Each row carries the ratios of one class: one number per draw of one model.
     """
-    import pandas as pd
-
     @F.pandas_udf("elpd double, pareto_k double")
     def smooth(lists: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_smooth_ratios(v) for v in lists], columns=["elpd", "pareto_k"])

@@ -45,7 +45,7 @@ def bootstrap_masses(points: DataFrame, replicates: int, seed: int, first: int =
     classes = points.select(*CLASS, "copies").distinct()
     numbers = F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1)))
     k = rand.key("dirichlet", seed, *[F.col(c) for c in CLASS], F.col("replicate"))
-    return classes.withColumn("replicate", numbers).withColumn("mass", rand.gamma(k, F.col("copies")))
+    return rand.with_gamma(classes.withColumn("replicate", numbers), "mass", k, F.col("copies"))
 
 
 def bootstrap_scores(points: DataFrame, masses: DataFrame) -> DataFrame:
