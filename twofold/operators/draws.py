@@ -59,47 +59,43 @@ def draw_index(allocated: DataFrame, per_model: int = 4000, seed: int = 52399832
 # Parameters as contrasts of group estimates --------------------------------
 
 
-def _part(form: str, kind: str, term: str, level, role: str, group, coef) -> Column:
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
-
-    return F.struct(
-        F.lit(form).alias("form"),
-        F.lit(kind).alias("kind"),
-        F.lit(term).alias("term"),
-        col(level).alias("level"),
-        F.lit(role).alias("role"),
-        col(group).alias("group_level"),
-        col(coef).cast("double").alias("coef"),
+def _part(form: str, kind: str, term: str, level: str, role: str, group: str, coef, when: str = "") -> str:
+    """SQL text of one contrast row; null where ``when`` does not hold."""
+    row = (
+        f"struct('{form}' AS form, '{kind}' AS kind, '{term}' AS term, {level} AS level, "
+        f"'{role}' AS role, {group} AS group_level, CAST({coef} AS DOUBLE) AS coef)"
     )
+    return f"CASE WHEN {when} THEN {row} END" if when else row
 
 
-def _one_factor(form: str, term: str, level: Column, ref: str, role: str = "fixed") -> list[Column]:
+def _one_factor(form: str, term: str, level: str, ref: str, role: str = "fixed") -> list[str]:
     """Intercept at the reference level, offsets elsewhere."""
-    away = level != ref
+    here, away = f"{level} = '{ref}'", f"{level} <> '{ref}'"
     return [
-        F.when(~away, _part(form, "intercept", "intercept", "", role, ref, 1.0)),
-        F.when(away, _part(form, "fixed", term, level, role, level, 1.0)),
-        F.when(away, _part(form, "fixed", term, level, role, F.lit(ref), -1.0)),
+        _part(form, "intercept", "intercept", "''", role, f"'{ref}'", 1, here),
+        _part(form, "fixed", term, level, role, level, 1, away),
+        _part(form, "fixed", term, level, role, f"'{ref}'", -1, away),
     ]
 
 
-def _crossed(form: str, term: str, first: Column, ref: str, name: Column, base: str) -> list[Column]:
+def _crossed(form: str, term: str, first: str, ref: str, name: str, base: str) -> list[str]:
     """Source offsets at the first factor's reference, and interactions."""
-    s = F.col("source_site")
+    source = f"{first} = '{ref}' AND source_site <> '{base}'"
+    both = f"{first} <> '{ref}' AND source_site <> '{base}'"
+    pair, at_source = f"{first} || '|' || source_site", f"'{ref}|' || source_site"
+    at_first, corner = f"{first} || '|{base}'", f"'{ref}|{base}'"
+    return [
+        _part(form, "fixed", "source", "source_site", "fixed", at_source, 1, source),
+        _part(form, "fixed", "source", "source_site", "fixed", corner, -1, source),
+        _part(form, "interaction", term, name, "fixed", pair, 1, both),
+        _part(form, "interaction", term, name, "fixed", at_first, -1, both),
+        _part(form, "interaction", term, name, "fixed", at_source, -1, both),
+        _part(form, "interaction", term, name, "fixed", corner, 1, both),
+    ]
 
-    def cell(x, y):
-        x = F.lit(x) if isinstance(x, str) else x
-        y = F.lit(y) if isinstance(y, str) else y
-        return F.concat_ws("|", x, y)
 
-    source = (first == ref) & (s != base)
-    both = (first != ref) & (s != base)
-    signs = ((cell(first, s), 1.0), (cell(first, base), -1.0), (cell(ref, s), -1.0), (cell(ref, base), 1.0))
-    return [
-        F.when(source, _part(form, "fixed", "source", s, "fixed", cell(ref, s), 1.0)),
-        F.when(source, _part(form, "fixed", "source", s, "fixed", cell(ref, base), -1.0)),
-    ] + [F.when(both, _part(form, "interaction", term, name, "fixed", g, c)) for g, c in signs]
+def _rows(df: DataFrame, parts: list[str]) -> DataFrame:
+    return df.selectExpr(f"inline(filter(array({', '.join(parts)}), x -> x IS NOT NULL))")
 
 
 def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
@@ -110,77 +106,71 @@ def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
     if it has none; host offsets are taken from there. The table is bounded by
     the number of factor levels.
     """
-    host, genus, source = F.col("host_site"), F.col("genus"), F.col("source_site")
-    native, family, block = F.col("native").cast("string"), F.col("family"), F.col("block")
-    at_base = (source == design.source) & (genus == design.genus)
-    off_base = (source == design.source) & (genus != design.genus)
-    ref_pair = F.lit(f"{design.genus}|{design.source}")
+    genus, source = design.genus, design.source
+    at_base = f"source_site = '{source}' AND genus = '{genus}'"
+    off_base = f"source_site = '{source}' AND genus <> '{genus}'"
+    corner = f"'{genus}|{source}'"
     parts = (
-        _one_factor("source", "source", source, design.source)
-        + _one_factor("genus", "genus", genus, design.genus)
-        + _one_factor("native", "native", native, "false")
-        + _one_factor("source_family", "source", source, design.source, role="parent")
+        _one_factor("source", "source", "source_site", source)
+        + _one_factor("genus", "genus", "genus", genus)
+        + _one_factor("native", "native", "CAST(native AS STRING)", "false")
+        + _one_factor("source_family", "source", "source_site", source, role="parent")
+        + _crossed("genus_source", "genus:source", "genus", genus, "genus || ':' || source_site", source)
         + _crossed(
-            "genus_source", "genus:source", genus, design.genus, F.concat_ws(":", genus, source), design.source
-        )
-        + _crossed(
-            "host_source", "source:host", host, design.host, F.concat_ws(":", source, host), design.source
+            "host_source", "source:host", "host_site", design.host, "source_site || ':' || host_site", source
         )
         + [
-            F.when(at_base, _part("genus_source", "intercept", "intercept", "", "fixed", ref_pair, 1.0)),
-            F.when(
-                off_base,
-                _part("genus_source", "fixed", "genus", genus, "fixed", F.concat_ws("|", genus, source), 1.0),
-            ),
-            F.when(off_base, _part("genus_source", "fixed", "genus", genus, "fixed", ref_pair, -1.0)),
-            _part("source_family", "random", "(1|family)", family, "random", family, 1.0),
-            _part("block", "intercept", "intercept", "", "parent", "all", 1.0),
-            _part("block", "random", "(1|block)", block, "random", block, 1.0),
+            _part("genus_source", "intercept", "intercept", "''", "fixed", corner, 1, at_base),
+            _part("genus_source", "fixed", "genus", "genus", "fixed", f"genus || '|{source}'", 1, off_base),
+            _part("genus_source", "fixed", "genus", "genus", "fixed", corner, -1, off_base),
+            _part("source_family", "random", "(1|family)", "family", "random", "family", 1),
+            _part("block", "intercept", "intercept", "''", "parent", "'all'", 1),
+            _part("block", "random", "(1|block)", "block", "random", "block", 1),
         ]
     )
-    rows = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    plain = cells.select(F.inline(rows)).distinct()
+    plain = _rows(cells, parts).distinct()
 
     # Hosts nested in genus.
     hosts = cells.select("host_site", "genus").distinct()
-    is_ref = host == design.host
-    per_genus = Window.partitionBy("genus")
-    base = (
-        hosts.withColumn("has_ref", F.max(is_ref.cast("int")).over(per_genus))
-        .where((F.col("has_ref") == 0) | is_ref)
-        .select(
-            "genus",
-            F.col("host_site").alias("base_host"),
-            (F.lit(1.0) / F.count(F.lit(1)).over(per_genus)).alias("w"),
-        )
+    base = hosts.selectExpr(
+        "genus",
+        "host_site AS base_host",
+        f"max(host_site = '{design.host}') OVER (PARTITION BY genus) AS has_ref",
+    )
+    base = base.where(f"NOT has_ref OR base_host = '{design.host}'").selectExpr(
+        "genus", "base_host", "1.0D / count(1) OVER (PARTITION BY genus) AS w", "1 AS one"
     )
-    tails = (("host", ""), ("host_source", f"|{design.source}"))
-    b, w = F.col("base_host"), F.col("w")
+    ref_base = base.where(f"genus = '{genus}'").drop("genus")
+    others = hosts.where(f"genus <> '{genus}'").selectExpr("genus", "1 AS one").distinct()
+    moved = hosts.where(f"host_site <> '{design.host}'")
 
-    def emit(df: DataFrame, rows_of) -> DataFrame:
-        rows = [r for form, tail in tails for r in rows_of(form, lambda h: F.concat(h, F.lit(tail)))]
-        return df.select(F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    def both_forms(rows_of) -> list[str]:
+        """Rows of the host form, and of the host by source form at the reference source."""
+        return rows_of("host", "") + rows_of("host_source", f" || '|{source}'")
 
-    own = emit(
-        base,
+    own = both_forms(
         lambda form, at: [
-            F.when(genus == design.genus, _part(form, "intercept", "intercept", "", "fixed", at(b), w)),
-            F.when(genus != design.genus, _part(form, "fixed", "genus", genus, "fixed", at(b), w)),
-        ],
+            _part(form, "intercept", "intercept", "''", "fixed", f"base_host{at}", "w", f"genus = '{genus}'"),
+            _part(form, "fixed", "genus", "genus", "fixed", f"base_host{at}", "w", f"genus <> '{genus}'"),
+        ]
     )
-    ref_base = base.where(genus == design.genus).select(b, w, F.lit(1).alias("_one"))
-    others = hosts.where(genus != design.genus).select("genus", F.lit(1).alias("_one")).distinct()
-    against = emit(
-        others.join(ref_base, "_one"),
-        lambda form, at: [_part(form, "fixed", "genus", genus, "fixed", at(b), -w)],
+    against = both_forms(
+        lambda form, at: [_part(form, "fixed", "genus", "genus", "fixed", f"base_host{at}", "-w")]
     )
-    moved = hosts.where(~is_ref)
-    offsets = emit(moved, lambda form, at: [_part(form, "fixed", "host", host, "fixed", at(host), 1.0)])
-    from_base = emit(
-        moved.join(base, "genus"),
-        lambda form, at: [_part(form, "fixed", "host", host, "fixed", at(b), -w)],
+    offset = both_forms(
+        lambda form, at: [_part(form, "fixed", "host", "host_site", "fixed", f"host_site{at}", 1)]
     )
-    return reduce(DataFrame.unionByName, [plain, own, against, offsets, from_base])
+    from_base = both_forms(
+        lambda form, at: [_part(form, "fixed", "host", "host_site", "fixed", f"base_host{at}", "-w")]
+    )
+    tables = [
+        plain,
+        _rows(base, own),
+        _rows(others.join(ref_base, "one"), against),
+        _rows(moved, offset),
+        _rows(moved.join(base, "genus"), from_base),
+    ]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def parameters(contrast: DataFrame, fits: DataFrame) -> DataFrame:

@@ -20,34 +20,27 @@ GROUP = ("form", "role", "parent", "level")
 OVERALL = "all"
 
 
-def _level(keys: tuple[str, ...]) -> Column:
+def _level(keys: tuple[str, ...]) -> str:
     if not keys:
-        return F.lit(OVERALL)
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        return f"'{OVERALL}'"
+    return "concat_ws('|', " + ", ".join(f"CAST({k} AS STRING)" for k in keys) + ")"
 
 
 def form_groups(forms: tuple[Form, ...] = FORMS, roles=("fixed", "parent", "random")) -> Column:
     """Array of (form, role, parent, level) that a cell belongs to."""
-    out = []
-
-    def add(form: Form, role: str, parent: Column, level: Column):
-        if role in roles:
-            out.append(
-                F.struct(
-                    F.lit(form.name).alias("form"),
-                    F.lit(role).alias("role"),
-                    parent.alias("parent"),
-                    level.alias("level"),
-                )
-            )
-
+    groups = []
     for f in forms:
         if f.random:
-            add(f, "parent", F.lit(""), _level(f.parent))
-            add(f, "random", _level(f.parent), _level(f.keys))
+            groups.append((f.name, "parent", "''", _level(f.parent)))
+            groups.append((f.name, "random", _level(f.parent), _level(f.keys)))
         else:
-            add(f, "fixed", F.lit(""), _level(f.keys))
-    return F.array(*out)
+            groups.append((f.name, "fixed", "''", _level(f.keys)))
+    rows = [
+        f"struct('{form}' AS form, '{role}' AS role, {parent} AS parent, {level} AS level)"
+        for form, role, parent, level in groups
+        if role in roles
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def form_stats(cells: DataFrame, forms: tuple[Form, ...] = FORMS) -> DataFrame:
