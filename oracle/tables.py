@@ -315,7 +315,7 @@ GROUP BY model_name{k}, weight""",
 
 
 em_chain("m36_", "points36", 5)
-em_chain("m64_", "points64", 3)
+em_chain("m64_", "points64", 1)
 em_chain("ch_", "chunk_points", 5, "chunk")
 
 _MASS_KEY = "key_text || '|' || attempt"
@@ -349,7 +349,7 @@ FROM (SELECT *, max(z) OVER (PARTITION BY replicate) AS top FROM boot)""",
 
 # Draws ---------------------------------------------------------------------
 
-cte("study_weights", "SELECT model_name, weight FROM m64_em3")
+cte("study_weights", "SELECT model_name, weight FROM m64_em1")
 cte("hosts", "SELECT DISTINCT host_site, genus FROM cells")
 cte(
     "bases",

@@ -1,7 +1,8 @@
 """Stages of an ensemble study over the star-schema trials.
 
 The trials are aggregated once to classes of equal trials, which are staged;
-every later table derives from that small one.
+every later table derives from that small one. Stages are shared by the
+analyses of a session that use the same input and parameters.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from twofold.operators import contrast, draws, effects, expected, fit, modelspace, scores, trials, weights
 from twofold.rules import FIXED_FORMS, FORMS, Design, Form
 from twofold.sources import star
-from twofold.sources.tables import stage
+from twofold.sources.tables import stage_once
 
 
 class Study:
@@ -26,12 +27,26 @@ class Study:
         sf_dir: str,
         forms: tuple[Form, ...] = FORMS,
         per_model: int = 4000,
-        steps: int = 3,
+        steps: int = 1,
         design: Design = Design(),
     ):
         self.spark, self.sf_dir = spark, sf_dir
         self.forms, self.per_model, self.steps, self.design = forms, per_model, steps, design
 
+    def _stage(self, name: str, build, *depends) -> DataFrame:
+        key = (type(self).__name__, self.sf_dir, self.design, *depends)
+        return stage_once(self.spark, key, name, build)
+
+    @property
+    def _scores(self) -> tuple:
+        """What the score tables depend on."""
+        return (self.forms,)
+
+    @property
+    def _pool(self) -> tuple:
+        """What the pooled draws depend on."""
+        return (self.forms, self.steps, self.per_model)
+
     @cached_property
     def raw(self) -> DataFrame:
         return star.raw_trials(self.spark, self.sf_dir)
@@ -42,15 +57,15 @@ class Study:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return stage(trials.count_classes(self.trials), "classes")
+        return self._stage("classes", lambda: trials.count_classes(self.trials))
 
     @cached_property
     def cells(self) -> DataFrame:
-        return stage(trials.cells_from_classes(self.classes), "cells")
+        return self._stage("cells", lambda: trials.cells_from_classes(self.classes))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return stage(fit.form_stats(self.cells, self.forms), "stats")
+        return self._stage("stats", lambda: fit.form_stats(self.cells, self.forms), *self._scores)
 
     @cached_property
     def fits(self) -> DataFrame:
@@ -76,13 +91,15 @@ class Study:
 
     @cached_property
     def staged_points(self) -> DataFrame:
-        return stage(self.points, "pointwise")
+        return self._stage("pointwise", lambda: self.points, *self._scores)
 
     @cached_property
     def weights(self) -> DataFrame:
         """Stacking weights after a few steps from equal weights. Early stopping
         keeps every candidate in the ensemble, so all factors take part."""
-        return weights.em_steps(self.staged_points, self.steps)
+        return self._stage(
+            "weights", lambda: weights.em_steps(self.staged_points, self.steps), self.forms, self.steps
+        )
 
     @cached_property
     def allocation(self) -> DataFrame:
@@ -91,15 +108,23 @@ class Study:
 
     @cached_property
     def index(self) -> DataFrame:
-        return stage(draws.draw_index(self.allocation, self.per_model), "draw-index")
+        return self._stage(
+            "draw-index", lambda: draws.draw_index(self.allocation, self.per_model), *self._pool
+        )
 
     @cached_property
     def parameters(self) -> DataFrame:
-        return stage(draws.parameters(draws.contrasts(self.cells, self.design), self.fits), "parameters")
+        return self._stage(
+            "parameters",
+            lambda: draws.parameters(draws.contrasts(self.cells, self.design), self.fits),
+            *self._scores,
+        )
 
     @cached_property
     def draws(self) -> DataFrame:
-        return stage(draws.make_draws(self.index, self.candidates, self.parameters), "draws")
+        return self._stage(
+            "draws", lambda: draws.make_draws(self.index, self.candidates, self.parameters), *self._pool
+        )
 
     @cached_property
     def draw_bound(self) -> int:
@@ -118,6 +143,10 @@ class Study:
     def values(self) -> DataFrame:
         return expected.expected_values(self.predictors)
 
+    @cached_property
+    def staged_values(self) -> DataFrame:
+        return self._stage("values", lambda: self.values, *self._pool)
+
     @cached_property
     def marginals(self) -> DataFrame:
         return effects.marginals(self.draws, self.index)
@@ -137,7 +166,7 @@ class Study:
 
     @cached_property
     def staged_effects(self) -> DataFrame:
-        return stage(self.effect_sizes, "effect-sizes")
+        return self._stage("effect-sizes", lambda: self.effect_sizes, *self._pool)
 
     @property
     def reference(self) -> dict[str, str]:

@@ -45,7 +45,7 @@ EM_STEPS = 5
 CHUNKS = 4
 GRID = 25
 CURVE = 41
-STUDY_STEPS = 3
+STUDY_STEPS = 1
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -114,7 +114,7 @@ def _model_totals(points: DataFrame, name) -> DataFrame:
 @query("io4_read_folder", digits=4)
 def io4(spark, sf_dir):
     path = tables.stage_path(spark, "by-model")
-    tables.write_by_model(fixed_study(spark, sf_dir).points, path)
+    tables.write_by_model(fixed_study(spark, sf_dir).staged_points, path)
     found = tables.read_folder(spark, path)
     return _model_totals(found, F.regexp_extract("file_path", r"model_name=([^/]+)/", 1))
 
@@ -123,7 +123,7 @@ def io4(spark, sf_dir):
 def io5(spark, sf_dir):
     path = tables.stage_path(spark, "by-model")
     study = fixed_study(spark, sf_dir)
-    tables.write_by_model(study.points, path)
+    tables.write_by_model(study.staged_points, path)
     wanted = study.same_form.select("model_name")
     found = spark.read.parquet(path).join(wanted, "model_name", "left_semi")
     return _model_totals(found, F.col("model_name"))
@@ -132,7 +132,7 @@ def io5(spark, sf_dir):
 @query("io6_name_from_path")
 def io6(spark, sf_dir):
     study = fixed_study(spark, sf_dir)
-    files = _model_totals(study.points, F.col("model_name")).select(
+    files = _model_totals(study.staged_points, F.col("model_name")).select(
         F.concat(F.lit("out/loo/"), "model_name", F.lit(".rds")).alias("path"), "n_trials"
     )
     return files.select("path", tables.stem(F.col("path")).alias("model_name"), "n_trials")
@@ -141,7 +141,7 @@ def io6(spark, sf_dir):
 @query("io7_write_chunks")
 def io7(spark, sf_dir):
     path = tables.stage_path(spark, "chunks")
-    chunked = weights.balanced_chunks(weights.pseudo_bma(fixed_study(spark, sf_dir).points), CHUNKS)
+    chunked = weights.balanced_chunks(weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points), CHUNKS)
     tables.write_chunks(chunked.select("chunk", "model_name", "log_weight"), path)
     return spark.read.parquet(path).select(F.col("chunk").cast("int"), "model_name", "log_weight")
 
@@ -456,7 +456,7 @@ def l5(spark, sf_dir):
 
 @query("w1_pseudo_bma", digits=4)
 def w1(spark, sf_dir):
-    return weights.pseudo_bma(fixed_study(spark, sf_dir).points)
+    return weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
 
 
 @query("w2_pseudo_bma_bootstrap")
@@ -475,18 +475,18 @@ def w3(spark, sf_dir):
 
 @query("w4_cutoff", digits=4)
 def w4(spark, sf_dir):
-    return weights.cutoff(weights.pseudo_bma(fixed_study(spark, sf_dir).points), -3.0)
+    return weights.cutoff(weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points), -3.0)
 
 
 @query("w5_balanced_chunks", digits=4)
 def w5(spark, sf_dir):
-    table = weights.pseudo_bma(fixed_study(spark, sf_dir).points)
+    table = weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
     return weights.balanced_chunks(table, CHUNKS).select("model_name", "chunk", "log_weight")
 
 
 @query("w6_chunk_lists")
 def w6(spark, sf_dir):
-    table = weights.pseudo_bma(fixed_study(spark, sf_dir).points)
+    table = weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
     return weights.chunk_lists(weights.balanced_chunks(table, CHUNKS)).select("chunk", _text("models"), "seed")
 
 
@@ -574,11 +574,7 @@ class Question2(Study):
 
     @property
     def classes(self):
-        if "_classes" not in self.__dict__:
-            self._classes = tables.stage(
-                trials.count_classes(self.trials, contrast.COHORT2_KEYS), "classes"
-            )
-        return self._classes
+        return self._stage("classes", lambda: trials.count_classes(self.trials, contrast.COHORT2_KEYS))
 
     @property
     def cells(self):
@@ -586,20 +582,16 @@ class Question2(Study):
 
     @property
     def points(self):
-        halves = self.halves.select(
-            F.col("form").alias("model_name"),
-            "cell_id",
-            "cnt",
-            "copies",
-            (F.col("elpd_zero") + F.col("elpd_count")).alias("elpd"),
+        elpd = F.col("elpd_zero") + F.col("elpd_count")
+        return self.halves.select(
+            F.col("form").alias("model_name"), "cell_id", "cnt", "copies", elpd.alias("elpd")
         )
-        return halves
 
 
 @query("w15_named_stacking")
 def w15(spark, sf_dir):
     study = Question2(spark, sf_dir)
-    return weights.scaled(weights.em_steps(tables.stage(study.points, "pointwise"), EM_STEPS))
+    return weights.scaled(weights.em_steps(study.staged_points, EM_STEPS))
 
 
 # Draws ---------------------------------------------------------------------
@@ -699,7 +691,7 @@ def e4b(spark, sf_dir):
 
 @query("e5_by_model")
 def e5(spark, sf_dir):
-    return ev_study(spark, sf_dir).values.groupBy("model_name", "cell_id").agg(
+    return ev_study(spark, sf_dir).staged_values.groupBy("model_name", "cell_id").agg(
         F.avg("count_ev").alias("count_ev"), F.avg("prev_ev").alias("prev_ev")
     )
 
@@ -707,18 +699,18 @@ def e5(spark, sf_dir):
 @query("e6_values_with_cells")
 def e6(spark, sf_dir):
     study = ev_study(spark, sf_dir)
-    return expected.with_cells(study.values.drop("model_name"), study.cells)
+    return expected.with_cells(study.staged_values.drop("model_name"), study.cells)
 
 
 @query("e7_cell_summary")
 def e7(spark, sf_dir):
     study = ev_study(spark, sf_dir)
-    return expected.cell_summary(study.values, study.draw_bound)
+    return expected.cell_summary(study.staged_values, study.draw_bound)
 
 
 def _site_summary(spark, sf_dir):
     study = ev_study(spark, sf_dir)
-    return expected.site_summary(expected.with_cells(study.values, study.cells))
+    return expected.site_summary(expected.with_cells(study.staged_values, study.cells))
 
 
 @query("e8_site_summary")
@@ -878,13 +870,13 @@ def x15(spark, sf_dir):
 
 @query("x16_inclusion")
 def x16(spark, sf_dir):
-    return effects.inclusion(effect_study(spark, sf_dir).effect_sizes)
+    return effects.inclusion(effect_study(spark, sf_dir).staged_effects)
 
 
 @query("x17_credible_intervals")
 def x17(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.credible_intervals(study.effect_sizes, ["component", "factor"], study.draw_bound)
+    return effects.credible_intervals(study.staged_effects, ["component", "factor"], study.draw_bound)
 
 
 @query("x17b_located_quantiles")
@@ -896,18 +888,18 @@ def x17b(spark, sf_dir):
 @query("x18_summary")
 def x18(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.summary(study.effect_sizes, study.draw_bound)
+    return effects.summary(study.staged_effects, study.draw_bound)
 
 
 @query("x19_n_draws")
 def x19(spark, sf_dir):
-    return effects.n_draws(effect_study(spark, sf_dir).effect_sizes)
+    return effects.n_draws(effect_study(spark, sf_dir).staged_effects)
 
 
 @query("x20_manuscript")
 def x20(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.manuscript(effects.summary(study.effect_sizes, study.draw_bound))
+    return effects.manuscript(effects.summary(study.staged_effects, study.draw_bound))
 
 
 @query("x21_split_effects")
@@ -918,7 +910,7 @@ def x21(spark, sf_dir):
 
 @query("x22_joint_inclusion")
 def x22(spark, sf_dir):
-    return effects.joint_inclusion(effect_study(spark, sf_dir).effect_sizes, "count")
+    return effects.joint_inclusion(effect_study(spark, sf_dir).staged_effects, "count")
 
 
 # Densities -----------------------------------------------------------------
@@ -994,7 +986,7 @@ def k8(spark, sf_dir):
 def k9(spark, sf_dir):
     study = effect_study(spark, sf_dir)
     # Order on rounded values, so that ties and last digits do not decide it.
-    table = rounded(effects.summary(study.effect_sizes, study.draw_bound))
+    table = rounded(effects.summary(study.staged_effects, study.draw_bound))
     return density.measures(table, [JOINT_SOURCE, JOINT_HOST])
 
 
@@ -1029,7 +1021,7 @@ def _question2_draws(study: Question2) -> DataFrame:
     """Pooled expected values of the best candidate and of the random-effect one."""
     from twofold.functions import rand
 
-    table = weights.scaled(weights.em_steps(tables.stage(study.points, "pointwise"), EM_STEPS))
+    table = weights.scaled(weights.em_steps(study.staged_points, EM_STEPS))
     shares = table.where(F.col("model_name").isin("Full", "Random Effect")).select(
         "model_name", F.bround(F.col("scaled") * F.lit(float(study.per_model))).cast("long").alias("n_draws")
     )

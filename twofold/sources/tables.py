@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,35 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stages: dict[tuple, tuple[str, T.StructType]] = {}
+
+
+def stage_once(spark: SparkSession, key: tuple, name: str, build) -> DataFrame:
+    """Staged table of a stage that several analyses of a session share.
+
+    ``key`` names the input and every parameter the stage depends on. The table
+    is written on first use and read from the staging folder after that, like
+    the stage files of a batch pipeline; it is built anew if the folder lost it.
+    """
+    full = (spark.sparkContext.applicationId, staging_root(spark), name, *key)
+    if full in _stages:
+        path, schema = _stages[full]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            del _stages[full]
+    df = build()
+    path = stage_path(spark, name)
+    df.write.parquet(path)
+    _stages[full] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_stages() -> None:
+    """Build all shared stages anew; call it after the input has changed."""
+    _stages.clear()
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType = TRIAL_SCHEMA) -> DataFrame:
     """Read delimited text with a declared schema; the text ``NA`` is null."""
     return spark.read.schema(schema).csv(path, header=True, nullValue="NA")
