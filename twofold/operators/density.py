@@ -167,18 +167,18 @@ def density_1d(
     Every value adds to all grid points by an explode; partial sums run before
     the shuffle, which carries n rows per group and task.
     """
-    seen = rows.where(F.col(value).isNotNull())
+    seen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
     stats = grouped_quantiles(
         seen,
         keys,
-        value,
+        "_value",
         (0.25, 0.75),
         ("q25", "q75"),
         group_rows=n_points,
         extra=(
-            F.min(value).alias("least"),
-            F.max(value).alias("most"),
-            F.stddev_samp(value).alias("sd"),
+            F.min("_value").alias("least"),
+            F.max("_value").alias("most"),
+            F.stddev_samp("_value").alias("sd"),
             F.count(F.lit(1)).alias("n_points"),
         ),
     )
@@ -187,7 +187,7 @@ def density_1d(
     )
     frame = stats.select(*keys, "least", "most", "n_points", h.alias("h")).where(F.col("h") > 0)
     x = F.col("least") + (F.col("most") - F.col("least")) * F.col("i") / F.lit(float(n - 1))
-    t = (F.col("x") - F.col(value)) / F.col("h")
+    t = (F.col("x") - F.col("_value")) / F.col("h")
     spread = (
         seen.join(frame, keys)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -138,10 +138,14 @@ def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
         f"max(host_site = '{design.host}') OVER (PARTITION BY genus) AS has_ref",
     )
     base = base.where(f"NOT has_ref OR base_host = '{design.host}'").selectExpr(
-        "genus", "base_host", "1.0D / count(1) OVER (PARTITION BY genus) AS w", "1 AS one"
+        "genus", "base_host", "1.0D / count(1) OVER (PARTITION BY genus) AS w"
+    )
+    # Base hosts of the reference genus, once for every other genus.
+    against_ref = (
+        base.selectExpr("*", "collect_set(genus) OVER () AS genera")
+        .where(f"genus = '{genus}'")
+        .selectExpr("base_host", "w", f"explode(array_remove(genera, '{genus}')) AS genus")
     )
-    ref_base = base.where(f"genus = '{genus}'").drop("genus")
-    others = hosts.where(f"genus <> '{genus}'").selectExpr("genus", "1 AS one").distinct()
     moved = hosts.where(f"host_site <> '{design.host}'")
 
     def both_forms(rows_of) -> list[str]:
@@ -166,7 +170,7 @@ def contrasts(cells: DataFrame, design: Design = Design()) -> DataFrame:
     tables = [
         plain,
         _rows(base, own),
-        _rows(others.join(ref_base, "one"), against),
+        _rows(against_ref, against),
         _rows(moved, offset),
         _rows(moved.join(base, "genus"), from_base),
     ]

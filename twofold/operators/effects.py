@@ -163,7 +163,14 @@ def nested_vectors(
     rows = draws.where(
         (F.col("kind") == "intercept") | F.col("term").isin(parent_term, child_term)
     )
-    placed = level_parent(rows, dimension)
+    # The intercept row looks up the parent of the child's reference level.
+    if child_ref is None:
+        placed = level_parent(rows, dimension)
+    else:
+        at_ref = F.col("kind") == "intercept"
+        placed = level_parent(
+            rows.withColumn("level", F.when(at_ref, F.lit(child_ref)).otherwise(F.col("level"))), dimension
+        )
     term, level, value = F.col("term"), F.col("level"), F.col("value")
     slots = _both_parts(index).unionByName(
         placed.select("draw_id", "component", "term", "level", "parent", "value"), allowMissingColumns=True
@@ -177,6 +184,7 @@ def nested_vectors(
     )
     gathered = slots.groupBy("draw_id", "component").agg(
         F.max(F.when(term == "intercept", value)).alias("intercept"),
+        F.max(F.when(term == "intercept", F.col("parent"))).alias("ref_parent"),
         parents.alias("parents"),
         children.alias("children"),
     )
@@ -184,8 +192,6 @@ def nested_vectors(
     full_parents = F.when(F.size("parents") > 0, F.concat("parents", zero_parent))
     full_children = F.when(F.size("children") > 0, F.col("children"))
     if child_ref is not None:
-        at = dimension.where(F.col("level") == child_ref).select(F.col("parent").alias("ref_parent"))
-        gathered = gathered.withColumn("_one", F.lit(1)).join(at.withColumn("_one", F.lit(1)), "_one", "left")
         zero_child = F.struct(
             F.lit(child_ref).alias("level"), F.col("ref_parent").alias("parent"), F.lit(0.0).alias("value")
         )

@@ -276,9 +276,7 @@ def newton_step(table: DataFrame, state: DataFrame) -> DataFrame:
     number of parameters. Steps are scaled so that no parameter moves by more
     than 2, which keeps the rates of the first steps finite.
     """
-    values = state.select(
-        "side", "component", F.concat_ws("|", "term", "level").alias("row"), "value", "precision"
-    )
+    values = state.withColumn("row", F.concat_ws("|", "term", "level"))
     # The parameter vector of a candidate travels with it: P numbers per side.
     vectors = values.groupBy("side", "component").agg(
         F.map_from_entries(F.collect_list(F.struct("row", "value"))).alias("values")
@@ -332,13 +330,12 @@ def _solve(key, block):
     move = np.linalg.solve(h, g)
     size = float(np.abs(move).max())
     move *= min(1.0, 2.0 / size) if size > 0 else 1.0
-    split = [n.split("|", 1) for n in names]
     return pd.DataFrame(
         {
             "side": key[0],
             "component": key[1],
-            "term": [s[0] for s in split],
-            "level": [s[1] for s in split],
+            "term": own["term"].to_numpy(),
+            "level": own["level"].to_numpy(),
             "value": value + move,
             "precision": prec,
             "change": size,

@@ -114,29 +114,18 @@ def formula(terms: Column, response: str) -> Column:
 def two_part(subsets: DataFrame) -> DataFrame:
     """Every count part with every hurdle part.
 
-    The hurdle parts are held as one array per row (the model space is fixed by
-    the number of terms, 255 subsets at most) and exploded next to each count part.
+    The size of the model space is set by the number of terms (255 subsets at
+    most), so the subsets travel as one array that is exploded once per part.
     """
-    hurdles = subsets.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("mask").alias("hurdle_mask"),
-                    F.col("terms").alias("hurdle_terms"),
-                    F.col("n_coef").alias("hurdle_coef"),
-                )
-            )
-        ).alias("hurdles"),
-        F.lit(1).alias("_all"),
-    )
+    part = F.struct("mask", "terms", "n_coef")
     return (
-        subsets.withColumn("_all", F.lit(1))
-        .join(hurdles, "_all")
+        subsets.agg(F.sort_array(F.collect_list(part)).alias("parts"))
+        .select("parts", F.inline("parts").alias("count_mask", "count_terms", "count_coef"))
         .select(
-            F.col("mask").alias("count_mask"),
-            F.col("terms").alias("count_terms"),
-            F.col("n_coef").alias("count_coef"),
-            F.inline("hurdles"),
+            "count_mask",
+            "count_terms",
+            "count_coef",
+            F.inline("parts").alias("hurdle_mask", "hurdle_terms", "hurdle_coef"),
         )
         .withColumn("count_formula", formula(F.col("count_terms"), "cnt"))
         .withColumn("hurdle_formula", formula(F.col("hurdle_terms"), "hu"))

@@ -199,12 +199,12 @@ def stack(
     """Stacking weights: the simplex point with the best log score.
 
     Each pass is one job over the densities, kept partitioned by class. Only the
-    weights, one number per model, return to the driver. Between two plain
-    steps the path is extrapolated (squared iterative method); the extrapolated
-    point is dropped if it scores worse, so convergence is that of the plain
-    steps or better. Stops when no model's gradient exceeds 1 + tol, which
-    bounds the loss of score per trial by tol. Weights below ``floor`` end as 0.
-    With ``keys`` (chunk) every chunk is stacked in the same jobs.
+    weights, one number per model, return to the driver. A step multiplies each
+    weight by its gradient to some power; the power grows while the score rises
+    and falls back when it does not, down to the plain step, which never lowers
+    the score. Stops when no model's gradient exceeds 1 + tol, which bounds the
+    loss of score per trial by tol. Weights below ``floor`` end as 0. With
+    ``keys`` (chunk) every chunk is stacked in the same jobs.
     """
     spark = points.sparkSession
     dens = (
@@ -231,44 +231,52 @@ def stack(
             score[name[1:]] = score.get(name[1:], 0.0) + r["part"]
         return grad, score
 
-    def normalise(state: dict) -> dict:
-        total: dict = {}
-        for k, v in state.items():
-            total[k[1:]] = total.get(k[1:], 0.0) + v
-        return {k: v / total[k[1:]] for k, v in state.items()}
-
     names = [tuple(r) for r in points.select("model_name", *keys).distinct().collect()]
     if len(names) < 2:
         raise ValueError("stacking needs at least two models")
-    state = normalise({n: 1.0 for n in names})
+    members: dict = {}
+    for n in names:
+        members.setdefault(n[1:], []).append(n)
+
+    def scaled_to_one(log_weights: dict) -> dict:
+        """Weights from their logs, kept off zero so that a model can come back."""
+        top = max(log_weights.values())
+        raw = {n: max(math.exp(v - top), 1e-12) for n, v in log_weights.items()}
+        total = sum(raw.values())
+        return {n: v / total for n, v in raw.items()}
+
+    state = {n: 1.0 / len(group) for group in members.values() for n in group}
     grad, score = evaluate(state)
-    passes = 1
-    while max(grad.values()) - 1.0 > tol and passes < max_steps:
-        one = normalise({k: state[k] * grad[k] for k in state})
-        grad_one, score_one = evaluate(one)
-        two = normalise({k: one[k] * grad_one[k] for k in one})
-        leap = {}
-        for group in {k[1:] for k in state}:
-            members = [k for k in state if k[1:] == group]
-            r = [one[k] - state[k] for k in members]
-            v = [two[k] - 2 * one[k] + state[k] for k in members]
-            rr, vv = sum(x * x for x in r), sum(x * x for x in v)
-            a = -math.sqrt(rr / vv) if vv > 0 else -1.0
-            a = min(a, -1.0)
-            for k, x, y in zip(members, r, v):
-                leap[k] = max(state[k] - 2 * a * x + a * a * y, two[k] * 1e-3)
-        leap = normalise(leap)
-        grad_leap, score_leap = evaluate(leap)
-        passes += 2
-        # A group whose leap scores worse than its first plain step goes on from there.
-        state, grad = {}, {}
-        for k in leap:
-            good = score_leap[k[1:]] >= score_one[k[1:]]
-            state[k] = leap[k] if good else one[k]
-            grad[k] = grad_leap[k] if good else grad_one[k]
+    power = dict.fromkeys(members, 1.0)
+
+    def unfinished() -> list:
+        return [g for g, ns in members.items() if max(grad[n] for n in ns) - 1.0 > tol]
+
+    for _ in range(max_steps):
+        moving = unfinished()
+        if not moving:
+            break
+        trial = dict(state)
+        for g in moving:
+            trial.update(
+                scaled_to_one(
+                    {n: math.log(state[n]) + power[g] * math.log(max(grad[n], 1e-300)) for n in members[g]}
+                )
+            )
+        grad_trial, score_trial = evaluate(trial)
+        for g in moving:
+            if score_trial[g] >= score[g] or power[g] == 1.0:
+                for n in members[g]:
+                    state[n], grad[n] = trial[n], grad_trial[n]
+                score[g], power[g] = score_trial[g], power[g] * 1.5
+            else:
+                power[g] = max(1.0, power[g] / 3.0)
     dens.unpersist()
-    state = normalise({k: (v if v > floor else 0.0) for k, v in state.items()})
-    rows = [(*k, float(v), float(grad[k])) for k, v in state.items()]
+    rows = []
+    for group in members.values():
+        kept = {n: state[n] if state[n] > floor else 0.0 for n in group}
+        total = sum(kept.values())
+        rows += [(*n, kept[n] / total, float(grad[n])) for n in group]
     return spark.createDataFrame(rows, f"{schema}, weight double, gradient double")
 
 
