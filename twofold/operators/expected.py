@@ -63,7 +63,7 @@ def linear_predictors(
     cells: DataFrame,
     draws: DataFrame,
     interactions: bool = True,
-    draw_blocks: int = 8,
+    draw_blocks: int | None = None,
     cell_blocks: int = 4,
 ) -> DataFrame:
     """Linear predictor of both parts for every cell under every draw.
@@ -164,7 +164,7 @@ def complete_share(
     Reference levels need no parameter. ``by`` is ``cell_id`` or ``draw_id``.
     """
     pairs = block_product(
-        draw_vectors(draws), cell_keys(cells, terms, reference), "draw_id", "cell_id", 8, 4
+        draw_vectors(draws), cell_keys(cells, terms, reference), "draw_id", "cell_id"
     )
 
     def share(part: str, name: str) -> Column:

@@ -12,6 +12,7 @@ from twofold.functions.links import (
     truncated_rate,
 )
 from twofold.operators.fit import estimates, form_groups, pooling, zero_chance
+from twofold.operators.joins import salted_join
 from twofold.operators.trials import CELL_KEYS
 from twofold.rules import FORMS, Form
 
@@ -101,9 +102,17 @@ def pointwise(candidates: DataFrame, halves: DataFrame) -> DataFrame:
 
 
 def trial_scores(trials: DataFrame, cells: DataFrame, points: DataFrame) -> DataFrame:
-    """Model-by-trial table in long form: each trial takes its class's score."""
-    located = trials.join(cells.select(*CELL_KEYS, "cell_id"), list(CELL_KEYS)).select("trial_id", *CLASS)
-    return located.join(points, list(CLASS)).select("model_name", "trial_id", "elpd")
+    """Model-by-trial table in long form: each trial takes its class's score.
+
+    One class (say, the zeros of a large cell) may hold a third of the trials,
+    so both joins cut their keys into parts.
+    """
+    homes = cells.select(*CELL_KEYS, "cell_id")
+    located = salted_join(trials, homes, list(CELL_KEYS), spread="trial_id").select("trial_id", *CLASS)
+    scored = points.select("model_name", *CLASS, "elpd")
+    return salted_join(located, scored, list(CLASS), spread="trial_id").select(
+        "model_name", "trial_id", "elpd"
+    )
 
 
 # Scores from draws ---------------------------------------------------------

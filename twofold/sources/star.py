@@ -32,9 +32,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncleaned trials; one market segment plays the missing block.
 
-    The fact table is counted per (customer, supplier) and then per (customer,
-    nation) before the customer table joins, so a customer that owns a third of
-    all items has at most one row per nation by then.
+    Suppliers join first: they drop the items of other regions before the large
+    shuffle by order, and each is cut into parts, so one supplier may hold a
+    third of all items. Items are then counted per (customer, nation), with
+    partial sums before the shuffle, so the customer table meets at most one
+    row per customer and nation however many items a customer has.
     """
     items = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("long").alias("returned")
@@ -51,18 +53,15 @@ def raw_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     suppliers = (
         load(spark, sf_dir, "supplier")
-        .join(origins, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("s_suppkey").alias("l_suppkey"), "n_nationkey", "family", "source_site")
-    )
-    per_supplier = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_suppkey")
-        .agg(F.sum("returned").alias("returned"))
+        .join(origins, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
     )
     per_nation = (
-        salted_join(per_supplier, suppliers, "l_suppkey", spread="o_custkey")
-        .groupBy("o_custkey", "n_nationkey", "family", "source_site")
+        salted_join(items, suppliers, "l_suppkey", spread="l_orderkey")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_custkey", "n_nationkey")
         .agg(F.sum("returned").alias("cnt"))
+        .join(origins, "n_nationkey")
     )
     hosts = places.select(
         F.col("n_nationkey").alias("host_nation"), F.col("r_name").alias("host_site")
