@@ -26,7 +26,7 @@ expect(
 )
 expect(
     "io6_name_from_path",
-    """SELECT 'out/loo/' || model_name || '.rds' AS path, model_name, CAST(sum(copies) AS BIGINT) AS n_trials
+    """SELECT 'scores/' || model_name || '.parquet' AS path, model_name, CAST(sum(copies) AS BIGINT) AS n_trials
 FROM points36 GROUP BY model_name""",
 )
 expect("io7_write_chunks", "SELECT CAST(chunk AS INTEGER) AS chunk, model_name, log_weight FROM chunked", "log_weight")

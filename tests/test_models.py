@@ -208,3 +208,12 @@ def test_pareto_tail_fit():
 def test_constant_ratios_need_no_smoothing():
     elpd, k = scores._smooth_ratios([1.5] * 100)
     assert elpd == pytest.approx(-1.5) and k is None
+
+
+def test_site_codes_round_trip_with_an_order(spark):
+    labels = trials.site_labels(spark)
+    df = spark.createDataFrame([(1, "gos"), (2, "lau"), (3, "ech")], "trial_id long, host_site string")
+    named = trials.recode(df, "host_site", labels)
+    assert [r.host_site for r in named.orderBy("host_site_ordinal").collect()] == ["Lawier", "Echo", "Gossling"]
+    back = trials.uncode(named.drop("host_site_ordinal"), "host_site", labels)
+    assert sorted((r.trial_id, r.host_site) for r in back.collect()) == [(1, "gos"), (2, "lau"), (3, "ech")]

@@ -199,7 +199,8 @@ def _fit_tail(x):
     b = 1.0 / x[-1] + (1.0 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3.0 * quarter)
     k = np.log1p(-b[:, None] * x[None, :]).mean(axis=1)
     profile = n * (np.log(-b / k) - k - 1.0)
-    weight = 1.0 / np.exp(profile[None, :] - profile[:, None]).sum(axis=1)
+    with np.errstate(over="ignore"):  # a hopeless value gets weight 1 / inf = 0
+        weight = 1.0 / np.exp(profile[None, :] - profile[:, None]).sum(axis=1)
     best = float((b * weight).sum())
     shape = float(np.log1p(-best * x).mean())
     scale = -shape / best

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twofold.rules import NULL_BLOCK, Design
+from twofold.rules import NULL_BLOCK, SITE_LABELS, Design
 
 CELL_KEYS = ("host_site", "family", "source_site", "block", "genus", "native")
 TRIAL_COLUMNS = ("trial_id", "host_site", "family", "source_site", "block", "cnt")
@@ -33,6 +33,11 @@ def flag_to_int(flag: Column, yes: str = "y") -> Column:
     return (flag == yes).cast("int")
 
 
+def site_labels(spark: SparkSession) -> DataFrame:
+    """Display names and order of the site codes, as a label table."""
+    return spark.createDataFrame(list(SITE_LABELS), "code string, label string, ordinal long")
+
+
 def recode(df: DataFrame, col: str, labels: DataFrame) -> DataFrame:
     """Replace the codes of ``col`` by labels and add the level order.
 

@@ -133,7 +133,7 @@ def io5(spark, sf_dir):
 def io6(spark, sf_dir):
     study = fixed_study(spark, sf_dir)
     files = _model_totals(study.staged_points, F.col("model_name")).select(
-        F.concat(F.lit("out/loo/"), "model_name", F.lit(".rds")).alias("path"), "n_trials"
+        F.concat(F.lit("scores/"), "model_name", F.lit(".parquet")).alias("path"), "n_trials"
     )
     return files.select("path", tables.stem(F.col("path")).alias("model_name"), "n_trials")
 

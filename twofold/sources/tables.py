@@ -31,7 +31,7 @@ def staging_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a single-machine
     session may fall back to a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
