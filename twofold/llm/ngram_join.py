@@ -11,17 +11,22 @@ Empty signatures say nothing and are left out. A set with so many of them that
 sharing is no longer certain also emits a prefix (its first features in a fixed
 order, enough for any partner to share one).
 
-Pairs are found in two passes, so that no group is expanded to all its pairs:
+Pairs are found in steps, so that no group is expanded to all its pairs:
 
 1. Each group of equal signatures links its members to its smallest document
    only; equal signatures within a task are joined there, before the shuffle.
    A document's candidate with most shared signatures is verified on whole sets,
    and verified links give components.
-2. What is left are groups that span several components: unlinked documents with
-   a passage in common, or links that the star of pass 1 missed. Features in more
-   than ``common`` components are left out of the partition (a difference count
-   over fewer features is no larger, so the guarantee holds), and signatures of
-   the others give pairs across components, all of which are verified.
+2. Groups that span several components are left: documents with a passage in
+   common, or links that the stars missed. Their distinct sets go through another
+   round of stars, with several hubs chosen by hash, across components only.
+3. What still spans components is decided exactly. Features in more than
+   ``common`` components are left out of the partition (a difference count over
+   fewer features is no larger, so the guarantee holds), and signatures of the
+   others give pairs of components. Jaccard distance is a metric: two documents
+   can only be linked if the distance of their components' first documents is at
+   most their own distances to those plus the limit. Pairs of documents that this
+   leaves open are verified.
 """
 
 from __future__ import annotations
@@ -39,9 +44,9 @@ from twofold.llm.text import bucket_count, chunks, deal, group_starts, lower_wor
 from twofold.sources.tables import stage
 
 _SUBSETS = 3
+_WIDTH = 5
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
 _ENTRY = "bucket int, kind int, ids binary, per binary, upper binary"
-_OWNER = np.dtype([("doc", "<i8"), ("comp", "<i8")])
 
 
 def features(text: str | None, size: int) -> np.ndarray:
@@ -95,92 +100,99 @@ def signatures(f: np.ndarray, s: int, num: int, den: int, first: np.ndarray | No
     return np.concatenate(out)
 
 
-def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key): size and 128-bit digest of each document's set, empty sets without digest."""
+def sets_and_stars(docs: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
+    """One pass over the texts: rows (a, null, size, digest) of sets and (a, b, shared, null) of star candidates.
 
-    def run(batches):
-        for pdf in batches:
-            sets = [features(t, size) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_shingles": [len(f) for f in sets],
-                    "set_key": [xxhash.xxh3_128_digest(f.tobytes()) if len(f) else None for f in sets],
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary")
-
-
-def star_candidates(docs: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(a, b, shared): each member b of a signature group with the group's smallest document a."""
+    A set's digest has 128 bits; an empty set has none. A candidate pairs each
+    member b of a signature group with the group's smallest document a.
+    """
 
     def entries(batches):
         for pdf in chunks(batches):
             pdf = pdf.sort_values("doc_id")
             ids = pdf["doc_id"].to_numpy(np.int64)
-            keys, owners = [], []
-            for i, t in enumerate(pdf["text"]):
-                f = features(t, size)
-                if len(f):
-                    keys.append(signatures(f, len(f), num, den))
-                    owners.append(np.full(len(keys[-1]), i, np.int64))
-            if not keys:
-                continue
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(keys, kind="stable")
-            start = group_starts(keys[order])
-            hub, member = owners[order][start], owners[order]
-            first = start == np.arange(len(order))
-            code, count = np.unique((hub * len(ids) + member)[hub != member], return_counts=True)
-            keep = np.sort(order[first])
-            rows = [(b, 0, *blobs) for b, *blobs in deal(keys[keep], owners[keep], ids, buckets)]
-            if len(code):
-                a, b = ids[code // len(ids)], ids[code % len(ids)]
-                rows.append((int(ids[0] % buckets), 1, a.tobytes(), b.tobytes(), count.astype(np.int64).tobytes()))
+            sets = [features(t, size) for t in pdf["text"]]
+            n = np.array([len(f) for f in sets], np.int64)
+            digests = b"".join(xxhash.xxh3_128_digest(f.tobytes()) for f in sets)
+            rows = [(int(ids[0] % buckets), 2, ids.tobytes(), n.tobytes(), digests)]
+            some = np.flatnonzero(n)
+            if len(some):
+                per = [signatures(sets[i], len(sets[i]), num, den) for i in some]
+                keys, owners = np.concatenate(per), np.repeat(some, [len(k) for k in per])
+                keep, hub, member = _stars(keys, owners, owners, None)
+                rows += [(b, 0, *blobs) for b, *blobs in deal(keys[keep], owners[keep], ids, buckets, _WIDTH)]
+                rows.append(_pair_row(ids[hub], ids[member], buckets))
             yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "per", "upper"])
 
     def join(pdf):
-        local, sent = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0]
-        owner, upper = undeal(sent["ids"], sent["per"], sent["upper"])
-        order = np.lexsort((owner, upper))
-        owner, start = owner[order], group_starts(upper[order])
-        hub = owner[start]
-        far = hub != owner
-        pairs = np.rec.fromarrays([hub[far], owner[far]], names="a,b")
-        pairs, count = np.unique(pairs, return_counts=True)
-        cols = [np.frombuffer(b"".join(local[c]), np.int64) for c in ("ids", "per", "upper")]
-        mine = (pairs["a"], pairs["b"], count)
-        return pd.DataFrame({c: np.r_[x, y] for c, x, y in zip(("a", "b", "shared"), mine, cols)})
+        local, sent, sets = (pdf[pdf["kind"] == k] for k in (1, 0, 2))
+        owner, key = undeal(sent["ids"], sent["per"], sent["upper"], _WIDTH)
+        _, hub, member = _stars(key, owner, owner, None)
+        pairs = _counted(hub, member, local)
+        ids, n = (np.frombuffer(b"".join(sets[c]), np.int64) for c in ("ids", "per"))
+        raw = b"".join(sets["upper"])
+        digest = [raw[16 * i : 16 * i + 16] if k else None for i, k in enumerate(n)]
+        out = pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "n": n, "set_key": digest})
+        return pd.concat([pairs.assign(b=pairs["b"].astype("Int64"), set_key=None), out])
 
     return (
         docs.select("doc_id", "text")
         .mapInPandas(entries, _ENTRY)
         .groupBy("bucket")
-        .applyInPandas(join, "a long, b long, shared long")
-        .groupBy("a", "b")
-        .agg(F.sum("shared").alias("shared"))
+        .applyInPandas(join, "a long, b long, n long, set_key binary")
     )
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int, per_task: int = 500) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by intersecting whole sets.
+def _stars(keys: np.ndarray, owners: np.ndarray, order_by: np.ndarray, comps: np.ndarray | None):
+    """Entries that stand for their group (in ascending place), and hub and member of the other entries.
+
+    The hub of a group of equal keys is its first by ``order_by``. With ``comps``
+    only members of other components than their hub's are given.
+    """
+    order = np.lexsort((order_by, keys))
+    start = group_starts(keys[order])
+    first = start == np.arange(len(order))
+    hub, member = owners[order][start], owners[order]
+    far = hub != member
+    if comps is not None:
+        far &= comps[order][start] != comps[order]
+    return np.sort(order[first]), hub[far], member[far]
+
+
+def _pair_row(hub: np.ndarray, member: np.ndarray, buckets: int) -> tuple:
+    pairs, count = np.unique(np.rec.fromarrays([hub, member], names="a,b"), return_counts=True)
+    at = int(pairs["a"][0] % buckets) if len(pairs) else 0
+    return at, 1, pairs["a"].tobytes(), pairs["b"].tobytes(), count.astype(np.int64).tobytes()
+
+
+def _counted(hub: np.ndarray, member: np.ndarray, local: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, n) of a bucket's pairs and of those that tasks found before the shuffle."""
+    pairs, count = np.unique(np.rec.fromarrays([hub, member], names="a,b"), return_counts=True)
+    cols = [np.frombuffer(b"".join(local[c]), np.int64) for c in ("ids", "per", "upper")]
+    return pd.DataFrame({c: np.r_[x, y] for c, x, y in zip(("a", "b", "n"), (pairs["a"], pairs["b"], count), cols)})
+
 
-    Equal digests need no texts and sizes too far apart no check. Else b's text
-    goes to the task that holds a's; an a with many partners is repeated, once
-    for every ``per_task`` of them.
+def overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int, sized: bool = True, per_task: int = 500) -> DataFrame:
+    """(a, b, na, nb, both) of pairs (a, b): set sizes and size of the intersection of whole sets.
+
+    With ``sized``, pairs whose sizes alone rule out a link are left out. Equal
+    digests need no texts. Else b's text goes to the task that holds a's; an a with
+    many partners is repeated, once for every ``per_task`` of them.
     """
     spark = docs.sparkSession
-    side = sets.where("n_shingles > 0").distinct()
-    sized = (
+    side = sets.where("n > 0").select("doc_id", "n", "set_key").distinct()
+    known = (
         pairs.select("a", "b")
+        .distinct()
         .join(side.toDF("a", "na", "ka"), "a")
         .join(side.toDF("b", "nb", "kb"), "b")
         .withColumn("same", F.col("ka") == F.col("kb"))
-        .where(F.col("same") | (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     )
-    sized = stage(sized.select("a", "b", "same").distinct(), "pairs")
-    alike, rest = sized.where("same").select("a", "b"), sized.where("not same").select("a", "b")
+    if sized:
+        known = known.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    known = stage(known.select("a", "b", "na", "nb", "same").distinct(), "pairs")
+    alike = known.where("same").select("a", "b", "na", "nb", F.col("na").alias("both"))
+    rest = known.where("not same").select("a", "b").distinct()
     total = rest.count()
     if not total:
         return alike
@@ -199,92 +211,144 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num:
             hubs = [features(t, size) for t in rows.loc[mine, "text"]]
             for b, t in zip(rows.loc[~mine, "doc_id"], rows.loc[~mine, "text"]):
                 f = features(t, size)
-                for h in hubs:
-                    both = len(np.intersect1d(h, f, assume_unique=True))
-                    if len(f) and den * both >= num * (len(h) + len(f) - both):
-                        out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.extend((a, b, len(h), len(f), len(np.intersect1d(h, f, assume_unique=True))) for h in hubs)
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb", "both"], dtype="int64")
 
-    checked = sent.select("task", "a", "salt", "doc_id", "text").groupBy("task").applyInPandas(check, "a long, b long")
+    schema = "a long, b long, na long, nb long, both long"
+    checked = sent.select("task", "a", "salt", "doc_id", "text").groupBy("task").applyInPandas(check, schema)
     return alike.union(checked)
 
 
-def across_candidates(texts: DataFrame, size: int, num: int, den: int, buckets: int, common: int) -> DataFrame:
-    """(a, b) pairs of different components with a signature in common, over features of at most ``common`` components.
+def _linked(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that reach the threshold."""
+    return found.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
+
+
+def hub_candidates(texts: DataFrame, size: int, num: int, den: int, buckets: int, rounds: int) -> DataFrame:
+    """(a, b, n, round) pairs of different components: members of signature groups with ``rounds`` hubs chosen by hash.
 
     ``texts`` has doc_id, comp and text.
     """
 
+    def entries(batches):
+        for pdf in chunks(batches):
+            ids, comps = pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
+            per = [signatures(f, len(f), num, den) for f in (features(t, size) for t in pdf["text"])]
+            keys, owners = np.concatenate(per), np.repeat(np.arange(len(per)), [len(k) for k in per])
+            rows, kept = [], np.empty(0, np.int64)
+            for r in range(rounds):
+                keep, hub, member = _stars(keys, owners, _place(ids, r)[owners], comps[owners])
+                at, _, *blobs = _pair_row(ids[hub], ids[member], buckets)
+                rows.append((at, 10 + r, *blobs))
+                kept = np.union1d(kept, keep)
+            packed = np.rec.fromarrays([ids, comps], names="doc,comp")
+            rows += [(b, 0, *blobs) for b, *blobs in deal(keys[kept], owners[kept], np.asarray(packed), buckets, _WIDTH)]
+            yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "per", "upper"])
+
+    def join(pdf):
+        sent = pdf[pdf["kind"] == 0]
+        pairs_of, key = _undealt_pairs(sent)
+        doc, comp = pairs_of
+        out = []
+        for r in range(rounds):
+            _, hub, member = _stars(key, doc, _place(doc, r), comp)
+            out.append(_counted(hub, member, pdf[pdf["kind"] == 10 + r]).assign(round=r))
+        return pd.concat(out)
+
+    return (
+        texts.select("doc_id", "comp", "text")
+        .mapInPandas(entries, _ENTRY)
+        .groupBy("bucket")
+        .applyInPandas(join, "a long, b long, n long, round int")
+        .groupBy("a", "b", "round")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _place(ids: np.ndarray, r: int) -> np.ndarray:
+    """Order of documents in which round r chooses hubs."""
+    return mix(ids.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 * (r + 1) % 2**64))
+
+
+def _undealt_pairs(sent: pd.DataFrame):
+    """Document, component and key of entries whose owners are (document, component)."""
+    both = np.frombuffer(b"".join(sent["ids"]), np.int64).reshape(-1, 2)
+    per = np.frombuffer(b"".join(sent["per"]), np.uint32)
+    _, key = undeal([], [], sent["upper"], _WIDTH)
+    return (np.repeat(both[:, 0], per), np.repeat(both[:, 1], per)), key
+
+
+def across_components(texts: DataFrame, size: int, num: int, den: int, buckets: int, common: int) -> DataFrame:
+    """(a, b) pairs of components with a signature in common, over features of at most ``common`` components.
+
+    ``texts`` has comp and text.
+    """
+
     def spread(batches):
         for pdf in chunks(batches):
             comps, at = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
             by: dict[int, list[np.ndarray]] = {}
             for c, t in zip(at, pdf["text"]):
                 by.setdefault(int(c), []).append(features(t, size))
-            keys = [(c, np.unique(np.concatenate(by[c]))) for c in sorted(by)]
-            owners = np.concatenate([np.full(len(k), c, np.int64) for c, k in keys])
-            rows = list(deal(np.concatenate([k for _, k in keys]), owners, comps, buckets))
+            keys = [np.unique(np.concatenate(by[c])) for c in range(len(comps))]
+            owners = np.repeat(np.arange(len(comps)), [len(k) for k in keys])
+            rows = list(deal(np.concatenate(keys), owners, comps, buckets, _WIDTH))
             yield pd.DataFrame(rows, columns=["bucket", "ids", "per", "upper"])
 
     def widespread(pdf):
-        owner, upper = undeal(pdf["ids"], pdf["per"], pdf["upper"])
-        order = np.lexsort((owner, upper))
-        owner, upper = owner[order], upper[order]
-        fresh = np.r_[True, (owner[1:] != owner[:-1]) | (upper[1:] != upper[:-1])] if len(owner) else np.empty(0, bool)
-        owner, upper = owner[fresh], upper[fresh]
-        _, at, n = np.unique(upper, return_inverse=True, return_counts=True)
+        owner, key = undeal(pdf["ids"], pdf["per"], pdf["upper"], _WIDTH)
+        order = np.lexsort((owner, key))
+        owner, key = owner[order], key[order]
+        fresh = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])] if len(owner) else np.empty(0, bool)
+        owner, key = owner[fresh], key[fresh]
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
         hot = n[at] > common
-        code = (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)) | upper[hot].astype(np.uint64)
-        out = pd.DataFrame({"comp": owner[hot], "code": code})
-        return pd.DataFrame([(c, g.to_numpy().tobytes()) for c, g in out.groupby("comp")["code"]], columns=["comp", "codes"])
+        out = pd.DataFrame({"comp": owner[hot], "key": key[hot]})
+        return pd.DataFrame([(c, g.to_numpy().tobytes()) for c, g in out.groupby("comp")["key"]], columns=["comp", "keys"])
 
     hot = (
-        texts.mapInPandas(spread, "bucket int, ids binary, per binary, upper binary")
+        texts.select("comp", "text")
+        .mapInPandas(spread, "bucket int, ids binary, per binary, upper binary")
         .groupBy("bucket")
-        .applyInPandas(widespread, "comp long, codes binary")
+        .applyInPandas(widespread, "comp long, keys binary")
         .groupBy("comp")
-        .agg(F.collect_list("codes").alias("codes"))
+        .agg(F.collect_list("keys").alias("keys"))
     )
+    low = np.uint64(2 ** (64 - 8 * _WIDTH) - 1)
 
     def entries(batches):
         for pdf in chunks(batches):
-            ids = np.rec.fromarrays([pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)], dtype=_OWNER)
-            keys, owners = [], []
-            for i, (t, codes) in enumerate(zip(pdf["text"], pdf["codes"])):
+            comps, at = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
+            by: dict[int, list[np.ndarray]] = {}
+            for c, t, known in zip(at, pdf["text"], pdf["keys"]):
                 f = features(t, size)
-                if not len(f):
-                    continue
                 rare, first = f, None
-                if codes is not None and len(codes):
-                    known = np.frombuffer(b"".join(codes), np.uint64)
-                    code = ((f % np.uint64(buckets)) << np.uint64(32)) | (f >> np.uint64(32))
-                    seen = np.isin(code, known)
+                if known is not None and len(known):
+                    seen = np.isin(f & ~low, np.frombuffer(b"".join(known), np.uint64))
                     rare, first = f[~seen], np.r_[f[~seen], f[seen]]
-                keys.append(signatures(rare, len(f), num, den, first))
-                owners.append(np.full(len(keys[-1]), i, np.int64))
-            if keys:
-                rows = list(deal(np.concatenate(keys), np.concatenate(owners), np.asarray(ids), buckets))
-                yield pd.DataFrame(rows, columns=["bucket", "ids", "per", "upper"])
+                by.setdefault(int(c), []).append(signatures(rare, len(f), num, den, first))
+            keys = [np.unique(np.concatenate(by[c])) for c in range(len(comps))]
+            owners = np.repeat(np.arange(len(comps)), [len(k) for k in keys])
+            rows = list(deal(np.concatenate(keys), owners, comps, buckets, _WIDTH))
+            yield pd.DataFrame(rows, columns=["bucket", "ids", "per", "upper"])
 
     def join(pdf):
-        owner, upper = undeal(pdf["ids"], pdf["per"], pdf["upper"], _OWNER)
-        order = np.argsort(upper, kind="stable")
-        doc, comp, upper = owner["doc"][order], owner["comp"][order], upper[order]
-        cuts = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1], True]) if len(upper) else np.zeros(1, int)
-        several = np.flatnonzero(np.diff(cuts) > 1)
-        found: set[tuple[int, int]] = set()
-        for g in several:
-            d, c = doc[cuts[g] : cuts[g + 1]], comp[cuts[g] : cuts[g + 1]]
-            if (c == c[0]).all():
-                continue
-            for i in range(len(d) - 1):
-                for other in d[i + 1 :][c[i + 1 :] != c[i]]:
-                    found.add((min(d[i], other), max(d[i], other)))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        comp, key = undeal(pdf["ids"], pdf["per"], pdf["upper"], _WIDTH)
+        order = np.lexsort((comp, key))
+        comp, key = comp[order], key[order]
+        fresh = np.r_[True, (comp[1:] != comp[:-1]) | (key[1:] != key[:-1])] if len(comp) else np.empty(0, bool)
+        comp, key = comp[fresh], key[fresh]
+        place = np.arange(len(key)) - group_starts(key) if len(key) else np.empty(0, int)
+        found = [np.empty((0, 2), np.int64)]
+        # Partner at each distance within the group: sorted, so the smaller component comes first.
+        for d in range(1, int(place.max(initial=0)) + 1):
+            at = np.flatnonzero(place >= d)
+            found.append(np.unique(np.stack([comp[at - d], comp[at]], 1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     return (
-        texts.join(hot, "comp", "left")
-        .select("doc_id", "comp", "text", "codes")
+        texts.select("comp", "text")
+        .join(hot, "comp", "left")
         .mapInPandas(entries, "bucket int, ids binary, per binary, upper binary")
         .groupBy("bucket")
         .applyInPandas(join, "a long, b long")
@@ -292,7 +356,55 @@ def across_candidates(texts: DataFrame, size: int, num: int, den: int, buckets:
     )
 
 
-def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, common: int = 16) -> DataFrame:
+def _open(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(comp) of components that an edge (a, b) connects to another one."""
+    ends = (
+        edges.join(labels.toDF("a", "ca"), "a", "left")
+        .join(labels.toDF("b", "cb"), "b", "left")
+        .select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        .where("ca <> cb")
+    )
+    return ends.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct()
+
+
+def _links_between(texts: DataFrame, sets: DataFrame, size: int, num: int, den: int, buckets: int, common: int) -> DataFrame:
+    """All links between documents of different components; ``texts`` has doc_id, comp and text."""
+    pairs = stage(across_components(texts, size, num, den, buckets, common), "across")
+    members = stage(texts.select("doc_id", "comp").join(sets.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "members")
+    many = members.where("doc_id <> comp").select("comp").distinct()
+    mixed = pairs.join(many.toDF("a"), "a", "left_semi").union(pairs.join(many.toDF("b"), "b", "left_semi").select("a", "b")).distinct()
+    alone = _linked(overlaps(texts, sets, pairs, size, num, den), num, den)
+
+    # Distances of members to their component's first document, and of first documents to each other.
+    def distance(found: DataFrame) -> DataFrame:
+        d = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+        return found.groupBy("a", "b").agg(F.min(d).alias("d"))
+
+    own = members.join(mixed.select(F.explode(F.array("a", "b")).alias("comp")).distinct(), "comp", "left_semi")
+    inner = own.where("doc_id <> comp").select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
+    apart = stage(distance(overlaps(texts, sets, inner.union(mixed), size, num, den, sized=False)), "distances")
+    at = own.join(apart.toDF("comp", "doc_id", "d"), ["comp", "doc_id"], "left").select("comp", "doc_id", "n", F.coalesce("d", F.lit(0.0)).alias("d"))
+    radius = at.groupBy("comp").agg(F.max("d").alias("r"))
+    limit = 1 - num / den + 1e-9
+    near = (
+        mixed.join(apart, ["a", "b"])
+        .join(radius.toDF("a", "ra"), "a")
+        .join(radius.toDF("b", "rb"), "b")
+        .where(F.col("d") - F.col("ra") - F.col("rb") <= limit)
+        .select("a", "b", "d")
+    )
+    rest = (
+        near.join(at.toDF("a", "x", "nx", "dx"), "a")
+        .where(F.col("d") - F.col("dx") - limit <= 1)
+        .join(at.toDF("b", "y", "ny", "dy"), "b")
+        .where((F.col("d") - F.col("dx") - F.col("dy") <= limit) & (F.abs(F.col("dx") - F.col("dy")) <= F.col("d") + limit))
+        .where((F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & ~((F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))))
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    return alone.union(_linked(overlaps(texts, sets, rest, size, num, den), num, den))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, common: int = 16, hubs: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Two documents are linked when den * |intersection| >= num * |union| of their
@@ -306,39 +418,39 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 1
         raise ValueError("thresholds below one half would need bands beyond the neighbouring one")
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
-    sets = stage(document_sets(known, size), "sets")
     buckets = bucket_count(known)
-    stars = stage(star_candidates(known, size, num, den, buckets), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = stage(verified(known, sets, best, size, num, den), "links")
+    found = stage(sets_and_stars(known, size, num, den, buckets), "stars")
+    sets = found.where("b is null").select(F.col("a").alias("doc_id"), "n", "set_key")
+    stars = found.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    first = stage(sets.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first")), "first")
+    copies = sets.join(first, "set_key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    links = stage(_linked(overlaps(known, sets, best, size, num, den), num, den).union(copies), "links")
     labels = components(links)
 
-    at = labels.withColumnsRenamed({"doc_id": "id", "component_id": "comp"})
-    ends = (
-        stars.join(at.toDF("a", "ca"), "a", "left")
-        .join(at.toDF("b", "cb"), "b", "left")
-        .select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        .where("ca <> cb")
-    )
-    open_ = ends.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct()
+    # One document of each distinct set in components that are still open.
+    edges = found.where("b is not null").select("a", "b").distinct()
     left = (
-        sets.where("n_shingles > 0")
-        .select(F.col("doc_id").alias("id"))
-        .distinct()
-        .join(at, "id", "left")
-        .select(F.col("id").alias("doc_id"), F.coalesce("comp", "id").alias("comp"))
-        .join(open_, "comp", "left_semi")
+        first.select(F.col("first").alias("doc_id")).distinct().join(labels, "doc_id", "left")
+        .select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+        .join(_open(edges, labels), "comp", "left_semi")
     )
     texts = stage(known.join(left, "doc_id").select("doc_id", "comp", "text"), "texts")
-    pairs = stage(across_candidates(texts, size, num, den, buckets, common), "across")
-    more = stage(verified(known, sets, pairs, size, num, den), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-
-    whole = sets.select("doc_id", "n_shingles").join(labels, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    if not texts.isEmpty():
+        crossed = stage(hub_candidates(texts, size, num, den, buckets, hubs), "hubs")
+        best = crossed.groupBy("b", "round").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b").distinct()
+        links = stage(links.union(_linked(overlaps(texts, sets, best, size, num, den), num, den)), "links")
+        labels = components(links)
+        still = _open(edges.union(crossed.select("a", "b")).distinct(), labels)
+        at = texts.select("doc_id", "text").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"), "text")
+        texts = stage(at.join(still, "comp", "left_semi"), "texts")
+        more = stage(_links_between(texts, sets, size, num, den, buckets, common), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+
+    whole = sets.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInPandas(
+        lambda batches: (pd.DataFrame({"n_shingles": [len(features(t, size)) for t in p["text"]]}) for p in batches), "n_shingles long"
     )
-    nameless = document_sets(
-        docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text"), size
-    ).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return whole.union(nameless)
+    none = F.lit(None).cast("long")
+    return whole.union(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))

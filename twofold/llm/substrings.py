@@ -136,7 +136,7 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         order = np.lexsort((owner, upper))
         owner, upper = owner[order], upper[order]
         hub = owner[group_starts(upper)] if len(owner) else owner
-        far = hub != owner
+        far, upper = hub != owner, (upper >> np.uint64(32)).astype(np.uint32)
         rows = list(_grouped(owner[far], hub[far], upper[far]))
         rows += [(d, None, w) for d, _, w in _grouped(hub[far], hub[far], upper[far])]
         for k, d, o, w in zip(local["kind"], local["doc"], local["other"], local["upper"]):

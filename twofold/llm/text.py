@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 6_000_000
 BUCKET_CHARS = 14_000_000
+LEAST_BUCKETS = 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -74,22 +75,22 @@ def chunks(batches: Iterator[pd.DataFrame], limit: int = CHUNK_CHARS) -> Iterato
 
 def bucket_count(docs: DataFrame, chars_per_bucket: int = BUCKET_CHARS) -> int:
     """Number of buckets that keeps a bucket's share of the texts bounded, from one pass over lengths."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chars_per_bucket), 1)
+    return max(LEAST_BUCKETS, -(-total // chars_per_bucket))
 
 
-def deal(keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, buckets: int) -> Iterable[tuple[int, bytes, bytes, bytes]]:
-    """Pack entries by bucket: (bucket, owner ids, entries per owner, upper halves of the keys).
+def deal(keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, buckets: int, width: int = 6) -> Iterable[tuple[int, bytes, bytes, bytes]]:
+    """Pack entries by bucket: (bucket, owner ids, entries per owner, upper ``width`` bytes of the keys).
 
-    ``owners`` are positions in ``ids`` in ascending order. Bucket and upper half
+    ``owners`` are positions in ``ids`` in ascending order. Bucket and upper bytes
     tell keys apart up to rare collisions, which users of the entries verify.
     """
     if not len(keys):
         return
     bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    bucket, owners, upper = bucket[order], owners[order], (keys[order] >> np.uint64(32)).astype(np.uint32)
+    bucket, owners = bucket[order], owners[order]
+    upper = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = owners[a:b]
@@ -98,10 +99,13 @@ def deal(keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, buckets: int) ->
         yield int(bucket[a]), ids[own[starts]].tobytes(), per.tobytes(), upper[a:b].tobytes()
 
 
-def undeal(ids: Iterable[bytes], per: Iterable[bytes], upper: Iterable[bytes], kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """Owner id and upper half of each entry of a bucket; ``kind`` is the type of ``ids``."""
-    owner = np.frombuffer(b"".join(ids), kind)
-    return np.repeat(owner, np.frombuffer(b"".join(per), np.uint32)), np.frombuffer(b"".join(upper), np.uint32)
+def undeal(ids: Iterable[bytes], per: Iterable[bytes], upper: Iterable[bytes], width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Owner id and upper bytes, as the top of a 64-bit value, of each entry of a bucket."""
+    owner = np.repeat(np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(per), np.uint32))
+    raw = np.frombuffer(b"".join(upper), np.uint8).reshape(-1, width)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, 8 - width :] = raw
+    return owner, keys.view("<u8").ravel()
 
 
 def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
