@@ -259,24 +259,37 @@ GROUP BY model_name, weight""",
     "gradient",
 )
 expect("w9_stacking_steps", "SELECT * FROM m36_em5", "weight")
+expect("w9b_stacking_converged", "SELECT * FROM m64_stacked", "weight", "gradient")
+expect(
+    "w10b_chunk_stacking_converged",
+    "SELECT model_name, CAST(chunk AS INTEGER) AS chunk, weight, gradient, converged FROM ch_stacked",
+    "weight",
+    "gradient",
+)
+expect(
+    "w12_final_stacking",
+    "SELECT model_name, weight, gradient, converged, count_formula, hurdle_formula FROM last_stacked JOIN models36 USING (model_name)",
+    "weight",
+    "gradient",
+)
 expect("w10_chunk_stacking", "SELECT model_name, CAST(chunk AS INTEGER) AS chunk, weight FROM ch_em5", "weight")
 expect(
     "w11_survivors",
-    """SELECT model_name, count_formula, hurdle_formula, weight FROM models36 JOIN ch_em5 USING (model_name) WHERE weight > 0.1""",
+    """SELECT model_name, count_formula, hurdle_formula, weight FROM models36 JOIN ch_stacked USING (model_name) WHERE weight > 1e-6""",
     "weight",
 )
 expect(
     "w13_readable_weights",
     """SELECT model_name, weight, split_part(count_formula, ' ~ ', 2) AS cnt, split_part(hurdle_formula, ' ~ ', 2) AS hu
-FROM m36_em5 JOIN models36 USING (model_name)""",
+FROM m36_stacked JOIN models36 USING (model_name)""",
     "weight",
 )
 expect(
     "w14_term_weights",
     """SELECT coalesce(c.term, h.term) AS term, count_weight, hurdle_weight FROM
-(SELECT term, sum(weight) AS count_weight FROM (SELECT weight, unnest(count_terms) AS term FROM m36_em5 JOIN models36 USING (model_name)) GROUP BY term) c
+(SELECT term, sum(weight) AS count_weight FROM (SELECT weight, unnest(count_terms) AS term FROM m36_stacked JOIN models36 USING (model_name)) GROUP BY term) c
 FULL JOIN
-(SELECT term, sum(weight) AS hurdle_weight FROM (SELECT weight, unnest(hurdle_terms) AS term FROM m36_em5 JOIN models36 USING (model_name)) GROUP BY term) h
+(SELECT term, sum(weight) AS hurdle_weight FROM (SELECT weight, unnest(hurdle_terms) AS term FROM m36_stacked JOIN models36 USING (model_name)) GROUP BY term) h
 ON c.term = h.term""",
     "count_weight",
     "hurdle_weight",

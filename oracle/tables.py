@@ -49,7 +49,7 @@ def statement(final: str, doubles: tuple[str, ...] = (), digits: int = 6) -> str
             f"CASE WHEN round({d}, {digits}) = 0 THEN 0e0 ELSE round({d}, {digits}) END AS {d}" for d in doubles
         )
         final = f"SELECT * REPLACE ({swaps}) FROM (\n{final}\n)"
-    return f"WITH {with_part}\n{final}" if need else final
+    return f"WITH RECURSIVE {with_part}\n{final}" if need else final
 
 
 def cte(name: str, text: str) -> None:
@@ -314,9 +314,34 @@ GROUP BY model_name{k}, weight""",
         )
 
 
+def stack_chain(prefix: str, tol: str = "1e-4", chunk: str = "") -> None:
+    """Stacking steps until no gradient is above 1 + tol, after ``em_chain``."""
+    k = f", {chunk}" if chunk else ""
+    using = f"(model_name{k})"
+    over = f"OVER (PARTITION BY {chunk})" if chunk else "OVER ()"
+    slopes = """SELECT step, model_name{k}, weight, sum(copies * density / mix) / sum(copies) AS gradient FROM (
+  SELECT *, sum(weight * density) OVER (PARTITION BY cell_id, cnt{k}) AS mix FROM {p}dens JOIN (
+{state}) USING {using})
+GROUP BY step, model_name{k}, weight"""
+    start = f"SELECT 0 AS step, model_name{k}, weight FROM {prefix}em0"
+    moved = f"""SELECT step + 1 AS step, model_name{k}, greatest(raw / sum(raw) {over}, 1e-12) AS weight FROM (
+    SELECT *, weight * pow(gradient, [1, 4, 1, 16, 1, 64][step % 6 + 1]) AS raw, max(gradient) {over} AS top FROM {prefix}run)
+  WHERE top > 1e0 + {tol} AND step < 5000"""
+    first, later = (slopes.format(k=k, p=prefix, state=x, using=using) for x in (start, moved))
+    cte(f"{prefix}run", f"{first}\nUNION ALL\n{later}")
+    cte(
+        f"{prefix}stacked",
+        f"""SELECT model_name{k}, weight, gradient, max(gradient) {over} <= 1e0 + {tol} AS converged FROM (
+  SELECT *, max(step) {over} AS final FROM {prefix}run) WHERE step = final""",
+    )
+
+
 em_chain("m36_", "points36", 5)
-em_chain("m64_", "points64", 1)
+em_chain("m64_", "points64", 0)
 em_chain("ch_", "chunk_points", 5, "chunk")
+for _p in ("m36_", "m64_"):
+    stack_chain(_p)
+stack_chain("ch_", chunk="chunk")
 
 _MASS_KEY = "key_text || '|' || attempt"
 cte(
@@ -349,7 +374,17 @@ FROM (SELECT *, max(z) OVER (PARTITION BY replicate) AS top FROM boot)""",
 
 # Draws ---------------------------------------------------------------------
 
-cte("study_weights", "SELECT model_name, weight FROM m64_em1")
+cte("study_weights", "SELECT model_name, weight FROM m64_stacked")
+
+# The whole path of weighting.
+cte("rough", "SELECT model_name, avg(weight) AS weight FROM boot_weights GROUP BY model_name HAVING log10(avg(weight)) > -100")
+cte("rough_chunks", "SELECT model_name, row_number() OVER (ORDER BY weight DESC, model_name) % 4 + 1 AS chunk FROM rough")
+cte("rough_points", "SELECT p.*, chunk FROM points36 p JOIN rough_chunks USING (model_name)")
+em_chain("rc_", "rough_points", 0, "chunk")
+stack_chain("rc_", chunk="chunk")
+cte("last_points", "SELECT * FROM points36 WHERE model_name IN (SELECT model_name FROM rc_stacked WHERE weight > 1e-6)")
+em_chain("last_", "last_points", 0)
+stack_chain("last_")
 cte("hosts", "SELECT DISTINCT host_site, genus FROM cells")
 cte(
     "bases",
@@ -714,5 +749,6 @@ cte(
     "c2_points",
     "SELECT form AS model_name, cell_id, cnt, copies, elpd_zero + elpd_count AS elpd FROM c2_halves",
 )
-em_chain("c2_", "c2_points", 5)
-cte("c2_scaled", "SELECT *, weight / max(weight) OVER () AS scaled FROM c2_em5")
+em_chain("c2_", "c2_points", 0)
+stack_chain("c2_")
+cte("c2_scaled", "SELECT model_name, weight, weight / max(weight) OVER () AS scaled FROM c2_stacked")

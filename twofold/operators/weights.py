@@ -9,19 +9,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twofold.functions import rand
 from twofold.operators.scores import CLASS
+from twofold.sources.tables import stage
 
-
-def _softmax(z: Column, over) -> tuple[Column, Column]:
-    """Log weight and weight; windows here span models, never trials or draws."""
-    top = F.max(z).over(over)
-    ln_total = F.ln(F.sum(F.exp(z - top)).over(over))
-    return z - top - ln_total, F.exp(z - top - ln_total)
+# Powers of successive stacking steps, and the weight that no model falls below.
+POWERS = (1, 4, 1, 16, 1, 64)
+LEAST_WEIGHT = 1e-12
 
 
 def pseudo_bma(points: DataFrame) -> DataFrame:
@@ -189,95 +188,81 @@ def em_steps(points: DataFrame, steps: int, keys: tuple[str, ...] = ()) -> DataF
     return weights
 
 
+def _packed(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per class (and group): copies and the scaled densities of all models, in order of name.
+
+    An array is as long as there are models, whatever the number of trials.
+    """
+    group = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    rows = points.withColumn("group", group).groupBy(*CLASS, "group").agg(
+        F.max("copies").alias("copies"),
+        F.max("elpd").alias("best"),
+        F.sort_array(F.collect_list(F.struct("model_name", "elpd"))).alias("models"),
+    )
+    density = F.transform("models", lambda m: F.exp(m["elpd"] - F.col("best")))
+    return stage(rows.select("group", "copies", density.alias("density")), "packed")
+
+
 def stack(
     points: DataFrame,
     keys: tuple[str, ...] = (),
-    tol: float = 1e-3,
-    max_steps: int = 200,
-    floor: float = 1e-8,
+    tol: float = 1e-4,
+    max_steps: int = 5000,
 ) -> DataFrame:
     """Stacking weights: the simplex point with the best log score.
 
-    Each pass is one job over the densities, kept partitioned by class. Only the
-    weights, one number per model, return to the driver. A step multiplies each
-    weight by its gradient to some power; the power grows while the score rises
-    and falls back when it does not, down to the plain step, which never lowers
-    the score. Stops when no model's gradient exceeds 1 + tol, which bounds the
-    loss of score per trial by tol. Weights below ``floor`` end as 0. With
-    ``keys`` (chunk) every chunk is stacked in the same jobs.
+    Columns: model_name, keys, weight, gradient, converged. A step multiplies each
+    weight by its gradient to one of ``POWERS`` in turn; power 1 never lowers the
+    score, the others cover ground. A group is done when no model's gradient
+    exceeds 1 + tol, which bounds the loss of score per trial by tol; a group
+    that is not done after ``max_steps`` is marked as not converged. Weights are
+    kept above ``LEAST_WEIGHT``, so that a model can come back.
+
+    Classes are packed once, a row each with all models' densities; a step is one
+    pass in which a task returns one vector per group. With ``keys`` (chunk) every
+    group is stacked in the same passes.
     """
     spark = points.sparkSession
-    dens = (
-        densities(points, keys)
-        .select("model_name", *CLASS, *keys, "copies", "best", "density")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select("model_name", *keys).schema)
-
-    def evaluate(state: dict) -> tuple[dict, dict]:
-        """Gradient of each model and log score of each group, in one pass."""
-        w = spark.createDataFrame([(*k, v) for k, v in state.items()], f"{schema}, weight double")
-        mixed = mixture(dens, w, keys)
-        share = F.col("weight") * F.col("density") / F.col("mix")
-        rows = mixed.groupBy("model_name", *keys).agg(
-            (F.sum(F.col("copies") * F.col("density") / F.col("mix")) / F.sum("copies")).alias("g"),
-            # The shares of a class add up to one, so each model carries its part of the score.
-            F.sum(share * F.col("copies") * F.ln("mix")).alias("part"),
-        )
-        grad, score = {}, {}
-        for r in rows.collect():
-            name = (r["model_name"], *[r[k] for k in keys])
-            grad[name] = r["g"]
-            score[name[1:]] = score.get(name[1:], 0.0) + r["part"]
-        return grad, score
-
-    names = [tuple(r) for r in points.select("model_name", *keys).distinct().collect()]
-    if len(names) < 2:
+    named = points.select("model_name", *keys).distinct()
+    members: dict[str, list[tuple]] = {}
+    for r in sorted(tuple(r) for r in named.collect()):
+        members.setdefault("|".join(map(str, r[1:])), []).append(r)
+    if not members or min(map(len, members.values())) < 2:
         raise ValueError("stacking needs at least two models")
-    members: dict = {}
-    for n in names:
-        members.setdefault(n[1:], []).append(n)
-
-    def scaled_to_one(log_weights: dict) -> dict:
-        """Weights from their logs, kept off zero so that a model can come back."""
-        top = max(log_weights.values())
-        raw = {n: max(math.exp(v - top), 1e-12) for n, v in log_weights.items()}
-        total = sum(raw.values())
-        return {n: v / total for n, v in raw.items()}
-
-    state = {n: 1.0 / len(group) for group in members.values() for n in group}
-    grad, score = evaluate(state)
-    power = dict.fromkeys(members, 1.0)
-
-    def unfinished() -> list:
-        return [g for g, ns in members.items() if max(grad[n] for n in ns) - 1.0 > tol]
-
-    for _ in range(max_steps):
-        moving = unfinished()
+    packed = _packed(points, keys)
+    size = {r["group"]: r["n"] for r in packed.groupBy("group").agg(F.sum("copies").alias("n")).collect()}
+
+    def gradients(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        def run(batches):
+            sums: dict[str, np.ndarray] = {}
+            for pdf in batches:
+                for g, rows in pdf.groupby("group"):
+                    if g in state:
+                        d = np.stack(rows["density"].to_numpy())
+                        sums[g] = sums.get(g, 0.0) + (rows["copies"].to_numpy() / (d @ state[g])) @ d
+            yield pd.DataFrame({"group": list(sums), "part": [v.tolist() for v in sums.values()]})
+
+        out: dict[str, np.ndarray] = {}
+        for r in packed.mapInPandas(run, "group string, part array<double>").collect():
+            out[r["group"]] = out.get(r["group"], 0.0) + np.array(r["part"])
+        return {g: v / size[g] for g, v in out.items()}
+
+    state = {g: np.full(len(m), 1.0 / len(m)) for g, m in members.items()}
+    grad = gradients(state)
+    for step in range(max_steps):
+        moving = {g: state[g] * grad[g] ** POWERS[step % len(POWERS)] for g in members if grad[g].max() > 1 + tol}
         if not moving:
             break
-        trial = dict(state)
-        for g in moving:
-            trial.update(
-                scaled_to_one(
-                    {n: math.log(state[n]) + power[g] * math.log(max(grad[n], 1e-300)) for n in members[g]}
-                )
-            )
-        grad_trial, score_trial = evaluate(trial)
-        for g in moving:
-            if score_trial[g] >= score[g] or power[g] == 1.0:
-                for n in members[g]:
-                    state[n], grad[n] = trial[n], grad_trial[n]
-                score[g], power[g] = score_trial[g], power[g] * 1.5
-            else:
-                power[g] = max(1.0, power[g] / 3.0)
-    dens.unpersist()
-    rows = []
-    for group in members.values():
-        kept = {n: state[n] if state[n] > floor else 0.0 for n in group}
-        total = sum(kept.values())
-        rows += [(*n, kept[n] / total, float(grad[n])) for n in group]
-    return spark.createDataFrame(rows, f"{schema}, weight double, gradient double")
+        moved = {g: np.maximum(w / w.sum(), LEAST_WEIGHT) for g, w in moving.items()}
+        state.update(moved)
+        grad.update(gradients(moved))
+    rows = [
+        (*m, float(w), float(d), bool(grad[g].max() <= 1 + tol))
+        for g, ms in members.items()
+        for m, w, d in zip(ms, state[g], grad[g])
+    ]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    return spark.createDataFrame(rows, f"{schema}, weight double, gradient double, converged boolean")
 
 
 def first_pass(points: DataFrame, chunked: DataFrame, **options) -> DataFrame:
@@ -286,8 +271,8 @@ def first_pass(points: DataFrame, chunked: DataFrame, **options) -> DataFrame:
     return stack(inside, ("chunk",), **options)
 
 
-def survivors(settings: DataFrame, chunk_weights: DataFrame, min_weight: float = 0.0) -> DataFrame:
-    """Settings of the models that got weight in their chunk."""
+def survivors(settings: DataFrame, chunk_weights: DataFrame, min_weight: float = 1e-6) -> DataFrame:
+    """Settings of the models that got weight in their chunk; less than ``min_weight`` counts as none."""
     joined = settings.join(chunk_weights.select("model_name", "weight"), "model_name", "left")
     return joined.where(F.col("weight") > F.lit(min_weight))
 

@@ -27,11 +27,11 @@ class Study:
         sf_dir: str,
         forms: tuple[Form, ...] = FORMS,
         per_model: int = 4000,
-        steps: int = 1,
+        tol: float = 1e-4,
         design: Design = Design(),
     ):
         self.spark, self.sf_dir = spark, sf_dir
-        self.forms, self.per_model, self.steps, self.design = forms, per_model, steps, design
+        self.forms, self.per_model, self.tol, self.design = forms, per_model, tol, design
 
     def _stage(self, name: str, build, *depends) -> DataFrame:
         key = (type(self).__name__, self.sf_dir, self.design, *depends)
@@ -45,7 +45,7 @@ class Study:
     @property
     def _pool(self) -> tuple:
         """What the pooled draws depend on."""
-        return (self.forms, self.steps, self.per_model)
+        return (self.forms, self.tol, self.per_model)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -93,13 +93,17 @@ class Study:
     def staged_points(self) -> DataFrame:
         return self._stage("pointwise", lambda: self.points, *self._scores)
 
+    @cached_property
+    def stacked(self) -> DataFrame:
+        """Stacking weights with gradient and whether the tolerance was reached."""
+        return self._stage("weights", lambda: weights.stack(self.staged_points, tol=self.tol), self.forms, self.tol)
+
     @cached_property
     def weights(self) -> DataFrame:
-        """Stacking weights after a few steps from equal weights. Early stopping
-        keeps every candidate in the ensemble, so all factors take part."""
-        return self._stage(
-            "weights", lambda: weights.em_steps(self.staged_points, self.steps), self.forms, self.steps
-        )
+        """Converged stacking weights; draws are not pooled by any others."""
+        if not self.stacked.where("not converged").isEmpty():
+            raise RuntimeError("stacking has not converged; raise tol")
+        return self.stacked.select("model_name", "weight")
 
     @cached_property
     def allocation(self) -> DataFrame:

@@ -45,7 +45,6 @@ EM_STEPS = 5
 CHUNKS = 4
 GRID = 25
 CURVE = 41
-STUDY_STEPS = 1
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -73,11 +72,11 @@ def fixed_study(spark, sf_dir) -> Study:
 
 
 def ev_study(spark, sf_dir) -> Study:
-    return Study(spark, sf_dir, per_model=EV_DRAWS, steps=STUDY_STEPS)
+    return Study(spark, sf_dir, per_model=EV_DRAWS)
 
 
 def effect_study(spark, sf_dir) -> Study:
-    return Study(spark, sf_dir, per_model=EFFECT_DRAWS, steps=STUDY_STEPS)
+    return Study(spark, sf_dir, per_model=EFFECT_DRAWS)
 
 
 # Sources and sinks ---------------------------------------------------------
@@ -509,7 +508,7 @@ def w9(spark, sf_dir):
 
 @query("w9b_stacking_converged")
 def w9b(spark, sf_dir):
-    return weights.stack(fixed_study(spark, sf_dir).staged_points)
+    return Study(spark, sf_dir).stacked
 
 
 def _chunked_points(study: Study):
@@ -534,22 +533,23 @@ def w10b(spark, sf_dir):
 def w11(spark, sf_dir):
     study = fixed_study(spark, sf_dir)
     inside = tables.stage(_chunked_points(study), "chunked")
-    first = weights.em_steps(inside, EM_STEPS, ("chunk",))
-    return weights.survivors(
-        study.candidates.select("model_name", "count_formula", "hurdle_formula"), first, 0.1
-    )
+    first = weights.stack(inside, ("chunk",))
+    return weights.survivors(study.candidates.select("model_name", "count_formula", "hurdle_formula"), first)
 
 
 @query("w12_final_stacking")
 def w12(spark, sf_dir):
+    """The whole path: bootstrap weights, cutoff, chunks, stacking per chunk, stacking of what is left."""
     study = fixed_study(spark, sf_dir)
     settings = study.candidates.select("model_name", "count_formula", "hurdle_formula")
-    rough = weights.cutoff(weights.pseudo_bma(study.staged_points), -30.0)
-    return weights.final_stacking(study.staged_points, modelspace.keep_named(settings, rough))
+    rough = weights.cutoff(weights.pseudo_bma_bootstrap(study.staged_points, REPLICATES))
+    chunked = tables.stage(weights.balanced_chunks(rough, CHUNKS), "chunked")
+    first = weights.first_pass(study.staged_points, chunked)
+    return weights.final_stacking(study.staged_points, weights.survivors(settings, first).drop("weight"))
 
 
 def _weighted(study: Study) -> DataFrame:
-    return weights.em_steps(study.staged_points, EM_STEPS).join(study.candidates, "model_name")
+    return study.weights.join(study.candidates, "model_name")
 
 
 @query("w13_readable_weights")
@@ -591,7 +591,7 @@ class Question2(Study):
 @query("w15_named_stacking")
 def w15(spark, sf_dir):
     study = Question2(spark, sf_dir)
-    return weights.scaled(weights.em_steps(study.staged_points, EM_STEPS))
+    return weights.scaled(study.weights)
 
 
 # Draws ---------------------------------------------------------------------
@@ -599,7 +599,7 @@ def w15(spark, sf_dir):
 
 @query("d1_allocate")
 def d1(spark, sf_dir):
-    return Study(spark, sf_dir, steps=STUDY_STEPS).allocation
+    return Study(spark, sf_dir).allocation
 
 
 @query("d2_draw_index")
@@ -609,7 +609,7 @@ def d2(spark, sf_dir):
 
 @query("d3_allocate_total")
 def d3(spark, sf_dir):
-    study = Study(spark, sf_dir, steps=STUDY_STEPS)
+    study = Study(spark, sf_dir)
     free = draws.allocate_total(study.weights, 4000).withColumnRenamed("n_draws", "n_free")
     fixed = draws.allocate_total(study.weights, 4000, 50000.0).select("model_name", "n_draws")
     return free.join(fixed, "model_name")
@@ -1021,7 +1021,7 @@ def _question2_draws(study: Question2) -> DataFrame:
     """Pooled expected values of the best candidate and of the random-effect one."""
     from twofold.functions import rand
 
-    table = weights.scaled(weights.em_steps(study.staged_points, EM_STEPS))
+    table = weights.scaled(study.weights)
     shares = table.where(F.col("model_name").isin("Full", "Random Effect")).select(
         "model_name", F.bround(F.col("scaled") * F.lit(float(study.per_model))).cast("long").alias("n_draws")
     )
