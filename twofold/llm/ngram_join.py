@@ -16,17 +16,19 @@ Pairs are found in steps, so that no group is expanded to all its pairs:
 1. Each group of equal signatures links its members to its smallest document
    only; equal signatures within a task are joined there, before the shuffle.
    A document's candidate with most shared signatures is verified on whole sets,
-   and verified links give components.
-2. Groups that span several components are left: documents with a passage in
-   common, or links that the stars missed. Their distinct sets go through another
-   round of stars, with several hubs chosen by hash, across components only.
-3. What still spans components is decided exactly. Features in more than
-   ``common`` components are left out of the partition (a difference count over
-   fewer features is no larger, so the guarantee holds), and signatures of the
-   others give pairs of components. Jaccard distance is a metric: two documents
-   can only be linked if the distance of their components' first documents is at
-   most their own distances to those plus the limit. Pairs of documents that this
-   leaves open are verified.
+   unless they are too few to be likely, and verified links give components.
+2. Components that likely candidates still connect go through another round of
+   stars, with several hubs chosen by hash.
+3. Groups that span several components are settled exactly. A linked partner
+   shares a known number of signatures, the slack. Groups of few components give
+   pairs of components. A component with fewer signatures in larger groups (a
+   passage that many documents share) than its slack cannot miss a partner by
+   leaving those out. For the others, features in more than ``common`` components
+   are left out of the partition: a difference count over fewer features is no
+   larger, so the guarantee holds, and signatures of the rest give pairs.
+4. Jaccard distance is a metric: two documents can only be linked if the distance
+   of their components' first documents is at most their own distances to those
+   plus the limit. Pairs of documents that this leaves open are verified.
 """
 
 from __future__ import annotations
@@ -40,11 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twofold.llm.components import components
-from twofold.llm.text import bucket_count, chunks, deal, group_starts, lower_words, mix, undeal, window_hashes, word_hashes
+from twofold.llm.text import bucket_count, chunks, deal, group_starts, lower_words, mix, sieve, undeal, window_hashes, word_hashes
 from twofold.sources.tables import stage
 
 _SUBSETS = 3
 _WIDTH = 5
+_LIKELY = 50
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
 _ENTRY = "bucket int, kind int, ids binary, per binary, upper binary"
 
@@ -79,13 +82,15 @@ def _tags(s: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(f: np.ndarray, s: int, num: int, den: int, first: np.ndarray | None = None) -> np.ndarray:
-    """PartEnum signatures of a set of size ``s`` over the features ``f`` (all of them, or the rarer ones).
+def signatures(f: np.ndarray, s: int, num: int, den: int, first: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """PartEnum signatures of a set of size ``s`` over the features ``f`` (all of them, or the rarer ones), and its slack.
 
-    ``first`` are the features in prefix order; by default the hash order.
+    A linked partner shares at least ``slack`` of them. Where that count falls
+    below one, a prefix is added, and with it the slack is one again if the partner
+    does the same. ``first`` are the features in prefix order, by default by hash.
     """
     sums = np.r_[np.uint64(0), np.cumsum(mix(f ^ _PREFIX), dtype=np.uint64)]
-    out, certain = [], True
+    out, slack = [], 1 << 30
     for tag, k, own in _tags(s, num, den):
         parts = k // 2 + 2 + max(1, k // 16)
         at = np.r_[0, np.searchsorted(f, _cuts(parts)), len(f)]
@@ -93,15 +98,15 @@ def signatures(f: np.ndarray, s: int, num: int, den: int, first: np.ndarray | No
         sig, some = sub.sum(1, dtype=np.uint64)[:, None] - sub, n.sum(1)[:, None] > n
         salt = np.arange(parts, dtype=np.uint64)[:, None] * np.uint64(_SUBSETS) + np.arange(_SUBSETS, dtype=np.uint64)
         out.append(mix(sig ^ mix(salt + np.uint64(tag << 40)))[some])
-        certain &= parts - own // 2 > int((~some).any(1).sum())
-    if not certain:
+        slack = min(slack, parts - own // 2 - int((~some).any(1).sum()))
+    if slack < 1:
         order = f if first is None else first
         out.append(mix(order[: s - -(-num * s // den) + 1] + _PREFIX))
-    return np.concatenate(out)
+    return np.concatenate(out), max(slack, 0)
 
 
 def sets_and_stars(docs: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
-    """One pass over the texts: rows (a, null, size, digest) of sets and (a, b, shared, null) of star candidates.
+    """One pass over the texts: rows (a, null, size, slack, digest) of sets and (a, b, shared, null, null) of star candidates.
 
     A set's digest has 128 bits; an empty set has none. A candidate pairs each
     member b of a signature group with the group's smallest document a.
@@ -114,14 +119,14 @@ def sets_and_stars(docs: DataFrame, size: int, num: int, den: int, buckets: int)
             sets = [features(t, size) for t in pdf["text"]]
             n = np.array([len(f) for f in sets], np.int64)
             digests = b"".join(xxhash.xxh3_128_digest(f.tobytes()) for f in sets)
-            rows = [(int(ids[0] % buckets), 2, ids.tobytes(), n.tobytes(), digests)]
-            some = np.flatnonzero(n)
+            some, slack, rows = np.flatnonzero(n), np.zeros(len(n), np.int64), []
             if len(some):
-                per = [signatures(sets[i], len(sets[i]), num, den) for i in some]
+                per, slack[some] = zip(*(signatures(sets[i], len(sets[i]), num, den) for i in some))
                 keys, owners = np.concatenate(per), np.repeat(some, [len(k) for k in per])
                 keep, hub, member = _stars(keys, owners, owners, None)
                 rows += [(b, 0, *blobs) for b, *blobs in deal(keys[keep], owners[keep], ids, buckets, _WIDTH)]
                 rows.append(_pair_row(ids[hub], ids[member], buckets))
+            rows.append((int(ids[0] % buckets), 2, ids.tobytes(), np.stack([n, slack], 1).tobytes(), digests))
             yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "per", "upper"])
 
     def join(pdf):
@@ -129,17 +134,17 @@ def sets_and_stars(docs: DataFrame, size: int, num: int, den: int, buckets: int)
         owner, key = undeal(sent["ids"], sent["per"], sent["upper"], _WIDTH)
         _, hub, member = _stars(key, owner, owner, None)
         pairs = _counted(hub, member, local)
-        ids, n = (np.frombuffer(b"".join(sets[c]), np.int64) for c in ("ids", "per"))
+        ids, (n, slack) = np.frombuffer(b"".join(sets["ids"]), np.int64), np.frombuffer(b"".join(sets["per"]), np.int64).reshape(-1, 2).T
         raw = b"".join(sets["upper"])
         digest = [raw[16 * i : 16 * i + 16] if k else None for i, k in enumerate(n)]
-        out = pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "n": n, "set_key": digest})
-        return pd.concat([pairs.assign(b=pairs["b"].astype("Int64"), set_key=None), out])
+        out = pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "n": n, "slack": slack, "set_key": digest})
+        return pd.concat([pairs.assign(b=pairs["b"].astype("Int64"), slack=0, set_key=None), out])
 
     return (
         docs.select("doc_id", "text")
         .mapInPandas(entries, _ENTRY)
         .groupBy("bucket")
-        .applyInPandas(join, "a long, b long, n long, set_key binary")
+        .applyInPandas(join, "a long, b long, n long, slack long, set_key binary")
     )
 
 
@@ -202,7 +207,8 @@ def overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num:
     routes = dealt.select("a", "salt", F.col("a").alias("doc_id")).distinct().union(
         dealt.select("a", "salt", F.col("b").alias("doc_id"))
     )
-    sent = routes.join(docs.select("doc_id", "text"), "doc_id").withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(groups)))
+    needed = docs.select("doc_id", "text").where(sieve(rest.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    sent = routes.join(needed, "doc_id").withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(groups)))
 
     def check(pdf):
         out = []
@@ -233,7 +239,7 @@ def hub_candidates(texts: DataFrame, size: int, num: int, den: int, buckets: int
     def entries(batches):
         for pdf in chunks(batches):
             ids, comps = pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
-            per = [signatures(f, len(f), num, den) for f in (features(t, size) for t in pdf["text"])]
+            per = [signatures(f, len(f), num, den)[0] for f in (features(t, size) for t in pdf["text"])]
             keys, owners = np.concatenate(per), np.repeat(np.arange(len(per)), [len(k) for k in per])
             rows, kept = [], np.empty(0, np.int64)
             for r in range(rounds):
@@ -278,6 +284,67 @@ def _undealt_pairs(sent: pd.DataFrame):
     return (np.repeat(both[:, 0], per), np.repeat(both[:, 1], per)), key
 
 
+def _by_component(pdf: pd.DataFrame, keys_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a chunk, and distinct keys with the component's place, from ``keys_of(row)``."""
+    comps, at = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
+    by: dict[int, list[np.ndarray]] = {}
+    for c, row in zip(at, pdf.itertuples(index=False)):
+        by.setdefault(int(c), []).append(keys_of(row))
+    keys = [np.unique(np.concatenate(by[c])) for c in range(len(comps))]
+    return comps, np.concatenate(keys), np.repeat(np.arange(len(comps)), [len(k) for k in keys])
+
+
+def _distinct_entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Component and key of a bucket's entries, each once, in order of key and component."""
+    owner, key = undeal(pdf["ids"], pdf["per"], pdf["upper"], _WIDTH)
+    order = np.lexsort((owner, key))
+    owner, key = owner[order], key[order]
+    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])] if len(owner) else np.empty(0, bool)
+    return owner[fresh], key[fresh]
+
+
+def _group_pairs(comp: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Distinct pairs (smaller, larger) of components that share a key."""
+    place = np.arange(len(key)) - group_starts(key) if len(key) else np.empty(0, int)
+    found = [np.empty((0, 2), np.int64)]
+    for d in range(1, int(place.max(initial=0)) + 1):
+        at = np.flatnonzero(place >= d)
+        found.append(np.unique(np.stack([comp[at - d], comp[at]], 1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+_BLOBS = "bucket int, ids binary, per binary, upper binary"
+
+
+def plain_pairs(texts: DataFrame, size: int, num: int, den: int, buckets: int, few: int) -> DataFrame:
+    """(a, b, 0) pairs of components in signature groups of at most ``few`` components, (a, null, n) counts of larger groups per component.
+
+    ``texts`` has comp and text.
+    """
+
+    def entries(batches):
+        def keys_of(row):
+            f = features(row.text, size)
+            return signatures(f, len(f), num, den)[0]
+
+        for pdf in chunks(batches):
+            comps, keys, owners = _by_component(pdf, keys_of)
+            yield pd.DataFrame(list(deal(keys, owners, comps, buckets, _WIDTH)), columns=["bucket", "ids", "per", "upper"])
+
+    def join(pdf):
+        comp, key = _distinct_entries(pdf)
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        large = n[at] > few
+        pairs = _group_pairs(comp[~large], key[~large])
+        many, count = np.unique(comp[large], return_counts=True)
+        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": 0})
+        return pd.concat([out.astype({"b": "Int64"}), pd.DataFrame({"a": many, "b": pd.array([None] * len(many), "Int64"), "n": count})])
+
+    return (
+        texts.select("comp", "text").mapInPandas(entries, _BLOBS).groupBy("bucket").applyInPandas(join, "a long, b long, n long")
+    )
+
+
 def across_components(texts: DataFrame, size: int, num: int, den: int, buckets: int, common: int) -> DataFrame:
     """(a, b) pairs of components with a signature in common, over features of at most ``common`` components.
 
@@ -286,21 +353,11 @@ def across_components(texts: DataFrame, size: int, num: int, den: int, buckets:
 
     def spread(batches):
         for pdf in chunks(batches):
-            comps, at = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
-            by: dict[int, list[np.ndarray]] = {}
-            for c, t in zip(at, pdf["text"]):
-                by.setdefault(int(c), []).append(features(t, size))
-            keys = [np.unique(np.concatenate(by[c])) for c in range(len(comps))]
-            owners = np.repeat(np.arange(len(comps)), [len(k) for k in keys])
-            rows = list(deal(np.concatenate(keys), owners, comps, buckets, _WIDTH))
-            yield pd.DataFrame(rows, columns=["bucket", "ids", "per", "upper"])
+            comps, keys, owners = _by_component(pdf, lambda row: features(row.text, size))
+            yield pd.DataFrame(list(deal(keys, owners, comps, buckets, _WIDTH)), columns=["bucket", "ids", "per", "upper"])
 
     def widespread(pdf):
-        owner, key = undeal(pdf["ids"], pdf["per"], pdf["upper"], _WIDTH)
-        order = np.lexsort((owner, key))
-        owner, key = owner[order], key[order]
-        fresh = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])] if len(owner) else np.empty(0, bool)
-        owner, key = owner[fresh], key[fresh]
+        owner, key = _distinct_entries(pdf)
         _, at, n = np.unique(key, return_inverse=True, return_counts=True)
         hot = n[at] > common
         out = pd.DataFrame({"comp": owner[hot], "key": key[hot]})
@@ -308,7 +365,7 @@ def across_components(texts: DataFrame, size: int, num: int, den: int, buckets:
 
     hot = (
         texts.select("comp", "text")
-        .mapInPandas(spread, "bucket int, ids binary, per binary, upper binary")
+        .mapInPandas(spread, _BLOBS)
         .groupBy("bucket")
         .applyInPandas(widespread, "comp long, keys binary")
         .groupBy("comp")
@@ -317,39 +374,25 @@ def across_components(texts: DataFrame, size: int, num: int, den: int, buckets:
     low = np.uint64(2 ** (64 - 8 * _WIDTH) - 1)
 
     def entries(batches):
+        def keys_of(row):
+            f = features(row.text, size)
+            rare, first = f, None
+            if row.keys_ is not None and len(row.keys_):
+                seen = np.isin(f & ~low, np.frombuffer(b"".join(row.keys_), np.uint64))
+                rare, first = f[~seen], np.r_[f[~seen], f[seen]]
+            return signatures(rare, len(f), num, den, first)[0]
+
         for pdf in chunks(batches):
-            comps, at = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
-            by: dict[int, list[np.ndarray]] = {}
-            for c, t, known in zip(at, pdf["text"], pdf["keys"]):
-                f = features(t, size)
-                rare, first = f, None
-                if known is not None and len(known):
-                    seen = np.isin(f & ~low, np.frombuffer(b"".join(known), np.uint64))
-                    rare, first = f[~seen], np.r_[f[~seen], f[seen]]
-                by.setdefault(int(c), []).append(signatures(rare, len(f), num, den, first))
-            keys = [np.unique(np.concatenate(by[c])) for c in range(len(comps))]
-            owners = np.repeat(np.arange(len(comps)), [len(k) for k in keys])
-            rows = list(deal(np.concatenate(keys), owners, comps, buckets, _WIDTH))
-            yield pd.DataFrame(rows, columns=["bucket", "ids", "per", "upper"])
+            comps, keys, owners = _by_component(pdf, keys_of)
+            yield pd.DataFrame(list(deal(keys, owners, comps, buckets, _WIDTH)), columns=["bucket", "ids", "per", "upper"])
 
     def join(pdf):
-        comp, key = undeal(pdf["ids"], pdf["per"], pdf["upper"], _WIDTH)
-        order = np.lexsort((comp, key))
-        comp, key = comp[order], key[order]
-        fresh = np.r_[True, (comp[1:] != comp[:-1]) | (key[1:] != key[:-1])] if len(comp) else np.empty(0, bool)
-        comp, key = comp[fresh], key[fresh]
-        place = np.arange(len(key)) - group_starts(key) if len(key) else np.empty(0, int)
-        found = [np.empty((0, 2), np.int64)]
-        # Partner at each distance within the group: sorted, so the smaller component comes first.
-        for d in range(1, int(place.max(initial=0)) + 1):
-            at = np.flatnonzero(place >= d)
-            found.append(np.unique(np.stack([comp[at - d], comp[at]], 1), axis=0))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        return pd.DataFrame(_group_pairs(*_distinct_entries(pdf)), columns=["a", "b"])
 
     return (
         texts.select("comp", "text")
-        .join(hot, "comp", "left")
-        .mapInPandas(entries, "bucket int, ids binary, per binary, upper binary")
+        .join(hot.withColumnRenamed("keys", "keys_"), "comp", "left")
+        .mapInPandas(entries, _BLOBS)
         .groupBy("bucket")
         .applyInPandas(join, "a long, b long")
         .distinct()
@@ -367,9 +410,17 @@ def _open(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct()
 
 
-def _links_between(texts: DataFrame, sets: DataFrame, size: int, num: int, den: int, buckets: int, common: int) -> DataFrame:
+def _links_between(texts: DataFrame, sets: DataFrame, size: int, num: int, den: int, buckets: int, few: int, common: int) -> DataFrame:
     """All links between documents of different components; ``texts`` has doc_id, comp and text."""
-    pairs = stage(across_components(texts, size, num, den, buckets, common), "across")
+    found = stage(plain_pairs(texts, size, num, den, buckets, few), "plain")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    large = found.where("b is null").groupBy(F.col("a").alias("comp")).agg(F.sum("n").alias("large"))
+    slack = texts.select("doc_id", "comp").join(sets.groupBy("doc_id").agg(F.min("slack").alias("slack")), "doc_id").groupBy("comp").agg(F.min("slack").alias("slack"))
+    unsure = stage(large.join(slack, "comp").where("large >= slack").select("comp"), "unsure")
+    if not unsure.isEmpty():
+        hard = stage(texts.select("comp", "text").join(unsure, "comp", "left_semi"), "hard")
+        pairs = pairs.union(across_components(hard, size, num, den, buckets, common)).distinct()
+    pairs = stage(pairs, "across")
     members = stage(texts.select("doc_id", "comp").join(sets.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "members")
     many = members.where("doc_id <> comp").select("comp").distinct()
     mixed = pairs.join(many.toDF("a"), "a", "left_semi").union(pairs.join(many.toDF("b"), "b", "left_semi").select("a", "b")).distinct()
@@ -404,7 +455,7 @@ def _links_between(texts: DataFrame, sets: DataFrame, size: int, num: int, den:
     return alone.union(_linked(overlaps(texts, sets, rest, size, num, den), num, den))
 
 
-def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, common: int = 16, hubs: int = 3) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, few: int = 4, common: int = 16, hubs: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Two documents are linked when den * |intersection| >= num * |union| of their
@@ -420,9 +471,11 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 1
     known = docs.where("doc_id is not null")
     buckets = bucket_count(known)
     found = stage(sets_and_stars(known, size, num, den, buckets), "stars")
-    sets = found.where("b is null").select(F.col("a").alias("doc_id"), "n", "set_key")
+    sets = found.where("b is null").select(F.col("a").alias("doc_id"), "n", "slack", "set_key")
     stars = found.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    sizes = sets.groupBy("doc_id").agg(F.min("n").alias("size"))
+    near = stage(stars.join(sizes.withColumnRenamed("doc_id", "b"), "b").where(F.col("n") * _LIKELY >= F.col("size")), "near")
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     first = stage(sets.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first")), "first")
     copies = sets.join(first, "set_key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = stage(_linked(overlaps(known, sets, best, size, num, den), num, den).union(copies), "links")
@@ -430,21 +483,23 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 1
 
     # One document of each distinct set in components that are still open.
     edges = found.where("b is not null").select("a", "b").distinct()
-    left = (
-        first.select(F.col("first").alias("doc_id")).distinct().join(labels, "doc_id", "left")
-        .select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
-        .join(_open(edges, labels), "comp", "left_semi")
-    )
-    texts = stage(known.join(left, "doc_id").select("doc_id", "comp", "text"), "texts")
+
+    def open_texts(edges: DataFrame, labels: DataFrame) -> DataFrame:
+        each = first.select(F.col("first").alias("doc_id")).distinct().join(labels, "doc_id", "left")
+        at = each.select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+        left = stage(at.join(_open(edges, labels), "comp", "left_semi"), "open")
+        return stage(known.where(sieve(left)).join(left, "doc_id").select("doc_id", "comp", "text"), "texts")
+
+    texts = open_texts(near.select("a", "b"), labels)
     if not texts.isEmpty():
-        crossed = stage(hub_candidates(texts, size, num, den, buckets, hubs), "hubs")
+        crossed = hub_candidates(texts, size, num, den, buckets, hubs).join(sizes.withColumnRenamed("doc_id", "b"), "b")
+        crossed = stage(crossed.where(F.col("n") * _LIKELY >= F.col("size")), "hubs")
         best = crossed.groupBy("b", "round").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b").distinct()
         links = stage(links.union(_linked(overlaps(texts, sets, best, size, num, den), num, den)), "links")
         labels = components(links)
-        still = _open(edges.union(crossed.select("a", "b")).distinct(), labels)
-        at = texts.select("doc_id", "text").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"), "text")
-        texts = stage(at.join(still, "comp", "left_semi"), "texts")
-        more = stage(_links_between(texts, sets, size, num, den, buckets, common), "links")
+    texts = open_texts(edges, labels)
+    if not texts.isEmpty():
+        more = stage(_links_between(texts, sets, size, num, den, buckets, few, common), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.text import bucket_count, chunks, deal, group_starts, undeal, window_hashes, word_hashes, words
+from twofold.llm.text import bucket_count, chunks, deal, group_starts, sieve, undeal, window_hashes, word_hashes, words
 from twofold.sources.tables import stage
 
 WINDOW = 13
@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                             rows.append((doc if other is None else other, s, doc, other is None, a, body))
             yield pd.DataFrame(rows, columns=["of", "share", "doc_id", "reference", "start", "body"])
 
-    pieces = known.join(per_doc, "doc_id").mapInPandas(cut, "of long, share long, doc_id long, reference boolean, start long, body binary")
+    pieces = known.where(sieve(evidence.select("doc_id"))).join(per_doc, "doc_id").mapInPandas(cut, "of long, share long, doc_id long, reference boolean, start long, body binary")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * buckets)
 
     def match(pdf):
@@ -268,6 +268,14 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
     return named.mapInPandas(run, _RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _with_spans(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` with spans, null where nothing repeats; those rows are not shuffled, by and large."""
+    spans = stage(repeated_spans(rows, window), "spans")
+    some = sieve(spans)
+    few = rows.where(some).join(spans, "doc_id", "left")
+    return few.unionByName(rows.where(~some).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of ``docs``; with ``kept``, the text left, if asked for.
 
@@ -276,8 +284,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     others. Only doc_id and text are read. An empty table gives an empty table. A
     text that loses nothing is kept as it is, others as words joined by a space.
     """
-    rows = docs.select("doc_id", "text").join(repeated_spans(docs, window), "doc_id", "left")
-    out = _kept(rows, with_text)
+    out = _kept(_with_spans(docs.select("doc_id", "text"), window), with_text)
     return out if with_text else out.drop("kept")
 
 
@@ -286,7 +293,7 @@ def deduplicated_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Columns are doc_id, text, lang, source and n_chars, of the text that is left.
     """
-    rows = docs.select("doc_id", "text", "lang", "source").join(repeated_spans(docs, window), "doc_id", "left")
+    rows = _with_spans(docs.select("doc_id", "text", "lang", "source"), window)
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
