@@ -172,7 +172,7 @@ moved AS (
 
 
 expect("f4_score_sweep", _sweep(), "value", "gradient", "information", digits=4)
-expect("f5_draws", "SELECT draw_id, component, kind, term, level, value FROM d20_draws", "value")
+expect("f5_draws", "SELECT draw_id, component, kind, term, level, value FROM d4000_draws", "value")
 expect("f6_closed_form_loo", "SELECT * FROM halves", "elpd_zero", "elpd_count")
 
 # Scores
@@ -298,7 +298,7 @@ expect("w15_named_stacking", "SELECT model_name, weight, scaled FROM c2_scaled",
 
 # Draws
 expect("d1_allocate", "SELECT model_name, weight, id, n_draws FROM d4000_allocation", "weight")
-expect("d2_draw_index", "SELECT * FROM d5_index")
+expect("d2_draw_index", "SELECT * FROM d400_index")
 expect(
     "d3_allocate_total",
     """SELECT model_name, weight, CAST(round_even(4000e0 / max(weight) OVER () * weight, 0) AS BIGINT) AS n_free,
@@ -308,11 +308,11 @@ expect(
 _PICK = uniform("concat_ws('|', 'pick', '52399832', model_name, draw_in_model)")
 expect(
     "d4_subset_draws",
-    f"""SELECT draw_id, component, kind, term, level, value FROM d20_draws WHERE draw_id IN (
-  SELECT id * 1000000 + draw_in_model FROM (
+    f"""SELECT draw_id, component, kind, term, level, value FROM d4000_draws WHERE draw_id IN (
+  SELECT id * 4294967296 + draw_in_model FROM (
     SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY {_PICK}, draw_in_model) AS rn
     FROM (SELECT model_name, id, round_even(300e0 * weight, 0) AS n_draws FROM study_weights JOIN models64 USING (model_name)),
-      range(1, 21) r(draw_in_model))
+      range(1, 4001) r(draw_in_model))
   WHERE rn <= n_draws)""",
     "value",
 )
@@ -334,14 +334,14 @@ def _wide(default: str) -> str:
         f"coalesce(max(value) FILTER (component = '{c}' AND term = '{t}' AND level = '{lv}'), {default}) AS {n}"
         for n, c, t, lv in _WIDE
     )
-    return f"SELECT draw_id, model_name, {cols} FROM d20_draws GROUP BY draw_id, model_name"
+    return f"SELECT draw_id, model_name, {cols} FROM d4000_draws GROUP BY draw_id, model_name"
 
 
 expect("d5_wide_draws", _wide("NULL"), *[w[0] for w in _WIDE])
 expect("d6_zero_filled", _wide("0e0"), *[w[0] for w in _WIDE])
 expect(
     "d7_draw_details",
-    "SELECT model_name, draw_id, draw_in_model, count_formula, hurdle_formula FROM d20_index JOIN models64 USING (model_name)",
+    "SELECT model_name, draw_id, draw_in_model, count_formula, hurdle_formula FROM d4000_index JOIN models64 USING (model_name)",
 )
 
 # Expected values
@@ -349,7 +349,7 @@ expect("e1_prevalence", "SELECT form, level, 1e0 - p0 AS prevalence FROM rates W
 expect("e2_truncated_mean", "SELECT form, level, mu AS mean_count FROM rates WHERE role = 'fixed'", "mean_count")
 expect(
     "e3_cell_parameters",
-    "SELECT DISTINCT term, level, cell_id, component FROM ev_keys JOIN d5_draws USING (term, level)",
+    "SELECT DISTINCT term, level, cell_id, component FROM ev_keys JOIN d400_draws USING (term, level)",
 )
 expect("e4_expected_values", "SELECT draw_id, cell_id, count_ev, prev_ev FROM ev_values", "count_ev", "prev_ev")
 expect(
@@ -428,15 +428,15 @@ expect(
     "e13c_common_terms",
     f"""SELECT term FROM (SELECT DISTINCT model_name, unnest(count_terms) AS term, k FROM (
   SELECT m.*, count(*) OVER () AS k FROM models64 m WHERE model_name IN (
-    SELECT model_name FROM d5_index JOIN ({_SHARE.format('draw_id')}) USING (draw_id) WHERE prop_count > 0.5 AND prop_hu > 0.5)))
+    SELECT model_name FROM d400_index JOIN ({_SHARE.format('draw_id')}) USING (draw_id) WHERE prop_count > 0.5 AND prop_hu > 0.5)))
 GROUP BY term, k HAVING count(*) = k""",
 )
 
 # Effects
-expect("x1_factor_table", "SELECT DISTINCT kind, term, level, factor FROM d20_draws JOIN factor_labels USING (term)")
+expect("x1_factor_table", "SELECT DISTINCT kind, term, level, factor FROM d4000_draws JOIN factor_labels USING (term)")
 expect(
     "x2_relevant",
-    "SELECT draw_id, component, term, level, value FROM d20_draws WHERE kind IN ('fixed', 'interaction')",
+    "SELECT draw_id, component, term, level, value FROM d4000_draws WHERE kind IN ('fixed', 'interaction')",
     "value",
 )
 _PRESENT = "SELECT draw_id, component, factor, level, intercept, linear_value FROM present WHERE "
@@ -448,15 +448,15 @@ expect("x7_absent_rows", "SELECT draw_id, component, factor, true AS absent FROM
 
 
 def _both(a: str, b: str) -> str:
-    return f"""SELECT draw_id, 'count' AS component FROM d20_index JOIN models64 USING (model_name)
+    return f"""SELECT draw_id, 'count' AS component FROM d4000_index JOIN models64 USING (model_name)
 WHERE list_contains(count_terms, '{a}') AND list_contains(count_terms, '{b}')
-UNION ALL SELECT draw_id, 'prop' FROM d20_index JOIN models64 USING (model_name)
+UNION ALL SELECT draw_id, 'prop' FROM d4000_index JOIN models64 USING (model_name)
 WHERE list_contains(hurdle_terms, '{a}') AND list_contains(hurdle_terms, '{b}')"""
 
 
 def _parents(term: str, dim: str) -> str:
     return f"""SELECT component, level, n_rows, up AS parent FROM (
-  SELECT component, level, count(*) AS n_rows FROM d20_draws WHERE term = '{term}' GROUP BY component, level)
+  SELECT component, level, count(*) AS n_rows FROM d4000_draws WHERE term = '{term}' GROUP BY component, level)
 LEFT JOIN (SELECT DISTINCT {dim} FROM cells) d(lv, up) ON level = lv"""
 
 
@@ -591,8 +591,8 @@ SELECT host_site, CASE WHEN different_species THEN 'Other' ELSE 'Same species' E
   CASE WHEN component = 'count' THEN 'Intensity' ELSE 'Prevalence' END AS component,
   CASE WHEN component = 'count' THEN exp(eta) / (1e0 - exp(-exp(eta))) ELSE 1e0 / (1e0 + exp(eta)) END AS value
 FROM (SELECT host_site, different_species, model_name, component, draw, sum(loc + scale * {_C4}) AS eta
-  FROM (SELECT model_name, round_even(scaled * 20e0, 0) AS n_draws FROM c2_scaled WHERE model_name IN ('Full', 'Random Effect')) s,
-    range(1, 21) r(draw)
+  FROM (SELECT model_name, round_even(scaled * 4000e0, 0) AS n_draws FROM c2_scaled WHERE model_name IN ('Full', 'Random Effect')) s,
+    range(1, 4001) r(draw)
   JOIN c2groups g ON g.form = s.model_name JOIN c2cells USING (cell_id)
   JOIN c2_fits USING (form, role, level) WHERE draw <= n_draws
   GROUP BY host_site, different_species, model_name, component, draw))

@@ -69,7 +69,6 @@ JOIN region cr ON cn.n_regionkey = cr.r_regionkey
 JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation sn ON s_nationkey = sn.n_nationkey
 JOIN region sr ON sn.n_regionkey = sr.r_regionkey
-WHERE sr.r_name IN ('AFRICA', 'AMERICA', 'ASIA')
 GROUP BY c_custkey, sn.n_nationkey, cr.r_name, sn.n_name, sr.r_name, c_mktsegment""",
 )
 cte(
@@ -469,7 +468,7 @@ FROM study_weights JOIN models64 USING (model_name)""",
     )
     cte(
         f"{p}index",
-        f"""SELECT id * 1000000 + draw_in_model AS draw_id, model_name, CAST(draw_in_model AS INTEGER) AS draw_in_model FROM (
+        f"""SELECT id * 4294967296 + draw_in_model AS draw_id, model_name, CAST(draw_in_model AS INTEGER) AS draw_in_model FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name
     ORDER BY {uniform(key("'pick'", "'52399832'", "model_name", "draw_in_model"))}, draw_in_model) AS rn
   FROM {p}allocation, range(1, {per_model + 1}) r(draw_in_model))
@@ -486,7 +485,7 @@ GROUP BY draw_id, model_name, component, kind, term, level""",
     )
 
 
-for _k in (5, 20, 4000):
+for _k in (400, 4000):
     draw_chain(_k)
 
 
@@ -500,7 +499,7 @@ UNION ALL SELECT cell_id, 'intercept', '' FROM cells""",
         f"{prefix}eta",
         f"""SELECT draw_id, model_name, cell_id, sum(value) FILTER (component = 'count') AS eta_count,
   sum(value) FILTER (component = 'prop') AS eta_prop
-FROM d5_draws JOIN {prefix}keys USING (term, level) GROUP BY draw_id, model_name, cell_id""",
+FROM d400_draws JOIN {prefix}keys USING (term, level) GROUP BY draw_id, model_name, cell_id""",
     )
     cte(
         f"{prefix}values",
@@ -527,9 +526,9 @@ AND NOT (term = 'genus' AND level = 'A') AND NOT (term = 'native' AND level = 'f
 cte(
     "held",
     """SELECT d.draw_id, c.cell_id, s.component, count(n.term) AS wanted, count(p.term) AS found
-FROM d5_index d CROSS JOIN cells c CROSS JOIN (VALUES ('count'), ('prop')) s(component)
+FROM d400_index d CROSS JOIN cells c CROSS JOIN (VALUES ('count'), ('prop')) s(component)
 LEFT JOIN needed n ON n.cell_id = c.cell_id
-LEFT JOIN d5_draws p ON p.draw_id = d.draw_id AND p.component = s.component AND p.term = n.term AND p.level = n.level
+LEFT JOIN d400_draws p ON p.draw_id = d.draw_id AND p.component = s.component AND p.term = n.term AND p.level = n.level
 GROUP BY d.draw_id, c.cell_id, s.component""",
 )
 
@@ -543,7 +542,7 @@ cte(
 )
 cte(
     "starts",
-    "SELECT draw_id, component, value AS intercept FROM d20_draws WHERE kind = 'intercept'",
+    "SELECT draw_id, component, value AS intercept FROM d4000_draws WHERE kind = 'intercept'",
 )
 
 
@@ -554,7 +553,7 @@ def link(eta: str) -> str:
 cte(
     "present",
     f"""SELECT draw_id, component, factor, term, level, kind, intercept, value, {link('intercept + value')} AS linear_value
-FROM d20_draws JOIN factor_labels USING (term) JOIN starts USING (draw_id, component)""",
+FROM d4000_draws JOIN factor_labels USING (term) JOIN starts USING (draw_id, component)""",
 )
 cte(
     "refs",
@@ -563,7 +562,7 @@ FROM present WHERE kind <> 'random'""",
 )
 cte(
     "absent_factors",
-    """SELECT draw_id, component, factor FROM d20_index CROSS JOIN (SELECT DISTINCT component, factor FROM present)
+    """SELECT draw_id, component, factor FROM d4000_index CROSS JOIN (SELECT DISTINCT component, factor FROM present)
 EXCEPT SELECT draw_id, component, factor FROM present""",
 )
 
@@ -598,7 +597,7 @@ UNION ALL SELECT draw_id, component, level, intercept, {link('intercept + value'
   UNION ALL SELECT draw_id, component, {shown(child_ref)}, intercept, value FROM {p}children) s
 WHERE NOT EXISTS (SELECT 1 FROM {p}joint j WHERE j.draw_id = s.draw_id AND j.component = s.component)""",
     )
-    every = "SELECT draw_id, component FROM d20_index CROSS JOIN (VALUES ('count'), ('prop')) v(component)"
+    every = "SELECT draw_id, component FROM d4000_index CROSS JOIN (VALUES ('count'), ('prop')) v(component)"
     cte(
         f"{p}all",
         "\nUNION ALL ".join(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from twofold.functions import rand
 from twofold.rules import Design
 
-DRAW_BASE = 1_000_000
+DRAW_BASE = 1 << 32  # draws per model stay below
 
 
 def allocate(weights: DataFrame, per_model: int = 4000) -> DataFrame:
@@ -38,8 +38,13 @@ def draw_index(allocated: DataFrame, per_model: int = 4000, seed: int = 52399832
     """Sample of draw numbers per model, without replacement.
 
     Numbers are ordered by a hash within the model. The identifier is fixed by
-    model and number, so it never depends on row order.
+    model and number, so it never depends on row order. Asking a model for more
+    draws than it has is an error.
     """
+    if per_model >= DRAW_BASE:
+        raise ValueError("draws per model must be below 2^32")
+    short = F.when(F.col("n_draws") > per_model, F.raise_error(F.lit("a model is asked for more draws than it has")).cast("long"))
+    allocated = allocated.withColumn("n_draws", F.coalesce(short, F.col("n_draws")))
     pool = allocated.select(
         "model_name", "id", "n_draws", F.explode(F.sequence(F.lit(1), F.lit(per_model))).alias("draw_in_model")
     )

@@ -49,7 +49,7 @@ class Study:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return star.raw_trials(self.spark, self.sf_dir)
+        return star.raw_trials(self.spark, self.sf_dir, self.design.sources)
 
     @cached_property
     def trials(self) -> DataFrame:

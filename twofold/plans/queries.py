@@ -39,8 +39,8 @@ QUERIES: dict[str, Query] = {}
 # Sizes of the registered queries; the operators take them as arguments.
 REPLICATES = 50
 LOO_DRAWS = 200
-EV_DRAWS = 5
-EFFECT_DRAWS = 20
+EV_DRAWS = 400
+EFFECT_DRAWS = 4000
 EM_STEPS = 5
 CHUNKS = 4
 GRID = 25

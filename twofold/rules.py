@@ -67,12 +67,13 @@ ADAPT_DELTA = 0.95
 
 @dataclass(frozen=True)
 class Design:
-    """Which level of each factor is the reference, and which hosts form genus A."""
+    """Which level of each factor is the reference, which hosts form genus A, and which sources take part (all by default)."""
 
     host: str = "AFRICA"
     source: str = "AFRICA"
     genus: str = "A"
     genus_a_hosts: tuple[str, ...] = ("AMERICA", "ASIA")
+    sources: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)

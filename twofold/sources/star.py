@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.operators.joins import salted_join
-
-SOURCE_SITES = ("AFRICA", "AMERICA", "ASIA")
 MISSING_BLOCK = "FURNITURE"
 
 # The columns this analysis reads; a declared schema saves a look at the files.
@@ -29,14 +26,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trials(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] | None = None) -> DataFrame:
     """Uncleaned trials; one market segment plays the missing block.
 
-    Suppliers join first: they drop the items of other regions before the large
-    shuffle by order, and each is cut into parts, so one supplier may hold a
-    third of all items. Items are then counted per (customer, nation), with
-    partial sums before the shuffle, so the customer table meets at most one
-    row per customer and nation however many items a customer has.
+    ``sources`` keeps the items of some supplier regions only. Suppliers join
+    first, so that a choice of regions drops items before the large shuffle by
+    order; a supplier with very many items is left to adaptive skew handling.
+    Items are then counted per (customer, nation), with partial sums before the
+    shuffle, so the customer table meets at most one row per customer and nation
+    however many items a customer has.
     """
     items = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("long").alias("returned")
@@ -48,16 +46,15 @@ def raw_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", "r_name"
     )
-    origins = places.where(F.col("r_name").isin(*SOURCE_SITES)).select(
-        "n_nationkey", F.col("n_name").alias("family"), F.col("r_name").alias("source_site")
-    )
+    chosen = places if sources is None else places.where(F.col("r_name").isin(*sources))
+    origins = chosen.select("n_nationkey", F.col("n_name").alias("family"), F.col("r_name").alias("source_site"))
     suppliers = (
         load(spark, sf_dir, "supplier")
         .join(origins, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
     )
     per_nation = (
-        salted_join(items, suppliers, "l_suppkey", spread="l_orderkey")
+        items.join(suppliers, "l_suppkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "n_nationkey")
         .agg(F.sum("returned").alias("cnt"))
