@@ -207,7 +207,7 @@ def overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num:
     routes = dealt.select("a", "salt", F.col("a").alias("doc_id")).distinct().union(
         dealt.select("a", "salt", F.col("b").alias("doc_id"))
     )
-    needed = docs.select("doc_id", "text").where(sieve(rest.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    needed = sieve(docs.select("doc_id", "text"), rest.select(F.explode(F.array("a", "b")).alias("doc_id"))).where("maybe").drop("maybe")
     sent = routes.join(needed, "doc_id").withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(groups)))
 
     def check(pdf):
@@ -488,7 +488,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 1
         each = first.select(F.col("first").alias("doc_id")).distinct().join(labels, "doc_id", "left")
         at = each.select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
         left = stage(at.join(_open(edges, labels), "comp", "left_semi"), "open")
-        return stage(known.where(sieve(left)).join(left, "doc_id").select("doc_id", "comp", "text"), "texts")
+        return stage(sieve(known, left).where("maybe").join(left, "doc_id").select("doc_id", "comp", "text"), "texts")
 
     texts = open_texts(near.select("a", "b"), labels)
     if not texts.isEmpty():

@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                             rows.append((doc if other is None else other, s, doc, other is None, a, body))
             yield pd.DataFrame(rows, columns=["of", "share", "doc_id", "reference", "start", "body"])
 
-    pieces = known.where(sieve(evidence.select("doc_id"))).join(per_doc, "doc_id").mapInPandas(cut, "of long, share long, doc_id long, reference boolean, start long, body binary")
+    pieces = sieve(known, evidence.select("doc_id")).where("maybe").join(per_doc, "doc_id").mapInPandas(cut, "of long, share long, doc_id long, reference boolean, start long, body binary")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * buckets)
 
     def match(pdf):
@@ -271,9 +271,9 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
 def _with_spans(rows: DataFrame, window: int) -> DataFrame:
     """``rows`` with spans, null where nothing repeats; those rows are not shuffled, by and large."""
     spans = stage(repeated_spans(rows, window), "spans")
-    some = sieve(spans)
-    few = rows.where(some).join(spans, "doc_id", "left")
-    return few.unionByName(rows.where(~some).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    told = sieve(rows, spans)
+    few = told.where("maybe").drop("maybe").join(spans, "doc_id", "left")
+    return few.unionByName(told.where("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 6_000_000
 BUCKET_CHARS = 14_000_000
 LEAST_BUCKETS = 64
-SIEVE_BITS = 20
+SIEVE_BITS = 21
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -115,29 +115,21 @@ def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(first, np.arange(len(sorted_keys)), 0))
 
 
-def sieve(ids: DataFrame, column: str = "doc_id") -> Column:
-    """A condition on ``column`` that holds for every id of ``ids`` and for few others.
+def sieve(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` with a boolean ``maybe``: true for every id of ``ids`` and for few others.
 
-    A bitmap of fixed size (one hash per id) goes into the plan, whatever the
-    number of ids, so that a join by id need not shuffle the texts of documents it
-    drops anyway. With very many ids it lets more documents through; the join that
-    follows decides. Null ids do not pass.
+    A bitmap of ``SIEVE_BITS`` (one hash per id, 64 bits a row) is broadcast: its
+    size is fixed, whatever the number of ids, so a join by id need not shuffle
+    texts that it drops anyway. With very many ids it lets more documents through;
+    the join that follows decides. Null ids do not pass.
     """
-
-    def place(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS)).cast("int")
-
-    at = place(F.col(column))
-    rows = (
+    at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS)).cast("int")
+    bits = (
         ids.where(F.col(column).isNotNull())
-        .select(F.shiftright(at, 6).alias("word"), at.alias("at"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits"))
-        .collect()
+        .select(at.alias("_at"))
+        .groupBy(F.shiftright("_at", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, _at % 64)")).alias("_bits"))
     )
-    bitmap = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    if rows:
-        bitmap[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    byte = F.substring(F.lit(bytearray(bitmap.astype("<i8").tobytes())), F.shiftright(at, 3) + 1, F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.col(column).isNotNull() & (F.floor(value / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    joined = docs.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("coalesce(shiftrightunsigned(_bits, _at % 64) & 1L = 1L, false)")
+    return joined.withColumn("maybe", F.col(column).isNotNull() & hit).drop("_word", "_at", "_bits")
