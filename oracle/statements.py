@@ -13,21 +13,21 @@ def expect(name: str, final: str, *doubles: str, digits: int = 6) -> None:
 
 # Sources and sinks
 _TOTALS = """SELECT model_name, count(*) AS n_classes, CAST(sum(copies) AS BIGINT) AS n_trials, sum(copies * elpd) AS elpd_total
-FROM points36 {} GROUP BY model_name"""
+FROM points64 {} GROUP BY model_name"""
 expect("io1_read_delimited", "SELECT * FROM raw")
 expect("io2_write_delimited", "SELECT * FROM trials")
 expect("io3_stage_table", "SELECT * FROM cells")
 expect("io4_read_folder", _TOTALS.format(""), "elpd_total", digits=4)
 expect(
     "io5_load_scores",
-    _TOTALS.format("JOIN models36 USING (model_name) WHERE count_form = hurdle_form"),
+    _TOTALS.format("JOIN models64 USING (model_name) WHERE count_form = hurdle_form"),
     "elpd_total",
     digits=4,
 )
 expect(
     "io6_name_from_path",
     """SELECT 'scores/' || model_name || '.parquet' AS path, model_name, CAST(sum(copies) AS BIGINT) AS n_trials
-FROM points36 GROUP BY model_name""",
+FROM points64 GROUP BY model_name""",
 )
 expect("io7_write_chunks", "SELECT CAST(chunk AS INTEGER) AS chunk, model_name, log_weight FROM chunked", "log_weight")
 
@@ -245,7 +245,7 @@ expect(
 expect(
     "w7_stacking_objective",
     """SELECT sum(-copies * (ln(mix) + best)) AS neg_log_score, CAST(sum(copies) AS BIGINT) AS n_trials FROM (
-  SELECT cell_id, cnt, copies, best, sum(weight * density) AS mix FROM m36_dens JOIN m36_em0 USING (model_name)
+  SELECT cell_id, cnt, copies, best, sum(weight * density) AS mix FROM m64_dens JOIN m64_em0 USING (model_name)
   GROUP BY cell_id, cnt, copies, best)""",
     "neg_log_score",
     digits=4,
@@ -253,12 +253,12 @@ expect(
 expect(
     "w8_stacking_gradient",
     """SELECT model_name, weight, sum(copies * density / mix) / sum(copies) AS gradient FROM (
-  SELECT *, sum(weight * density) OVER (PARTITION BY cell_id, cnt) AS mix FROM m36_dens JOIN m36_em0 USING (model_name))
+  SELECT *, sum(weight * density) OVER (PARTITION BY cell_id, cnt) AS mix FROM m64_dens JOIN m64_em0 USING (model_name))
 GROUP BY model_name, weight""",
     "weight",
     "gradient",
 )
-expect("w9_stacking_steps", "SELECT * FROM m36_em5", "weight")
+expect("w9_stacking_steps", "SELECT * FROM m64_em5", "weight")
 expect("w9b_stacking_converged", "SELECT * FROM m64_stacked", "weight", "gradient")
 expect(
     "w10b_chunk_stacking_converged",
@@ -268,28 +268,28 @@ expect(
 )
 expect(
     "w12_final_stacking",
-    "SELECT model_name, weight, gradient, converged, count_formula, hurdle_formula FROM last_stacked JOIN models36 USING (model_name)",
+    "SELECT model_name, weight, gradient, converged, count_formula, hurdle_formula FROM last_stacked JOIN models64 USING (model_name)",
     "weight",
     "gradient",
 )
 expect("w10_chunk_stacking", "SELECT model_name, CAST(chunk AS INTEGER) AS chunk, weight FROM ch_em5", "weight")
 expect(
     "w11_survivors",
-    """SELECT model_name, count_formula, hurdle_formula, weight FROM models36 JOIN ch_stacked USING (model_name) WHERE weight > 1e-6""",
+    """SELECT model_name, count_formula, hurdle_formula, weight FROM models64 JOIN ch_stacked USING (model_name) WHERE weight > 1e-6""",
     "weight",
 )
 expect(
     "w13_readable_weights",
     """SELECT model_name, weight, split_part(count_formula, ' ~ ', 2) AS cnt, split_part(hurdle_formula, ' ~ ', 2) AS hu
-FROM m36_stacked JOIN models36 USING (model_name)""",
+FROM m64_stacked JOIN models64 USING (model_name)""",
     "weight",
 )
 expect(
     "w14_term_weights",
     """SELECT coalesce(c.term, h.term) AS term, count_weight, hurdle_weight FROM
-(SELECT term, sum(weight) AS count_weight FROM (SELECT weight, unnest(count_terms) AS term FROM m36_stacked JOIN models36 USING (model_name)) GROUP BY term) c
+(SELECT term, sum(weight) AS count_weight FROM (SELECT weight, unnest(count_terms) AS term FROM m64_stacked JOIN models64 USING (model_name)) GROUP BY term) c
 FULL JOIN
-(SELECT term, sum(weight) AS hurdle_weight FROM (SELECT weight, unnest(hurdle_terms) AS term FROM m36_stacked JOIN models36 USING (model_name)) GROUP BY term) h
+(SELECT term, sum(weight) AS hurdle_weight FROM (SELECT weight, unnest(hurdle_terms) AS term FROM m64_stacked JOIN models64 USING (model_name)) GROUP BY term) h
 ON c.term = h.term""",
     "count_weight",
     "hurdle_weight",

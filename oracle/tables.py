@@ -280,13 +280,13 @@ cte(
     "pbma",
     """SELECT model_name, elpd_total, elpd_total - top - ln(sum(exp(elpd_total - top)) OVER ()) AS log_weight FROM (
   SELECT *, max(elpd_total) OVER () AS top FROM (
-    SELECT model_name, sum(copies * elpd) AS elpd_total FROM points36 GROUP BY model_name))""",
+    SELECT model_name, sum(copies * elpd) AS elpd_total FROM points64 GROUP BY model_name))""",
 )
 cte(
     "chunked",
-    """SELECT model_name, log_weight, row_number() OVER (ORDER BY log_weight DESC, model_name) % 4 + 1 AS chunk FROM pbma""",
+    """SELECT model_name, log_weight, row_number() OVER (ORDER BY round(log_weight, 6) DESC, model_name) % 4 + 1 AS chunk FROM pbma""",
 )
-cte("chunk_points", "SELECT p.*, chunk FROM points36 p JOIN chunked USING (model_name)")
+cte("chunk_points", "SELECT p.*, chunk FROM points64 p JOIN chunked USING (model_name)")
 
 
 def em_chain(prefix: str, points: str, steps: int, chunk: str = "") -> None:
@@ -335,17 +335,15 @@ GROUP BY step, model_name{k}, weight"""
     )
 
 
-em_chain("m36_", "points36", 5)
-em_chain("m64_", "points64", 0)
+em_chain("m64_", "points64", 5)
 em_chain("ch_", "chunk_points", 5, "chunk")
-for _p in ("m36_", "m64_"):
-    stack_chain(_p)
+stack_chain("m64_")
 stack_chain("ch_", chunk="chunk")
 
 _MASS_KEY = "key_text || '|' || attempt"
 cte(
     "class_copies",
-    "SELECT DISTINCT cell_id, cnt, copies FROM points36",
+    "SELECT DISTINCT cell_id, cnt, copies FROM points64",
 )
 cte(
     "masses",
@@ -362,7 +360,7 @@ cte(
     "boot",
     """SELECT replicate, model_name, n_trials * weighted / total_mass AS z FROM (
   SELECT replicate, model_name, sum(mass * elpd) AS weighted
-  FROM points36 JOIN masses USING (cell_id, cnt) GROUP BY replicate, model_name)
+  FROM points64 JOIN masses USING (cell_id, cnt) GROUP BY replicate, model_name)
 JOIN (SELECT replicate, sum(mass) AS total_mass, sum(copies) AS n_trials FROM masses GROUP BY replicate) USING (replicate)""",
 )
 cte(
@@ -377,11 +375,11 @@ cte("study_weights", "SELECT model_name, weight FROM m64_stacked")
 
 # The whole path of weighting.
 cte("rough", "SELECT model_name, avg(weight) AS weight FROM boot_weights GROUP BY model_name HAVING log10(avg(weight)) > -100")
-cte("rough_chunks", "SELECT model_name, row_number() OVER (ORDER BY weight DESC, model_name) % 4 + 1 AS chunk FROM rough")
-cte("rough_points", "SELECT p.*, chunk FROM points36 p JOIN rough_chunks USING (model_name)")
+cte("rough_chunks", "SELECT model_name, row_number() OVER (ORDER BY round(ln(weight), 6) DESC NULLS LAST, model_name) % 4 + 1 AS chunk FROM rough")
+cte("rough_points", "SELECT p.*, chunk FROM points64 p JOIN rough_chunks USING (model_name)")
 em_chain("rc_", "rough_points", 0, "chunk")
 stack_chain("rc_", chunk="chunk")
-cte("last_points", "SELECT * FROM points36 WHERE model_name IN (SELECT model_name FROM rc_stacked WHERE weight > 1e-6)")
+cte("last_points", "SELECT * FROM points64 WHERE model_name IN (SELECT model_name FROM rc_stacked WHERE weight > 1e-6)")
 em_chain("last_", "last_points", 0)
 stack_chain("last_")
 cte("hosts", "SELECT DISTINCT host_site, genus FROM cells")

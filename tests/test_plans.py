@@ -40,7 +40,8 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
 
 
 def test_no_local_checkpoint_and_no_broadcast_hint():
-    for folder, _, files in os.walk(os.path.join(ROOT, "twofold")):
+    for folder, folders, files in os.walk(os.path.join(ROOT, "twofold")):
+        folders[:] = [f for f in folders if f != "llm"]
         for f in files:
             if f.endswith(".py"):
                 text = open(os.path.join(folder, f)).read()

@@ -107,9 +107,17 @@ def test_chunks_are_stacked_apart(spark, mixed):
         assert as_dict(first.where(F.col("chunk") == c)) == pytest.approx(alone, abs=1e-6)
 
 
-def test_one_model_cannot_be_stacked(spark):
+def test_one_model_gets_all_weight_and_none_is_an_error(spark):
+    one = points(spark, {"a": [-1.0, -2.0]})
+    assert as_dict(weights.stack(one)) == {"a": 1.0}
     with pytest.raises(ValueError):
-        weights.stack(points(spark, {"a": [-1.0, -2.0]}))
+        weights.stack(one.where("model_name = 'b'"))
+
+
+def test_unfinished_stacking_says_so(spark, mixed):
+    _, p = mixed
+    early, late = weights.stack(p, max_steps=1), weights.stack(p)
+    assert not early.where("converged").count() and not late.where("not converged").count()
 
 
 def test_allocation_rounds_half_to_even_and_samples_without_replacement(spark):

@@ -102,8 +102,13 @@ def cutoff(weights: DataFrame, log10_min: float = -100.0) -> DataFrame:
 
 
 def balanced_chunks(weights: DataFrame, chunks: int = 4) -> DataFrame:
-    """Deal models to chunks in order of weight, so each gets good and bad ones."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("weight"), "model_name")
+    """Deal models to chunks in order of weight, so each gets good and bad ones.
+
+    Weights are compared by their logs to six digits, equal ones go by name: the
+    order does not hang on rounding, nor on weights too small to tell from zero.
+    """
+    log_weight = F.col("log_weight") if "log_weight" in weights.columns else F.ln("weight")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.round(log_weight, 6).desc_nulls_last(), "model_name")
     return weights.withColumn(
         "chunk", F.pmod(F.row_number().over(order), F.lit(chunks)) + F.lit(1)
     )
@@ -227,8 +232,8 @@ def stack(
     members: dict[str, list[tuple]] = {}
     for r in sorted(tuple(r) for r in named.collect()):
         members.setdefault("|".join(map(str, r[1:])), []).append(r)
-    if not members or min(map(len, members.values())) < 2:
-        raise ValueError("stacking needs at least two models")
+    if not members:
+        raise ValueError("stacking needs a model")
     packed = _packed(points, keys)
     size = {r["group"]: r["n"] for r in packed.groupBy("group").agg(F.sum("copies").alias("n")).collect()}
 

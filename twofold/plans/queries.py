@@ -71,6 +71,11 @@ def fixed_study(spark, sf_dir) -> Study:
     return Study(spark, sf_dir, forms=FIXED_FORMS)
 
 
+def pooled_study(spark, sf_dir) -> Study:
+    """All closed-form candidates."""
+    return Study(spark, sf_dir)
+
+
 def ev_study(spark, sf_dir) -> Study:
     return Study(spark, sf_dir, per_model=EV_DRAWS)
 
@@ -113,7 +118,7 @@ def _model_totals(points: DataFrame, name) -> DataFrame:
 @query("io4_read_folder", digits=4)
 def io4(spark, sf_dir):
     path = tables.stage_path(spark, "by-model")
-    tables.write_by_model(fixed_study(spark, sf_dir).staged_points, path)
+    tables.write_by_model(pooled_study(spark, sf_dir).staged_points, path)
     found = tables.read_folder(spark, path)
     return _model_totals(found, F.regexp_extract("file_path", r"model_name=([^/]+)/", 1))
 
@@ -121,7 +126,7 @@ def io4(spark, sf_dir):
 @query("io5_load_scores", digits=4)
 def io5(spark, sf_dir):
     path = tables.stage_path(spark, "by-model")
-    study = fixed_study(spark, sf_dir)
+    study = pooled_study(spark, sf_dir)
     tables.write_by_model(study.staged_points, path)
     wanted = study.same_form.select("model_name")
     found = spark.read.parquet(path).join(wanted, "model_name", "left_semi")
@@ -130,7 +135,7 @@ def io5(spark, sf_dir):
 
 @query("io6_name_from_path")
 def io6(spark, sf_dir):
-    study = fixed_study(spark, sf_dir)
+    study = pooled_study(spark, sf_dir)
     files = _model_totals(study.staged_points, F.col("model_name")).select(
         F.concat(F.lit("scores/"), "model_name", F.lit(".parquet")).alias("path"), "n_trials"
     )
@@ -140,7 +145,7 @@ def io6(spark, sf_dir):
 @query("io7_write_chunks")
 def io7(spark, sf_dir):
     path = tables.stage_path(spark, "chunks")
-    chunked = weights.balanced_chunks(weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points), CHUNKS)
+    chunked = weights.balanced_chunks(weights.pseudo_bma(pooled_study(spark, sf_dir).staged_points), CHUNKS)
     tables.write_chunks(chunked.select("chunk", "model_name", "log_weight"), path)
     return spark.read.parquet(path).select(F.col("chunk").cast("int"), "model_name", "log_weight")
 
@@ -455,17 +460,17 @@ def l5(spark, sf_dir):
 
 @query("w1_pseudo_bma", digits=4)
 def w1(spark, sf_dir):
-    return weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
+    return weights.pseudo_bma(pooled_study(spark, sf_dir).staged_points)
 
 
 @query("w2_pseudo_bma_bootstrap")
 def w2(spark, sf_dir):
-    return weights.pseudo_bma_bootstrap(fixed_study(spark, sf_dir).staged_points, REPLICATES)
+    return weights.pseudo_bma_bootstrap(pooled_study(spark, sf_dir).staged_points, REPLICATES)
 
 
 @query("w3_worker_average")
 def w3(spark, sf_dir):
-    points = fixed_study(spark, sf_dir).staged_points
+    points = pooled_study(spark, sf_dir).staged_points
     masses = weights.bootstrap_masses(points, REPLICATES, 1234)
     return weights.worker_averages(
         weights.replicate_weights(weights.bootstrap_scores(points, masses)), 5
@@ -474,36 +479,36 @@ def w3(spark, sf_dir):
 
 @query("w4_cutoff", digits=4)
 def w4(spark, sf_dir):
-    return weights.cutoff(weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points), -3.0)
+    return weights.cutoff(weights.pseudo_bma(pooled_study(spark, sf_dir).staged_points), -3.0)
 
 
 @query("w5_balanced_chunks", digits=4)
 def w5(spark, sf_dir):
-    table = weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
+    table = weights.pseudo_bma(pooled_study(spark, sf_dir).staged_points)
     return weights.balanced_chunks(table, CHUNKS).select("model_name", "chunk", "log_weight")
 
 
 @query("w6_chunk_lists")
 def w6(spark, sf_dir):
-    table = weights.pseudo_bma(fixed_study(spark, sf_dir).staged_points)
+    table = weights.pseudo_bma(pooled_study(spark, sf_dir).staged_points)
     return weights.chunk_lists(weights.balanced_chunks(table, CHUNKS)).select("chunk", _text("models"), "seed")
 
 
 @query("w7_stacking_objective", digits=4)
 def w7(spark, sf_dir):
-    points = fixed_study(spark, sf_dir).staged_points
+    points = pooled_study(spark, sf_dir).staged_points
     return weights.objective(weights.densities(points), weights.uniform_weights(points))
 
 
 @query("w8_stacking_gradient")
 def w8(spark, sf_dir):
-    points = fixed_study(spark, sf_dir).staged_points
+    points = pooled_study(spark, sf_dir).staged_points
     return weights.gradient(weights.densities(points), weights.uniform_weights(points))
 
 
 @query("w9_stacking_steps")
 def w9(spark, sf_dir):
-    return weights.em_steps(fixed_study(spark, sf_dir).staged_points, EM_STEPS)
+    return weights.em_steps(pooled_study(spark, sf_dir).staged_points, EM_STEPS)
 
 
 @query("w9b_stacking_converged")
@@ -518,20 +523,20 @@ def _chunked_points(study: Study):
 
 @query("w10_chunk_stacking")
 def w10(spark, sf_dir):
-    inside = tables.stage(_chunked_points(fixed_study(spark, sf_dir)), "chunked")
+    inside = tables.stage(_chunked_points(pooled_study(spark, sf_dir)), "chunked")
     return weights.em_steps(inside, EM_STEPS, ("chunk",))
 
 
 @query("w10b_chunk_stacking_converged")
 def w10b(spark, sf_dir):
-    study = fixed_study(spark, sf_dir)
+    study = pooled_study(spark, sf_dir)
     chunked = weights.balanced_chunks(weights.pseudo_bma(study.staged_points), CHUNKS)
     return weights.first_pass(study.staged_points, chunked)
 
 
 @query("w11_survivors")
 def w11(spark, sf_dir):
-    study = fixed_study(spark, sf_dir)
+    study = pooled_study(spark, sf_dir)
     inside = tables.stage(_chunked_points(study), "chunked")
     first = weights.stack(inside, ("chunk",))
     return weights.survivors(study.candidates.select("model_name", "count_formula", "hurdle_formula"), first)
@@ -540,7 +545,7 @@ def w11(spark, sf_dir):
 @query("w12_final_stacking")
 def w12(spark, sf_dir):
     """The whole path: bootstrap weights, cutoff, chunks, stacking per chunk, stacking of what is left."""
-    study = fixed_study(spark, sf_dir)
+    study = pooled_study(spark, sf_dir)
     settings = study.candidates.select("model_name", "count_formula", "hurdle_formula")
     rough = weights.cutoff(weights.pseudo_bma_bootstrap(study.staged_points, REPLICATES))
     chunked = tables.stage(weights.balanced_chunks(rough, CHUNKS), "chunked")
@@ -554,12 +559,12 @@ def _weighted(study: Study) -> DataFrame:
 
 @query("w13_readable_weights")
 def w13(spark, sf_dir):
-    return weights.readable(_weighted(fixed_study(spark, sf_dir)))
+    return weights.readable(_weighted(pooled_study(spark, sf_dir)))
 
 
 @query("w14_term_weights")
 def w14(spark, sf_dir):
-    return weights.term_weights(_weighted(fixed_study(spark, sf_dir)))
+    return weights.term_weights(_weighted(pooled_study(spark, sf_dir)))
 
 
 class Question2(Study):

@@ -110,10 +110,10 @@ def stem(path: Column) -> Column:
 
 
 def write_by_model(scores: DataFrame, path: str) -> None:
-    """Score table with one folder per model, for reads that need few models."""
-    scores.write.partitionBy("model_name").parquet(path)
+    """Score table with one folder and file per model, for reads that need few models."""
+    scores.repartition("model_name").write.partitionBy("model_name").parquet(path)
 
 
 def write_chunks(table: DataFrame, path: str) -> None:
     """One folder per chunk."""
-    table.write.partitionBy("chunk").parquet(path)
+    table.repartition("chunk").write.partitionBy("chunk").parquet(path)
