@@ -303,21 +303,24 @@ def _distinct_entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return owner[fresh], key[fresh]
 
 
-def _group_pairs(comp: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Distinct pairs (smaller, larger) of components that share a key."""
+def _group_pairs(comp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller, larger) of components that share a key, and how many keys they share."""
     place = np.arange(len(key)) - group_starts(key) if len(key) else np.empty(0, int)
-    found = [np.empty((0, 2), np.int64)]
+    pairs, counts = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     for d in range(1, int(place.max(initial=0)) + 1):
         at = np.flatnonzero(place >= d)
-        found.append(np.unique(np.stack([comp[at - d], comp[at]], 1), axis=0))
-    return np.unique(np.concatenate(found), axis=0)
+        some, n = np.unique(np.stack([comp[at - d], comp[at]], 1), axis=0, return_counts=True)
+        pairs.append(some)
+        counts.append(n)
+    out, at = np.unique(np.concatenate(pairs), axis=0, return_inverse=True)
+    return out, np.bincount(at.ravel(), np.concatenate(counts), len(out)).astype(np.int64)
 
 
 _BLOBS = "bucket int, ids binary, per binary, upper binary"
 
 
 def plain_pairs(texts: DataFrame, size: int, num: int, den: int, buckets: int, few: int) -> DataFrame:
-    """(a, b, 0) pairs of components in signature groups of at most ``few`` components, (a, null, n) counts of larger groups per component.
+    """(a, b, n) pairs of components and groups of at most ``few`` components they share, (a, null, n) counts of larger groups per component.
 
     ``texts`` has comp and text.
     """
@@ -335,9 +338,9 @@ def plain_pairs(texts: DataFrame, size: int, num: int, den: int, buckets: int, f
         comp, key = _distinct_entries(pdf)
         _, at, n = np.unique(key, return_inverse=True, return_counts=True)
         large = n[at] > few
-        pairs = _group_pairs(comp[~large], key[~large])
+        pairs, shared = _group_pairs(comp[~large], key[~large])
         many, count = np.unique(comp[large], return_counts=True)
-        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": 0})
+        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": shared})
         return pd.concat([out.astype({"b": "Int64"}), pd.DataFrame({"a": many, "b": pd.array([None] * len(many), "Int64"), "n": count})])
 
     return (
@@ -387,7 +390,7 @@ def across_components(texts: DataFrame, size: int, num: int, den: int, buckets:
             yield pd.DataFrame(list(deal(keys, owners, comps, buckets, _WIDTH)), columns=["bucket", "ids", "per", "upper"])
 
     def join(pdf):
-        return pd.DataFrame(_group_pairs(*_distinct_entries(pdf)), columns=["a", "b"])
+        return pd.DataFrame(_group_pairs(*_distinct_entries(pdf))[0], columns=["a", "b"])
 
     return (
         texts.select("comp", "text")
@@ -413,10 +416,18 @@ def _open(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def _links_between(texts: DataFrame, sets: DataFrame, size: int, num: int, den: int, buckets: int, few: int, common: int) -> DataFrame:
     """All links between documents of different components; ``texts`` has doc_id, comp and text."""
     found = stage(plain_pairs(texts, size, num, den, buckets, few), "plain")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    shared = found.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
     large = found.where("b is null").groupBy(F.col("a").alias("comp")).agg(F.sum("n").alias("large"))
     slack = texts.select("doc_id", "comp").join(sets.groupBy("doc_id").agg(F.min("slack").alias("slack")), "doc_id").groupBy("comp").agg(F.min("slack").alias("slack"))
-    unsure = stage(large.join(slack, "comp").where("large >= slack").select("comp"), "unsure")
+    known = stage(slack.join(large, "comp", "left").select("comp", "slack", F.coalesce("large", F.lit(0)).alias("large")), "known")
+    unsure = known.where("large > 0 and large >= slack").select("comp")
+    # Partners share at least the slack of either; pairs that cannot have that many in common are no partners.
+    pairs = (
+        shared.join(known.toDF("a", "sa", "la"), "a")
+        .join(known.toDF("b", "sb", "lb"), "b")
+        .where(F.col("n") + F.least("la", "lb") >= F.greatest("sa", "sb"))
+        .select("a", "b")
+    )
     if not unsure.isEmpty():
         hard = stage(texts.select("comp", "text").join(unsure, "comp", "left_semi"), "hard")
         pairs = pairs.union(across_components(hard, size, num, den, buckets, common)).distinct()
