@@ -37,9 +37,9 @@ def test_language_of_tables_without_labels(spark, table):
 def test_toxicity_of_held_out_rows(spark, table, small_dir):
     rng = random.Random(2)
     rows, labels = [], []
-    for i in range(800):
+    for i in range(2500):
         toxic = rng.random() < 0.2
-        text = tongue(rng, "abcdef", rng.randint(20, 80)).split()
+        text = tongue(rng, "abcdefghijklmnopqrstuvw", rng.randint(20, 80)).split()
         if toxic:
             text.insert(rng.randrange(len(text)), rng.choice(["moron", "idiot"]))
         rows.append((i, " ".join(text)))
@@ -50,7 +50,7 @@ def test_toxicity_of_held_out_rows(spark, table, small_dir):
     got = toxicity_scores(table(rows + odd), marks).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     by = {r.doc_id: r for r in got}
-    held = [(d, t) for d, _, t in labels[:800] if fold(d, 4) == 2]
+    held = [(d, t) for d, _, t in labels[:2500] if fold(d, 4) == 2]
     assert all(by[d].held_out for d, _ in held)
     assert sum(by[d].predicted == t for d, t in held) >= 0.95 * len(held)
     assert by[9001].predicted == by[9002].predicted == 0 and by[9003].predicted == 1
