@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 
 from twofold.llm.language import FOLDS, HELD_OUT, language_predictions
@@ -87,3 +88,43 @@ def test_licences_are_found_and_plain_text_is_not(spark, table):
     assert [got[d].n_paragraphs for d in (9001, 9002, 9003)] == [0, 0, 0]
     assert got[None].families == "mit" and got[9004].families == got[9005].families == ""
     assert scan_licenses(docs.where("doc_id > 99999")).count() == 0
+
+
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice.",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+
+
+def test_wrapped_notices_and_declared_ids_are_found(spark, table):
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(120):
+        rows.append((i, "\n".join(tongue(rng, "abcdefghilmnorst", rng.randint(3, 30)) for _ in range(4))))
+        want[i] = ("", 0)
+    for family, notice in NOTICES.items():
+        for width in (30, 50, 80):
+            for mark in ("", "# ", " * ", "// ", "-- "):
+                lines = [mark + x for x in textwrap.wrap(notice, width)]
+                before = [mark + "Copyright 2020 the authors of this file", mark]
+                rows.append((len(rows), "\n".join(before + lines + [mark, "int main of the program", "return 0"])))
+                want[len(rows) - 1] = (family, 1)
+    for name, family in (("BSD-2-Clause", "bsd"), ("GPL-2.0-only", "gpl"), ("LGPL-3.0-or-later", "lgpl"), ("MPL-2.0", "mpl"), ("0BSD", "bsd"), ("(MIT OR Apache-2.0)", "apache,mit"), ("ISC", "isc"), ("GPL-2.0+", "gpl")):
+        rows.append((len(rows), f"// SPDX-License-Identifier: {name}\nint x"))
+        want[len(rows) - 1] = (family, 1 + family.count(","))
+    rows.append((len(rows), "\n".join([*textwrap.wrap(NOTICES["mit"], 60), "", *textwrap.wrap(NOTICES["apache"], 60), *textwrap.wrap(NOTICES["mit"], 60)])))
+    want[len(rows) - 1] = ("apache,mit", 3)
+    scattered = NOTICES["gpl"].split()
+    rng.shuffle(scattered)
+    rows.append((len(rows), "\n".join(textwrap.wrap(" ".join(scattered), 40))))
+    want[len(rows) - 1] = ("", 0)
+    docs = table(rows)
+    got = {r.doc_id: (r.families, r.n_licenses) for r in scan_licenses(docs, fit_licenses(docs)).collect()}
+    assert {d: (got[d], w, rows[d][1]) for d, w in want.items() if got[d] != w} == {}
