@@ -138,3 +138,17 @@ def test_measures_are_ordered_explicitly(spark):
         ("Count", "Host Genus"),
         ("Count", "Native"),
     ]
+
+
+def test_groups_without_spread_stay_in_densities(spark):
+    rows = [("count", float(i), float(i % 3)) for i in range(9)] + [("prop", float(i), 0.0) for i in range(9)] + [("one", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "component string, x double, y double")
+    grid = density.density_2d(df, 5)
+    got = {r.component: (r.n, r.zs) for r in grid.groupBy("component").agg(F.count("*").alias("n"), F.count("z").alias("zs")).collect()}
+    assert got == {"count": (25, 25), "prop": (25, 0), "one": (25, 0)}
+    alpha = density.with_alpha(grid).where("component = 'prop'").select("alpha", "plot_alpha").distinct().collect()
+    assert [tuple(r) for r in alpha] == [(None, None)]
+    assert density.normalised(grid).groupBy("component").count().count() == 3
+    curve = density.density_1d(df, ["component"], "y", 5)
+    got = {r.component: (r.n, r.ds, r.low) for r in curve.groupBy("component").agg(F.count("*").alias("n"), F.count("density").alias("ds"), F.min("x").alias("low")).collect()}
+    assert got == {"count": (5, 5, 0.0), "prop": (5, 0, 0.0), "one": (5, 0, 2.0)}

@@ -55,7 +55,10 @@ def joint_points(effects: DataFrame, parent: str, child: str, most: float = 1.5)
 
 
 def grid_frame(points: DataFrame, n_points: int | None = None) -> DataFrame:
-    """Range, bandwidths and size per component, for a rule-of-thumb kernel."""
+    """Range, bandwidths and size per component, for a rule-of-thumb kernel.
+
+    A bandwidth is 0 if all values are equal and null for a single point.
+    """
 
     def axis(c: str) -> DataFrame:
         return grouped_quantiles(
@@ -88,7 +91,7 @@ def grid_frame(points: DataFrame, n_points: int | None = None) -> DataFrame:
         h("x").alias("hx"),
         h("y").alias("hy"),
         F.col("x_n").alias("n_points"),
-    ).where((F.col("hx") > 0) & (F.col("hy") > 0))
+    )
 
 
 def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) -> DataFrame:
@@ -96,10 +99,12 @@ def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) ->
 
     The kernel is separable, so a batch of points adds the product of two
     n-column matrices. Each task sums its batches into one grid and emits it
-    once; Spark adds the grids. Exact: no binning and no kernel cut.
+    once; Spark adds the grids. Exact: no binning and no kernel cut. A component
+    without a spread in x or y has no density: its grid points have a null z.
     """
     frame = grid_frame(points, n_points)
-    placed = points.join(frame, "component").select(
+    spread = frame.where((F.col("hx") > 0) & (F.col("hy") > 0))
+    placed = points.join(spread, "component").select(
         "component", "x", "y", "x_min", "x_max", "y_min", "y_max", "hx", "hy"
     )
 
@@ -132,7 +137,9 @@ def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) ->
     def at(lo: str, hi: str, k: str) -> Column:
         return F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(k) / F.lit(float(n - 1))
 
-    return sums.join(frame, "component").select(
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    grid = frame.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    return grid.join(sums, ["component", "i", "j"], "left").select(
         "component",
         "i",
         "j",
@@ -143,11 +150,11 @@ def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) ->
 
 
 def with_alpha(density: DataFrame) -> DataFrame:
-    """Transparency by density: faint cells fade out, quadratically for counts."""
+    """Transparency by density: faint cells fade out, quadratically for counts; null without a density."""
     z = F.col("z")
     faint = F.when(F.col("component") == "count", z * z).otherwise(z)
-    return density.withColumn("alpha", F.when(z < 1, faint).otherwise(F.lit(1.0))).withColumn(
-        "plot_alpha", F.least(z, F.lit(1.0))
+    return density.withColumn("alpha", F.when(z < 1, faint).when(z >= 1, F.lit(1.0))).withColumn(
+        "plot_alpha", F.when(z.isNotNull(), F.least(z, F.lit(1.0)))
     )
 
 
@@ -165,7 +172,8 @@ def density_1d(
     """Gaussian kernel density on n points per group.
 
     Every value adds to all grid points by an explode; partial sums run before
-    the shuffle, which carries n rows per group and task.
+    the shuffle, which carries n rows per group and task. A group whose values are
+    all equal, or that has one value, has no density: its points have a null one.
     """
     seen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
     stats = grouped_quantiles(
@@ -185,22 +193,19 @@ def density_1d(
     h = F.lit(0.9) * _spread(F.col("sd"), F.col("q25"), F.col("q75")) * F.pow(
         F.col("n_points").cast("double"), F.lit(-0.2)
     )
-    frame = stats.select(*keys, "least", "most", "n_points", h.alias("h")).where(F.col("h") > 0)
+    frame = stats.select(*keys, "least", "most", "n_points", h.alias("h"))
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
     x = F.col("least") + (F.col("most") - F.col("least")) * F.col("i") / F.lit(float(n - 1))
     t = (F.col("x") - F.col("_value")) / F.col("h")
     spread = (
-        seen.join(frame, keys)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        seen.join(frame.where(F.col("h") > 0), keys)
+        .withColumn("i", F.explode(steps))
         .withColumn("x", x)
         .withColumn("k", F.exp(F.lit(-0.5) * t * t) / F.lit(SQRT_2PI))
     )
-    sums = spread.groupBy(*keys, "i").agg(
-        F.sum("k").alias("total"),
-        F.first("x").alias("x"),
-        F.first("h").alias("h"),
-        F.first("n_points").alias("n_points"),
-    )
-    return sums.select(*keys, "i", "x", (F.col("total") / (F.col("n_points") * F.col("h"))).alias("density"))
+    sums = spread.groupBy(*keys, "i").agg(F.sum("k").alias("total"))
+    points = frame.withColumn("i", F.explode(steps)).withColumn("x", x)
+    return points.join(sums, [*keys, "i"], "left").select(*keys, "i", "x", (F.col("total") / (F.col("n_points") * F.col("h"))).alias("density"))
 
 
 def parent_child(effects: DataFrame, parent: str, child: str, most: float = 1.5) -> DataFrame:

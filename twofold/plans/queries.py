@@ -44,6 +44,7 @@ EFFECT_DRAWS = 4000
 EM_STEPS = 5
 CHUNKS = 4
 GRID = 25
+WHOLE_GRID = 400
 CURVE = 41
 
 
@@ -936,30 +937,57 @@ def k3(spark, sf_dir):
     return density.joint_points(effect_study(spark, sf_dir).staged_effects, "Genus", "Host Site")
 
 
-def _density(study: Study, points: DataFrame) -> DataFrame:
-    return density.density_2d(tables.stage(points, "points"), GRID, study.draw_bound)
+def _density(study: Study, points: DataFrame, n: int = GRID) -> DataFrame:
+    return density.density_2d(tables.stage(points, "points"), n, study.draw_bound)
+
+
+def _joint_density(spark, sf_dir, n: int = GRID) -> DataFrame:
+    study = effect_study(spark, sf_dir)
+    return _density(study, density.joint_points(study.staged_effects, "Genus", "Host Site"), n)
+
+
+# The statements of k4 to k7 leave out groups without a density; their second forms
+# below hold all of them, on the full grid.
 
 
 @query("k4_density_2d", digits=4)
 def k4(spark, sf_dir):
-    study = effect_study(spark, sf_dir)
-    return _density(study, density.joint_points(study.staged_effects, "Genus", "Host Site"))
+    return _joint_density(spark, sf_dir).where(F.col("z").isNotNull())
+
+
+@query("k4b_density_all_components", digits=4)
+def k4b(spark, sf_dir):
+    return _joint_density(spark, sf_dir, WHOLE_GRID)
 
 
 @query("k5_alpha", digits=4)
 def k5(spark, sf_dir):
-    study = effect_study(spark, sf_dir)
-    grid = _density(study, density.joint_points(study.staged_effects, "Genus", "Host Site"))
+    grid = _joint_density(spark, sf_dir).where(F.col("z").isNotNull())
     return density.with_alpha(grid).select("component", "i", "j", "alpha", "plot_alpha")
 
 
-@query("k6_density_1d", digits=4)
-def k6(spark, sf_dir):
+@query("k5b_alpha_all_components", digits=4)
+def k5b(spark, sf_dir):
+    grid = _joint_density(spark, sf_dir, WHOLE_GRID)
+    return density.with_alpha(grid).select("component", "i", "j", "alpha", "plot_alpha")
+
+
+def _class_density(spark, sf_dir) -> DataFrame:
     study = effect_study(spark, sf_dir)
     rows = tables.stage(density.class_labels(study.staged_effects, "Genus", "Host Site"), "classes")
     return density.density_1d(rows, ["component", "class"], "effect_size", CURVE, study.draw_bound)
 
 
+@query("k6_density_1d", digits=4)
+def k6(spark, sf_dir):
+    return _class_density(spark, sf_dir).where(F.col("density").isNotNull())
+
+
+@query("k6c_density_all_classes", digits=4)
+def k6c(spark, sf_dir):
+    return _class_density(spark, sf_dir)
+
+
 @query("k6b_class_intervals")
 def k6b(spark, sf_dir):
     study = effect_study(spark, sf_dir)
@@ -969,14 +997,23 @@ def k6b(spark, sf_dir):
     )
 
 
-@query("k7_normalised_density")
-def k7(spark, sf_dir):
+def _pair_density(spark, sf_dir, n: int = GRID) -> DataFrame:
     study = effect_study(spark, sf_dir)
     wide = density.parent_child(study.staged_effects, "Genus", "Host Site", 1.5)
     points = wide.where(~F.col("child_missing") & F.col("parent").isNotNull()).select(
         "component", "draw_id", F.col("child").alias("x"), F.col("parent").alias("y")
     )
-    return density.normalised(_density(study, points))
+    return density.normalised(_density(study, points, n))
+
+
+@query("k7_normalised_density")
+def k7(spark, sf_dir):
+    return _pair_density(spark, sf_dir).where(F.col("ndensity").isNotNull())
+
+
+@query("k7b_normalised_all_components")
+def k7b(spark, sf_dir):
+    return _pair_density(spark, sf_dir, WHOLE_GRID)
 
 
 @query("k8_parent_child")
