@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twofold.operators import density, effects
+from twofold.operators import density, draws, effects, expected
 
 CELLS = "host_site string, genus string, family string, source_site string"
 
@@ -152,3 +152,21 @@ def test_groups_without_spread_stay_in_densities(spark):
     curve = density.density_1d(df, ["component"], "y", 5)
     got = {r.component: (r.n, r.ds, r.low) for r in curve.groupBy("component").agg(F.count("*").alias("n"), F.count("density").alias("ds"), F.min("x").alias("low")).collect()}
     assert got == {"count": (5, 5, 0.0), "prop": (5, 0, 0.0), "one": (5, 0, 2.0)}
+
+
+def test_wide_draws_hold_every_parameter(spark):
+    rows = [(1, "m", "count", "intercept", "", 0.5), (1, "m", "prop", "source:host", "ASIA:h1", 0.2), (2, "n", "count", "(1|block)", "b1", 0.3), (2, "n", "prop", "source", "EUROPE", 0.4)]
+    df = spark.createDataFrame(rows, "draw_id long, model_name string, component string, term string, level string, value double")
+    wide = draws.wide_draws(df)
+    names = ["count_1_block_b1", "count_intercept", "prop_source_EUROPE", "prop_source_host_ASIA_h1"]
+    assert wide.columns == ["draw_id", "model_name", *names]
+    got = {r.draw_id: tuple(r[2:]) for r in draws.zero_filled(wide).collect()}
+    assert got == {1: (0.0, 0.5, 0.0, 0.2), 2: (0.3, 0.0, 0.4, 0.0)}
+
+
+def test_interactions_with_a_reference_need_no_parameter(spark):
+    cells = spark.createDataFrame([(1, "h0", "g", "A"), (2, "h1", "g", "A"), (3, "h1", "g", "B")], "cell_id long, host_site string, genus string, source_site string")
+    rows = [(1, "m", "count", "source:host", "B:h1", 0.2), (1, "m", "prop", "host", "h1", 0.1)]
+    df = spark.createDataFrame(rows, "draw_id long, model_name string, component string, term string, level string, value double")
+    got = expected.complete_share(cells, df, "cell_id", ["source:host"], {"host": "h0", "source": "A"}).collect()
+    assert {r.cell_id: (r.prop_count, r.prop_hu) for r in got} == {1: (1.0, 1.0), 2: (1.0, 1.0), 3: (1.0, 0.0)}

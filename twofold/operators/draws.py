@@ -240,9 +240,19 @@ def parameter_name() -> Column:
     return F.concat_ws("_", "component", F.regexp_replace(tail, "^_|_$", ""))
 
 
-def wide_draws(draws: DataFrame, names: list[str]) -> DataFrame:
-    """One row per draw, one column per named parameter, null where the model
-    lacks it. The names are given, so no pass is needed to find them."""
+def parameter_names(draws: DataFrame) -> list[str]:
+    """Names of all parameters of the draws, in order; bounded by the factor levels."""
+    found = draws.select("component", "term", "level").distinct().select(parameter_name().alias("name"))
+    return sorted({r["name"] for r in found.collect()})
+
+
+def wide_draws(draws: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One row per draw, one column per parameter, null where the model lacks it.
+
+    Given names spare the pass that finds them; without any, all parameters of
+    the draws have a column.
+    """
+    names = parameter_names(draws) if names is None else names
     return (
         draws.withColumn("parameter", parameter_name())
         .groupBy("draw_id", "model_name")

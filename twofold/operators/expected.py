@@ -53,8 +53,9 @@ def cell_keys(cells: DataFrame, terms: list[str], reference: dict[str, str] | No
     keys = []
     for i, term in enumerate(terms):
         key = _key(F.lit(term), term_level(term))
-        if reference and term in reference:
-            key = F.when(term_level(term) != reference[term], key)
+        for factor in term.split(":") if reference else ():
+            if factor in reference:
+                key = F.when(term_level(factor) != reference[factor], key)
         keys.append(key.alias(f"key_{i}"))
     return cells.select("cell_id", *keys)
 
@@ -161,7 +162,7 @@ def complete_share(
 ) -> DataFrame:
     """Share of predictions for which the model holds every parameter asked for.
 
-    Reference levels need no parameter. ``by`` is ``cell_id`` or ``draw_id``.
+    Reference levels, and interactions with one, need no parameter. ``by`` is ``cell_id`` or ``draw_id``.
     """
     pairs = block_product(
         draw_vectors(draws), cell_keys(cells, terms, reference), "draw_id", "cell_id"

@@ -648,6 +648,17 @@ def d6(spark, sf_dir):
     return draws.zero_filled(draws.wide_draws(effect_study(spark, sf_dir).draws, WIDE))
 
 
+@query("d5b_wide_draws_all")
+def d5b(spark, sf_dir):
+    """All parameters of the draws; the statement of d5 has ten."""
+    return draws.wide_draws(effect_study(spark, sf_dir).draws)
+
+
+@query("d6b_zero_filled_all")
+def d6b(spark, sf_dir):
+    return draws.zero_filled(draws.wide_draws(effect_study(spark, sf_dir).draws))
+
+
 @query("d7_draw_details")
 def d7(spark, sf_dir):
     return effect_study(spark, sf_dir).details.drop("count_terms", "hurdle_terms")
@@ -770,6 +781,30 @@ def e13c(spark, sf_dir):
     return expected.common_terms(models, "count_terms")
 
 
+def _share_of_all_terms(spark, sf_dir, by: str) -> DataFrame:
+    """Share over every term that varies in the trials; the statements of e13 have four."""
+    study = ev_study(spark, sf_dir)
+    terms = [r["term"] for r in modelspace.usable_terms(study.cells).orderBy("bit").collect()]
+    return expected.complete_share(study.cells, study.draws, by, terms, study.reference)
+
+
+@query("e13d_share_by_cell_all_terms")
+def e13d(spark, sf_dir):
+    return _share_of_all_terms(spark, sf_dir, "cell_id")
+
+
+@query("e13e_share_by_draw_all_terms")
+def e13e(spark, sf_dir):
+    return _share_of_all_terms(spark, sf_dir, "draw_id")
+
+
+@query("e13f_common_terms_all_terms")
+def e13f(spark, sf_dir):
+    good = _share_of_all_terms(spark, sf_dir, "draw_id").where((F.col("prop_count") > 0.5) & (F.col("prop_hu") > 0.5))
+    models = ev_study(spark, sf_dir).details.join(good, "draw_id", "left_semi").select("model_name", "count_terms").distinct()
+    return expected.common_terms(models, "count_terms")
+
+
 # Effects -------------------------------------------------------------------
 
 
