@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twofold.llm.ann import nearest
+from twofold.llm.conversations import prefix_trie
 from twofold.llm.language import language_predictions
+from twofold.llm.lexical import search
 from twofold.llm.licenses import scan_licenses
 from twofold.llm.mixing import mix_plan
 from twofold.llm.ngram_join import ngram_components
 from twofold.llm.packing import pack
 from twofold.llm.quality import quality_rules
+from twofold.llm.rule_ensemble import quality_scores
 from twofold.llm.statements import STATEMENTS
 from twofold.llm.substrings import without_repeats
 from twofold.llm.token_counts import token_counts
@@ -88,3 +91,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -94,9 +94,59 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(label) AS com
 FROM d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n
 """
 
+LEXICAL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_all FROM d WHERE len(ws) > 0),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf CROSS JOIN totals GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, CAST(10 + (90 * len(ws) * n_docs) // n_all AS BIGINT) AS m FROM d CROSS JOIN totals WHERE len(ws) > 0),
+score AS (
+  SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+TRIE = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn ASC NULLS FIRST, md5(concat(length(role), ':', role, text))) AS s
+  FROM t GROUP BY conv_id),
+steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
+k AS (
+  SELECT conv_id, s,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda a, b: xor(a // 256, tab[1 + xor(a % 256, b)])), 4294967295) % 9 AS h
+  FROM c CROSS JOIN steps),
+rebuilt AS (
+  SELECT k.conv_id, list_concat(coalesce(d.s[1:h], []), k.s[h + 1:]) AS s
+  FROM k LEFT JOIN c d ON d.conv_id = k.conv_id - k.conv_id % 5),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, string_agg(CASE WHEN len(s) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM (SELECT conv_id, s, d, s[1:d] AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)) GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+v AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, p)),
+below AS (
+  SELECT a AS d, p[1:a] AS p, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+         CAST(sum(CASE WHEN d > 0 THEN (n - 1) * strlen(p[d].t) ELSE 0 END) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       n_leaves, saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN below USING (d, p) LEFT JOIN v up ON up.d = v.d - 1 AND up.p = v.p[1:v.d - 1] AND v.d > 0
+"""
+
 STATEMENTS = {
     "op1_ngram_jaccard_join": LINKS,
     "op3_source_mixing": MIXING,
     "op9_quality_rules": QUALITY,
     "op10_substring_dedup": SUBSTRINGS,
+    "op12_lexical_search": LEXICAL,
+    "op13_prefix_trie": TRIE,
 }
