@@ -313,25 +313,101 @@ GROUP BY model_name{k}, weight""",
         )
 
 
-def stack_chain(prefix: str, tol: str = "1e-4", chunk: str = "") -> None:
-    """Stacking steps until no gradient is above 1 + tol, after ``em_chain``."""
-    k = f", {chunk}" if chunk else ""
-    using = f"(model_name{k})"
-    over = f"OVER (PARTITION BY {chunk})" if chunk else "OVER ()"
-    slopes = """SELECT step, model_name{k}, weight, sum(copies * density / mix) / sum(copies) AS gradient FROM (
-  SELECT *, sum(weight * density) OVER (PARTITION BY cell_id, cnt{k}) AS mix FROM {p}dens JOIN (
-{state}) USING {using})
-GROUP BY step, model_name{k}, weight"""
-    start = f"SELECT 0 AS step, model_name{k}, weight FROM {prefix}em0"
-    moved = f"""SELECT step + 1 AS step, model_name{k}, greatest(raw / sum(raw) {over}, 1e-12) AS weight FROM (
-    SELECT *, weight * pow(gradient, [1, 4, 1, 16, 1, 64][step % 6 + 1]) AS raw, max(gradient) {over} AS top FROM {prefix}run)
-  WHERE top > 1e0 + {tol} AND step < 5000"""
-    first, later = (slopes.format(k=k, p=prefix, state=x, using=using) for x in (start, moved))
-    cte(f"{prefix}run", f"{first}\nUNION ALL\n{later}")
+def stack_chain(prefix: str, tol: str = "1e-8", chunk: str = "", most: int = 12, rounds: int = 4) -> None:
+    """Stacking after ``em_chain``: guarded multiplicative steps, then rounds of Newton steps.
+
+    A round takes at most ``most`` models: those with weight, and those that would raise the score.
+
+    A guarded step raises the gradients of the best weights so far to a power,
+    which doubles up to 64 while the score rises; where it falls, the next step
+    starts from the best weights again with power 1. A Newton step solves the
+    second-order conditions by elimination; a weight that would fall below zero
+    is stopped there and stays out. The gradients of all models tell whether the
+    result is the optimum.
+    """
+    grp = chunk or "1"
+    cte(
+        f"{prefix}packed",
+        f"""SELECT {grp} AS grp, any_value(copies) AS copies, list(density ORDER BY model_name) AS d FROM {prefix}dens GROUP BY grp, cell_id, cnt""",
+    )
+    cte(
+        f"{prefix}run",
+        f"""SELECT 0 AS step, 1 AS power, grp, any_value(list_transform(d, lambda x: 1e0 / len(d))) AS w, any_value(list_transform(d, lambda x: 1e0 / len(d))) AS best,
+  any_value(list_transform(d, lambda x: 0e0)) AS best_g, CAST('-infinity' AS DOUBLE) AS best_score, 2e0 AS top FROM {prefix}packed GROUP BY grp
+UNION ALL
+SELECT step, power, grp, list_transform(raw, lambda x: greatest(x / list_sum(raw), 1e-12)), from_w, from_g, from_score, top FROM (
+  SELECT *, list_transform(from_w, lambda x, i: x * pow(from_g[i], power)) AS raw FROM (
+    SELECT step + 1 AS step, grp, list_max(g) AS top, CASE WHEN up THEN w ELSE best END AS from_w, CASE WHEN up THEN g ELSE best_g END AS from_g,
+      CASE WHEN up THEN score ELSE best_score END AS from_score, CASE WHEN up THEN least(power * 2, 64) ELSE 1 END AS power FROM (
+      SELECT *, score >= best_score - 1e-12 * abs(score) AS up FROM (
+        SELECT grp, any_value(step) AS step, any_value(power) AS power, any_value(w) AS w, any_value(best) AS best, any_value(best_g) AS best_g,
+          any_value(best_score) AS best_score, any_value(score) AS score, list(g ORDER BY i) AS g FROM (
+          SELECT grp, i, any_value(step) AS step, any_value(power) AS power, any_value(w) AS w, any_value(best) AS best, any_value(best_g) AS best_g,
+            any_value(best_score) AS best_score, sum(copies * ln(mix)) AS score, sum(copies * d[i] / mix) / sum(copies) AS g FROM (
+            SELECT r.*, copies, d, list_dot_product(d, w) AS mix FROM {prefix}run r JOIN {prefix}packed USING (grp) WHERE step < 30 AND top > 1e0 + {tol}),
+            range(1, 65) a(i) WHERE i <= len(w) GROUP BY grp, i)
+        GROUP BY grp))))""",
+    )
+    names = f"(SELECT *, row_number() OVER (PARTITION BY grp ORDER BY model_name) AS number FROM (SELECT DISTINCT {grp} AS grp, model_name FROM {prefix}em0))"
+    cte(
+        f"{prefix}few1",
+        f"""SELECT grp, model_name, best[number] AS weight, row_number() OVER (PARTITION BY grp ORDER BY best[number] DESC, model_name) AS place FROM (
+  SELECT * FROM (SELECT *, max(step) OVER (PARTITION BY grp) AS final FROM {prefix}run) WHERE step = final) JOIN {names} USING (grp)
+QUALIFY place <= {most}""",
+    )
+    # Rows of the system: second derivatives, the constraint, the slopes; a weight that is out moves by zero.
+    system = """list_concat(
+      list_transform(range(1, m + 1), lambda i: CASE WHEN live[i] = 1 THEN
+        list_concat(list_transform(range(1, m + 1), lambda j: live[j] * h[(i - 1) * m + j] + CASE WHEN i = j THEN 1e-13 ELSE 0e0 END), [1e0, g[i]])
+        ELSE list_concat(list_transform(range(1, m + 1), lambda j: CASE WHEN i = j THEN 1e0 ELSE 0e0 END), [0e0, 0e0]) END),
+      [list_concat(live, [0e0, 0e0])])"""
+    solved = """list_reduce(list_concat([a], list_transform(range(1, m + 2), lambda k: [[CAST(k AS DOUBLE)]])), lambda x, k:
+      list_transform(x, lambda row, i: CASE WHEN i = CAST(k[1][1] AS INT) THEN list_transform(row, lambda v: v / x[CAST(k[1][1] AS INT)][CAST(k[1][1] AS INT)])
+        ELSE list_transform(row, lambda v, j: v - row[CAST(k[1][1] AS INT)] * x[CAST(k[1][1] AS INT)][j] / x[CAST(k[1][1] AS INT)][CAST(k[1][1] AS INT)]) END))"""
+    for r in range(1, rounds + 1):
+        if r > 1:
+            cte(
+                f"{prefix}few{r}",
+                f"""SELECT grp, model_name, greatest(weight, 1e-4) AS weight, row_number() OVER (PARTITION BY grp ORDER BY weight > 1e-9 DESC, gradient DESC, model_name) AS place
+FROM {prefix}found{r - 1} WHERE weight > 1e-9 OR gradient > 1e0 + 1e-9 QUALIFY place <= {most}""",
+            )
+        cte(
+            f"{prefix}small{r}",
+            f"""SELECT grp, any_value(copies) AS copies, list(density ORDER BY place) AS d
+FROM (SELECT *, {grp} AS grp FROM {prefix}dens) JOIN {prefix}few{r} USING (grp, model_name) GROUP BY grp, cell_id, cnt""",
+        )
+        cte(
+            f"{prefix}newton{r}",
+            f"""SELECT 0 AS step, grp, list(weight / total ORDER BY place) AS w, list(1e0 ORDER BY place) AS live, 1e0 AS size
+FROM (SELECT *, sum(weight) OVER (PARTITION BY grp) AS total FROM {prefix}few{r}) GROUP BY grp
+UNION ALL
+SELECT step + 1, grp, list_transform(w, lambda x, i: CASE WHEN live[i] = 0 OR x + part * move[i] < 1e-14 THEN 0e0 ELSE x + part * move[i] END),
+  list_transform(live, lambda x, i: CASE WHEN x = 0 OR w[i] + part * move[i] < 1e-14 THEN 0e0 ELSE 1e0 END), list_max(list_transform(move, lambda v: abs(v))) FROM (
+  SELECT *, least(1e0, list_min(list_transform(w, lambda x, i: CASE WHEN live[i] = 1 AND move[i] < 0 THEN -x / move[i] ELSE 1e0 END))) AS part FROM (
+    SELECT *, list_transform(range(1, m + 1), lambda i: ({solved})[i][m + 2]) AS move FROM (
+      SELECT *, {system} AS a FROM (
+        SELECT any_value(step) AS step, grp, any_value(w) AS w, any_value(live) AS live, any_value(len(w)) AS m, list(h ORDER BY i, j) AS h, list(g ORDER BY i) FILTER (j = 1) AS g FROM (
+          SELECT any_value(step) AS step, grp, any_value(w) AS w, any_value(live) AS live, i, j, sum(copies * d[i] * d[j] / mix / mix) / sum(copies) AS h, sum(copies * d[i] / mix) / sum(copies) AS g FROM (
+            SELECT step, grp, w, live, copies, d, list_dot_product(d, w) AS mix FROM {prefix}newton{r} JOIN {prefix}small{r} USING (grp) WHERE step < 40 AND size > 1e-13),
+            range(1, {most + 1}) a(i), range(1, {most + 1}) b(j) WHERE i <= len(w) AND j <= len(w) GROUP BY grp, i, j)
+        GROUP BY grp))))""",
+        )
+        cte(
+            f"{prefix}all{r}",
+            f"""SELECT grp, list(coalesce(w[place], 1e-12) ORDER BY number) AS w FROM {names}
+JOIN (SELECT grp, w FROM (SELECT *, max(step) OVER (PARTITION BY grp) AS final FROM {prefix}newton{r}) WHERE step = final) USING (grp)
+LEFT JOIN {prefix}few{r} USING (grp, model_name) GROUP BY grp""",
+        )
+        cte(
+            f"{prefix}found{r}",
+            f"""SELECT grp, model_name, weight, gradient FROM (
+  SELECT grp, i AS number, any_value(w[i]) AS weight, sum(copies * d[i] / mix) / sum(copies) AS gradient FROM (
+    SELECT grp, w, copies, d, list_dot_product(d, w) AS mix FROM {prefix}all{r} JOIN {prefix}packed USING (grp)), range(1, 65) a(i)
+  WHERE i <= len(w) GROUP BY grp, i) JOIN {names} USING (grp, number)""",
+        )
     cte(
         f"{prefix}stacked",
-        f"""SELECT model_name{k}, weight, gradient, max(gradient) {over} <= 1e0 + {tol} AS converged FROM (
-  SELECT *, max(step) {over} AS final FROM {prefix}run) WHERE step = final""",
+        f"""SELECT model_name{f", grp AS {chunk}" if chunk else ""}, weight, gradient, max(gradient) OVER (PARTITION BY grp) <= 1e0 + {tol} AS converged FROM {prefix}found{rounds}""",
     )
 
 

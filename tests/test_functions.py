@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twofold.functions import links, rand
 from twofold.operators.joins import block_product, salted_join
-from twofold.operators.quantiles import grouped_quantiles, located_quantiles
+from twofold.operators.quantiles import grouped_quantiles
 
 
 def one(spark, **cols):
@@ -65,25 +65,32 @@ def test_gamma_moments(spark, shape):
     assert r.v == pytest.approx(shape, rel=0.1)
 
 
-def test_located_quantiles_equal_numpy(spark):
-    """A group with a third of the rows, heavy ties, nulls and a tiny group."""
+def test_quantiles_equal_numpy(spark):
+    """A hot group, ties, values in one narrow bin, both signs, infinities, tiny and empty groups, a null key."""
     rng = np.random.default_rng(3)
     rows = [("big", float(v)) for v in rng.lognormal(size=30000)]
     rows += [("ties", float(v)) for v in rng.integers(0, 5, 20000)]
     rows += [("zeros", 0.0)] * 9000 + [("zeros", float(v)) for v in rng.random(1000)]
-    rows += [("tiny", 1.0), ("tiny", 2.0), (None, 5.0), ("tiny", None), ("void", None)]
+    rows += [("narrow", 1e9 + float(v) * 1e-3) for v in rng.random(5000)]
+    rows += [("signs", float(v)) for v in rng.normal(size=4001) * 10.0 ** rng.integers(-300, 300, 4001)]
+    rows += [("powers", 2.0**e * f) for e in range(-40, 40) for f in (1.0, 1 - 2**-53, 1 + 2**-52)]
+    rows += [("endless", float("inf"))] * 5 + [("endless", 1.0)] * 5 + [("tiny", 1.0), ("tiny", 2.0), (None, 5.0), ("tiny", None), ("void", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
     probs = (0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)
     names = tuple(f"q{i}" for i in range(len(probs)))
-    got = {r.k: r for r in located_quantiles(df, ["k"], "v", probs, names, accuracy=500).collect()}
-    assert set(got) == {"big", "ties", "zeros", "tiny", None}
-    for k in got:
+    got = {r.k: r for r in grouped_quantiles(df, ["k"], "v", probs, names, extra=(F.count("*").alias("n"),)).collect()}
+    assert set(got) == {"big", "ties", "zeros", "narrow", "signs", "powers", "endless", "tiny", "void", None}
+    for k in set(got) - {"void", "endless"}:
         values = [v for g, v in rows if g == k and v is not None]
         for p, n in zip(probs, names):
-            assert got[k][n] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
-    direct = grouped_quantiles(df.where("v IS NOT NULL"), ["k"], "v", probs, names, group_rows=60000)
-    for r in direct.collect():
-        assert [got[r.k][n] for n in names] == pytest.approx([r[n] for n in names])
+            assert got[k][n] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=0)
+        assert got[k].n == sum(g == k for g, _ in rows)
+    assert [got["endless"][n] for n in names] == [1.0, 1.0, 1.0, float("inf"), float("inf"), float("inf"), float("inf")]
+    assert [got["void"][n] for n in names] == [None] * 7 and got["void"].n == 1
+    twice = df.selectExpr("k AS a", "cast(v > 1 AS string) AS b", "v AS rank", "1 AS bin")
+    want = {(r.a, r.b): (r.m, r.n) for r in twice.groupBy("a", "b").agg(F.expr("percentile(rank, 0.5)").alias("m"), F.count("*").alias("n")).collect()}
+    found = grouped_quantiles(twice, ["a", "b"], "rank", (0.5,), ("m",), extra=(F.sum("bin").alias("n"),)).collect()
+    assert {(r.a, r.b): (r.m, r.n) for r in found} == want
 
 
 def test_salted_join_and_block_product(spark):

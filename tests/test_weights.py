@@ -70,6 +70,69 @@ def test_stacking_reaches_the_optimum(spark, mixed):
     assert mine == pytest.approx(w, abs=0.01)
 
 
+def packed_stack(density, copies, tol, max_steps=60):
+    """The solver of ``stack`` over one numpy table, and how many passes it took."""
+    models = (np.arange(density.shape[1]), np.zeros(density.shape[1], int))
+    scaled, one = density / density.max(1, keepdims=True), np.ones((len(density), 1))
+
+    def passes(trials, active):
+        sums = weights._class_sums(scaled, one, copies, models, trials, active).reshape(len(trials), -1) / copies.sum()
+        k, a = density.shape[1], len(active)
+        return [weights._Pass(w, r[0], r[1 : 1 + k], active, r[1 + k :].reshape(a, a)) for w, r in zip(trials, sums)]
+
+    w = np.full(density.shape[1], 1 / density.shape[1])
+    state, n = weights._better(None, passes([w], weights._active(w, None))), 1
+    while state.slopes.max() > 1 + tol and n < max_steps:
+        before = state.score
+        state = weights._better(state, passes(weights._next_trials(state), weights._active(state.weights, state.slopes)))
+        assert state.score >= before - 1e-9
+        n += 1
+    return state, n
+
+
+def test_stacking_converges_on_random_tables():
+    """50 tables of all spreads, some with two equal models; every one within few passes."""
+    rng = np.random.default_rng(11)
+    taken = []
+    for i in range(50):
+        table = rng.normal(-1.5, rng.choice([0.05, 0.3, 0.7, 3.0, 20.0]), (int(rng.integers(40, 400)), int(rng.integers(3, 30))))
+        if i % 5 == 0:
+            table[:, 1] = table[:, 0]
+        copies = rng.integers(1, 6, len(table)).astype(float)
+        state, n = packed_stack(np.exp(table - table.max(1, keepdims=True)), copies, 1e-8)
+        assert state.slopes.max() <= 1 + 1e-8 and state.weights.sum() == pytest.approx(1)
+        taken.append(n)
+    assert np.mean(taken) < 12 and max(taken) <= 40
+
+
+def test_stacking_pairs_equals_stacking_their_products(spark):
+    rng = np.random.default_rng(8)
+    sides = [f"s{k}" for k in range(4)]
+    half = {s: (rng.normal(-1, 0.8, 50), rng.normal(-1, 0.8, 50)) for s in sides}
+    copies = [1 + i % 3 for i in range(50)]
+    halves = spark.createDataFrame(
+        [(s, i, 0, copies[i], float(c[i]), float(z[i])) for s, (c, z) in half.items() for i in range(50)],
+        "side string, cell_id long, cnt long, copies long, elpd_count double, elpd_zero double",
+    )
+    pairs = spark.createDataFrame([(f"{a}-{b}", a, b) for a in sides for b in sides], "model_name string, count_side string, hurdle_side string")
+    whole = points(spark, {f"{a}-{b}": half[a][0] + half[b][1] for a in sides for b in sides}, copies)
+    found = weights.stack_pairs(halves, pairs, tol=1e-8)
+    assert found.where("not converged").count() == 0
+    got, want = as_dict(found, "gradient"), as_dict(weights.stack(whole, tol=1e-8), "gradient")
+    assert got == pytest.approx(want, abs=1e-5)
+    assert as_dict(found) == pytest.approx(as_dict(weights.stack(whole, tol=1e-8)), abs=1e-4)
+
+
+def test_many_tasks_add_up(spark, mixed, monkeypatch):
+    _, p = mixed
+    want = as_dict(weights.stack(p))
+    monkeypatch.setattr(weights, "FEW_PARTS", 2)
+    staged = weights.stage
+    monkeypatch.setattr(weights, "stage", lambda df, name: staged(df.repartition(7), name))
+    monkeypatch.setattr(weights, "_packed", lambda points, keys, real=weights._packed: real(points, keys).repartition(7))
+    assert as_dict(weights.stack(p)) == pytest.approx(want, abs=1e-6)
+
+
 def test_steps_never_lower_the_score(spark, mixed):
     _, p = mixed
     dens = weights.densities(p).cache()

@@ -54,7 +54,7 @@ def joint_points(effects: DataFrame, parent: str, child: str, most: float = 1.5)
     return both.select("component", "draw_id", F.col("parent").alias("x"), F.col("child").alias("y"))
 
 
-def grid_frame(points: DataFrame, n_points: int | None = None) -> DataFrame:
+def grid_frame(points: DataFrame) -> DataFrame:
     """Range, bandwidths and size per component, for a rule-of-thumb kernel.
 
     A bandwidth is 0 if all values are equal and null for a single point.
@@ -67,7 +67,6 @@ def grid_frame(points: DataFrame, n_points: int | None = None) -> DataFrame:
             c,
             (0.25, 0.75),
             (f"{c}_q25", f"{c}_q75"),
-            group_rows=n_points,
             extra=(
                 F.min(c).alias(f"{c}_min"),
                 F.max(c).alias(f"{c}_max"),
@@ -94,7 +93,7 @@ def grid_frame(points: DataFrame, n_points: int | None = None) -> DataFrame:
     )
 
 
-def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) -> DataFrame:
+def density_2d(points: DataFrame, n: int = 400) -> DataFrame:
     """Gaussian kernel density on an n x n grid per component.
 
     The kernel is separable, so a batch of points adds the product of two
@@ -102,7 +101,7 @@ def density_2d(points: DataFrame, n: int = 400, n_points: int | None = None) ->
     once; Spark adds the grids. Exact: no binning and no kernel cut. A component
     without a spread in x or y has no density: its grid points have a null z.
     """
-    frame = grid_frame(points, n_points)
+    frame = grid_frame(points)
     spread = frame.where((F.col("hx") > 0) & (F.col("hy") > 0))
     placed = points.join(spread, "component").select(
         "component", "x", "y", "x_min", "x_max", "y_min", "y_max", "hx", "hy"
@@ -167,7 +166,7 @@ def normalised(density: DataFrame) -> DataFrame:
 
 
 def density_1d(
-    rows: DataFrame, keys: list[str], value: str, n: int = 101, n_points: int | None = None
+    rows: DataFrame, keys: list[str], value: str, n: int = 101
 ) -> DataFrame:
     """Gaussian kernel density on n points per group.
 
@@ -182,7 +181,6 @@ def density_1d(
         "_value",
         (0.25, 0.75),
         ("q25", "q75"),
-        group_rows=n_points,
         extra=(
             F.min("_value").alias("least"),
             F.max("_value").alias("most"),

@@ -316,11 +316,11 @@ def _frequency() -> Column:
     return F.lit(1.0) - F.avg(F.col("absent").cast("int").cast("double"))
 
 
-def credible_intervals(effects: DataFrame, keys: list[str], n_draws: int | None = None) -> DataFrame:
-    return grouped_quantiles(effects, keys, "effect_size", EFFECT_PROBS, EFFECT_NAMES, group_rows=n_draws)
+def credible_intervals(effects: DataFrame, keys: list[str]) -> DataFrame:
+    return grouped_quantiles(effects, keys, "effect_size", EFFECT_PROBS, EFFECT_NAMES)
 
 
-def summary(effects: DataFrame, n_draws: int | None = None) -> DataFrame:
+def summary(effects: DataFrame) -> DataFrame:
     """Inclusion frequency and credible interval per component and factor."""
     return grouped_quantiles(
         effects,
@@ -328,7 +328,6 @@ def summary(effects: DataFrame, n_draws: int | None = None) -> DataFrame:
         "effect_size",
         EFFECT_PROBS,
         EFFECT_NAMES,
-        group_rows=n_draws,
         extra=(_frequency().alias("frequency"),),
     ).orderBy("component", F.desc("frequency"), "factor")
 
@@ -369,9 +368,9 @@ def partition_by_presence(
     return inside.unionByName(outside)
 
 
-def split_effects(effects: DataFrame, factor: str, other: str, n_draws: int | None = None) -> DataFrame:
+def split_effects(effects: DataFrame, factor: str, other: str) -> DataFrame:
     parts = partition_by_presence(effects, factor, other, "With", "Without")
-    return credible_intervals(parts, ["component", "partition"], n_draws)
+    return credible_intervals(parts, ["component", "partition"])
 
 
 def joint_inclusion(effects: DataFrame, component: str) -> DataFrame:

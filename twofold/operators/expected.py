@@ -112,7 +112,7 @@ def long_values(values: DataFrame, keys: list[str], names=("Incidence", "Prevale
     ).unpivot(keys, list(names), "variable", "pred")
 
 
-def cell_summary(values: DataFrame, n_draws: int | None = None) -> DataFrame:
+def cell_summary(values: DataFrame) -> DataFrame:
     """Quantiles, mean and median per cell and response."""
     rows = long_values(values, ["cell_id"], ("count", "hu"))
     return grouped_quantiles(
@@ -121,12 +121,11 @@ def cell_summary(values: DataFrame, n_draws: int | None = None) -> DataFrame:
         "pred",
         (*EV_PROBS, 0.5),
         (*EV_NAMES, "median"),
-        group_rows=n_draws,
         extra=(F.avg("pred").alias("mean"),),
     )
 
 
-def site_summary(values: DataFrame, group_rows: int | None = None) -> DataFrame:
+def site_summary(values: DataFrame) -> DataFrame:
     """Mean, median, sd and the 50% and 95% limits by variable and site pair."""
     keys = ["variable", "host_site", "source_site"]
     rows = long_values(values, ["host_site", "source_site"])
@@ -136,7 +135,6 @@ def site_summary(values: DataFrame, group_rows: int | None = None) -> DataFrame:
         "pred",
         (0.5, 0.25, 0.75, 0.025, 0.975),
         ("median", "lower_50", "upper_50", "lower_95", "upper_95"),
-        group_rows=group_rows,
         extra=(F.avg("pred").alias("mean"), F.stddev_samp("pred").alias("sd")),
     )
 

@@ -252,13 +252,13 @@ def diagonal_step(swept: DataFrame, damping: float = 0.5) -> DataFrame:
     )
 
 
-def patterns(design: DataFrame, cells: DataFrame) -> DataFrame:
+def patterns(design: DataFrame, cells: DataFrame, mark: str = "|") -> DataFrame:
     """Sufficient statistics per side and distinct set of active parameters.
 
     Cells that a candidate cannot tell apart are summed, so a candidate without
     block and family effects works on a handful of rows.
     """
-    name = F.concat_ws("|", "term", "level")
+    name = F.concat_ws(mark, "term", "level")
     active = design.groupBy("side", "cell_id").agg(F.sort_array(F.collect_list(name)).alias("params"))
     return (
         active.join(cells.select("cell_id", *STATS), "cell_id")

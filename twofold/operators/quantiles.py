@@ -1,18 +1,41 @@
-"""Exact quantiles per group, with linear interpolation between ranks."""
+"""Exact quantiles per group, with linear interpolation between ranks.
+
+One way for groups of any size. Values are counted in bins first, partial counts
+before the shuffle; running counts tell which bin holds each rank that is asked
+for, and only values of such bins go on. Bins of the first pass are steps of one
+part in 256 of a power of two, those of the second are 4,096 equal steps of a bin
+that was hit; the third counts distinct values. No task sees a whole group, and a
+group without values keeps its row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The percentile aggregate keeps a group's distinct values in one task.
-ONE_TASK_ROWS = 1_000_000
+from twofold.sources.tables import stage
+
+STEPS = 256
+FINE_STEPS = 4096
+
+
+def _coarse(v: Column) -> Column:
+    """Bin of a value, ascending with it: sign, power of two and the step within it.
+
+    Zero has a bin of its own, infinities and NaN (above all else, as Spark sorts it) too.
+    """
+    size = F.abs(v)
+    power = F.greatest(F.floor(F.log2(size)), F.lit(-1080))
+    step = power * STEPS + F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * STEPS) + 300_000
+    finite = F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0))
+    inf = F.lit(float("inf"))
+    return F.when(F.isnan(v), F.lit(2_000_000)).when(v == inf, F.lit(1_000_000)).when(v == -inf, F.lit(-1_000_000)).otherwise(finite).cast("long")
 
 
-def quantile_columns(value: str, probs, names) -> list[Column]:
-    """Quantile columns for groups known to be small."""
-    array = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
-    return [array[i].alias(n) for i, n in enumerate(names)]
+def _fine(v: Column, low: Column, high: Column) -> Column:
+    """Step of a value between the least and greatest of its bin."""
+    part = F.floor((v - low) / (high - low) * FINE_STEPS)
+    return F.when((high > low) & (high - low < float("inf")) & ~F.isnan(high), part).otherwise(F.lit(0)).cast("long")
 
 
 def grouped_quantiles(
@@ -21,92 +44,65 @@ def grouped_quantiles(
     value: str,
     probs,
     names,
-    group_rows: int | None = None,
     extra: tuple[Column, ...] = (),
 ) -> DataFrame:
     """One row per group with a column per probability, nulls skipped.
 
-    ``group_rows`` is a proven bound on the rows of a group. Up to
-    ``ONE_TASK_ROWS`` the built-in aggregate is used. Without such a bound the
-    quantiles are located first (see ``located_quantiles``); both are exact.
-    ``extra`` are further aggregates of the same groups.
-    """
-    if group_rows is not None and group_rows <= ONE_TASK_ROWS:
-        return df.groupBy(*keys).agg(*extra, *quantile_columns(value, probs, names))
-    found = located_quantiles(df, keys, value, probs, names)
-    if not extra:
-        return found
-    return df.groupBy(*keys).agg(*extra).join(found, keys)
-
-
-def located_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs, names, accuracy: int = 1000
-) -> DataFrame:
-    """Exact quantiles of groups of any size, spread over many tasks.
-
-    A mergeable sketch brackets each quantile: its rank error is at most
-    1/accuracy of the group, so both ranks next to p lie between the sketch's
-    quantiles at p - 3/accuracy and p + 3/accuracy. Groups too small for that
-    (below 4 * accuracy rows) use their whole range. One pass counts the values below each
-    bracket and inside it by distinct value; ranks then follow from running
-    counts over the few distinct values inside. No task sees a whole group.
+    ``extra`` are further aggregates of the same groups. A null key is a group as
+    in ``groupBy``; a group with nulls only has null quantiles. Columns of ``df``
+    other than keys and value are read by ``extra`` alone.
     """
-    eps = 3.0 / accuracy
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    points = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
-    marks = rows.groupBy(*keys).agg(
-        F.percentile_approx("v", points, accuracy).alias("marks"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.count(F.lit(1)).alias("size"),
-    )
-    n = len(probs)
-    small = F.col("size") < 4 * accuracy
-
-    def low(i):
-        least = F.col("least")
-        return least if probs[i] - eps <= 0 else F.when(small, least).otherwise(F.col("marks")[i])
-
-    def high(i):
-        most = F.col("most")
-        return most if probs[i] + eps >= 1 else F.when(small, most).otherwise(F.col("marks")[n + i])
-
-    brackets = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("p"), low(i).alias("lo"), high(i).alias("hi"))
-            for i, p in enumerate(probs)
-        ]
-    )
-    # Null-safe keys, so that a null key value is a group as in groupBy.
-    flat = marks.select(*[F.col(k).alias(f"_{k}") for k in keys], "size", F.inline(brackets))
-    wide = marks.select(*[F.col(k).alias(f"_{k}") for k in keys], brackets.alias("brackets"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    tagged = rows.join(wide, same).select(*keys, "v", F.inline("brackets"))
-    counted = (
-        tagged.where(F.col("v") <= F.col("hi"))
-        .select(*keys, "p", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .groupBy(*keys, "p", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    # The null value stands for everything below the bracket and sorts first.
-    order = Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("upto", F.sum("c").over(order))
-    position = F.col("p") * (F.col("size") - 1)
-    first, last = F.floor(position), F.ceil(position)
-    placed = ranked.join(
-        flat.withColumnRenamed("p", "_p"), [*same, F.col("p") == F.col("_p")]
-    ).withColumn("from", F.col("upto") - F.col("c"))
-
-    def at(rank):
-        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("v")))
-
-    pairs = placed.groupBy(*keys, "p").agg(
-        at(first).alias("a"), at(last).alias("b"), F.first(position - first).alias("part")
-    )
-    value_at = F.col("a") + F.col("part") * (F.col("b") - F.col("a"))
-    return pairs.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("p") == float(p), value_at)).alias(nm) for p, nm in zip(probs, names)]
-    )
+    own = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own)]
+    groups = df.groupBy(*keys).agg(*extra, F.count(value).alias("_size"))
+    groups = stage(groups, "groups")
+    rows = stage(df.where(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("v")), "values")
+
+    def same(left: str, right: str) -> Column:
+        out = F.lit(True)
+        for o in own:
+            out = out & F.col(f"{left}.{o}").eqNullSafe(F.col(f"{right}.{o}"))
+        return out
+
+    position = [F.lit(float(p)) * (F.col("_size") - 1) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in position])))
+    want = groups.where("_size > 0").select(*named, F.explode(ranks).alias("rank")).withColumn("left", F.col("rank"))
+
+    def located(counts: DataFrame, want: DataFrame, within: list[str], order: str) -> DataFrame:
+        """``want`` with the bin that holds each rank, and the rank left within it."""
+        run = Window.partitionBy(*own, *within).orderBy(order)
+        upto = counts.withColumn("upto", F.sum("n").over(run))
+        on = same("w", "c")
+        for c in within:
+            on = on & (F.col(f"w.{c}") == F.col(f"c.{c}"))
+        at = on & (F.col("w.left") < F.col("c.upto")) & (F.col("w.left") >= F.col("c.upto") - F.col("c.n"))
+        kept = [F.col(f"w.{o}") for o in own] + [F.col("w.rank"), (F.col("w.left") - F.col("c.upto") + F.col("c.n")).alias("left")]
+        return want.alias("w").join(upto.alias("c"), at).select(*kept, *[F.col(f"c.{c}") for c in counts.columns if c not in (*own, "n")])
+
+    def inside(rows: DataFrame, hit: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+        few = hit.select(*own, *on, *more).distinct()
+        match = same("r", "h")
+        for c in on:
+            match = match & (F.col(f"r.{c}") == F.col(f"h.{c}"))
+        return rows.alias("r").join(few.alias("h"), match).select("r.*", *[f"h.{c}" for c in more])
+
+    coarse = rows.withColumn("bin", _coarse(F.col("v")))
+    bins = coarse.groupBy(*own, "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    hit = stage(located(bins, want, [], "bin"), "hit")
+    fine = inside(coarse, hit, ["bin"], ["low", "high"]).withColumn("step", _fine(F.col("v"), F.col("low"), F.col("high")))
+    steps = fine.groupBy(*own, "bin", "step").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    hit = stage(located(steps, hit.select(*own, "rank", "left", "bin"), ["bin"], "step"), "hit")
+    values = inside(fine.select(*own, "v", "bin", "step"), hit, ["bin", "step"], []).groupBy(*own, "bin", "step", "v").agg(F.count("*").alias("n"))
+    found = located(values, hit.select(*own, "rank", "left", "bin", "step"), ["bin", "step"], "v").select(*own, "rank", "v")
+    by_rank = found.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def quantile(x: Column) -> Column:
+        a, b = F.element_at("at", F.floor(x)), F.element_at("at", F.ceil(x))
+        return F.when(a == b, a).otherwise(a + (x - F.floor(x)) * (b - a))
+
+    joined = groups.join(by_rank, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)], "left")
+    rest = [c for c in groups.columns if c not in (*keys, "_size")]
+    return joined.select(*keys, *rest, *[quantile(x).alias(n) for x, n in zip(position, names)])
 
 
 def intervals(quantiles: DataFrame, keys: list[str], spec: list[tuple[float, str, str]]) -> DataFrame:

@@ -8,6 +8,7 @@ scores are the case ``copies = 1``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,10 @@ from twofold.functions import rand
 from twofold.operators.scores import CLASS
 from twofold.sources.tables import stage
 
-# Powers of successive stacking steps, and the weight that no model falls below.
-POWERS = (1, 4, 1, 16, 1, 64)
+# Weight that no model falls below, models of a Newton step, and tasks whose vectors the driver adds by itself.
 LEAST_WEIGHT = 1e-12
+MOST_ACTIVE = 128
+FEW_PARTS = 32
 
 
 def pseudo_bma(points: DataFrame) -> DataFrame:
@@ -205,27 +207,173 @@ def _packed(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("model_name", "elpd"))).alias("models"),
     )
     density = F.transform("models", lambda m: F.exp(m["elpd"] - F.col("best")))
-    return stage(rows.select("group", "copies", density.alias("density")), "packed")
+    one = F.array(F.lit(1.0))
+    return stage(rows.select("group", "copies", density.alias("first"), one.alias("second")), "packed")
+
+
+def _class_sums(first, second, copies, models, trials, active) -> np.ndarray:
+    """What one batch of classes adds to a pass, as one vector.
+
+    A model is a pair of places in ``first`` and ``second``, its density their
+    product. For each weighting in ``trials``: log score, slope of every model,
+    and the product matrix of the active ones.
+    """
+    i, j = models
+    some = first[:, i[active]] * second[:, j[active]]
+    out = []
+    for w in trials:
+        spread = np.zeros((first.shape[1], second.shape[1]))
+        np.add.at(spread, (i, j), w)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            mix = ((first @ spread) * second).sum(1)
+            r = copies / mix
+            slopes = ((first * r[:, None]).T @ second)[i, j]
+            product = (some * (r / mix)[:, None]).T @ some
+            out += [[copies @ np.log(mix)], slopes, product.ravel()]
+    return np.concatenate(out)
+
+
+@dataclass
+class _Pass:
+    """Mean log score, slopes and product matrix of one weighting of one group."""
+
+    weights: np.ndarray
+    score: float
+    slopes: np.ndarray
+    active: np.ndarray
+    product: np.ndarray
+
+
+def _passes(packed: DataFrame, models: dict, trials: dict, active: dict, size: dict) -> dict[str, list[_Pass]]:
+    """One job: every trial weighting of every group, over all classes."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for g, rows in pdf.groupby("group"):
+                if g in trials:
+                    first, second = np.stack(rows["first"].to_numpy()), np.stack(rows["second"].to_numpy())
+                    part = _class_sums(first, second, rows["copies"].to_numpy(float), models[g], trials[g], active[g])
+                    sums[g] = sums[g] + part if g in sums else part
+        yield pd.DataFrame({"group": list(sums), "part": [v.tolist() for v in sums.values()]})
+
+    def add(pdf):
+        return pd.DataFrame({"group": pdf["group"][:1], "part": [np.stack(pdf["part"].to_numpy()).sum(0).tolist()]})
+
+    schema = "group string, part array<double>"
+    parts = packed.mapInPandas(run, schema)
+    if packed.rdd.getNumPartitions() > FEW_PARTS:  # then tasks' vectors meet in parts first
+        part = F.pmod(F.spark_partition_id(), F.lit(FEW_PARTS))
+        parts = parts.withColumn("at", part).groupBy("group", "at").applyInPandas(add, schema)
+    total: dict[str, np.ndarray] = {}
+    for r in parts.collect():
+        total[r["group"]] = total.get(r["group"], 0.0) + np.array(r["part"])
+    out = {}
+    for g, v in total.items():
+        k, a = len(models[g][0]), len(active[g])
+        rows = v.reshape(len(trials[g]), -1) / size[g]
+        out[g] = [_Pass(w, float(r[0]), r[1 : 1 + k], active[g], r[1 + k :].reshape(a, a)) for w, r in zip(trials[g], rows)]
+    return out
+
+
+def _active(weights: np.ndarray, slopes: np.ndarray | None) -> np.ndarray:
+    """Models that a Newton step moves: those of most weight, or that most raise the score; at most ``MOST_ACTIVE``."""
+    if slopes is None:
+        return np.arange(len(weights))[:MOST_ACTIVE]
+    gain = np.where(weights > 1e-9, weights, 0.0) + np.maximum(slopes - 1, 0)
+    order = np.argsort(-gain, kind="stable")[:MOST_ACTIVE]
+    return np.sort(order[gain[order] > 0])
+
+
+def _newton_weights(at: _Pass) -> np.ndarray:
+    """Weights of best second-order score over the simplex, those that are not active kept.
+
+    Active-set steps: the best move along the free weights, cut where the first
+    one reaches zero; weights at zero that would still raise the score are freed.
+    """
+    x, g, h = at.weights[at.active], at.slopes[at.active], at.product
+    if not len(x) or x.sum() <= 0:
+        return at.weights
+    h = h + np.eye(len(x)) * 1e-12 * max(np.trace(h) / len(x), 1e-300)
+    v, free = x.copy(), (x > 0) | (g > 1)
+    for _ in range(6 * len(x) + 20):
+        f = np.flatnonzero(free)
+        slope = g - h @ (v - x)
+        system = np.block([[h[np.ix_(f, f)], np.ones((len(f), 1))], [np.ones((1, len(f))), np.zeros((1, 1))]])
+        try:
+            move = np.linalg.solve(system, np.r_[slope[f], 0.0])
+        except np.linalg.LinAlgError:
+            move = np.linalg.lstsq(system, np.r_[slope[f], 0.0], rcond=None)[0]
+        d, level = move[:-1], move[-1]
+        falls = d < -1e-15
+        room = np.where(falls, v[f] / np.where(falls, -d, 1.0), np.inf)
+        if room.min(initial=np.inf) < 1:
+            k = int(room.argmin())
+            v[f] += room[k] * d
+            v[f[k]], free[f[k]] = 0.0, False
+            continue
+        v[f] += d
+        slope = g - h @ (v - x)
+        rising = ~free & (slope > level + 1e-12)
+        if not rising.any():
+            break
+        free[np.where(rising, slope, -np.inf).argmax()] = True
+    out = at.weights.copy()
+    out[at.active] = np.maximum(v, 0.0)
+    return out
+
+
+def _next_trials(at: _Pass) -> list[np.ndarray]:
+    """Weightings to try from here: the multiplicative step, which never lowers the score, a longer one, and Newton steps."""
+    newton = _newton_weights(at)
+    out = [at.weights * at.slopes, at.weights * at.slopes**8, newton, at.weights + 0.25 * (newton - at.weights)]
+    return [np.maximum(w / w.sum(), LEAST_WEIGHT) for w in out if np.isfinite(w).all() and w.sum() > 0]
+
+
+def _better(now: _Pass | None, found: list[_Pass]) -> _Pass:
+    """The trial of best score, and of those that equal it but for rounding the one of least slope."""
+    pool = [p for p in ([now] if now else []) + found if np.isfinite(p.score) and np.isfinite(p.slopes).all()]
+    best = max(p.score for p in pool)
+    return min((p for p in pool if p.score >= best - 1e-10 * (1 + abs(best))), key=lambda p: p.slopes.max())
+
+
+def _stack_packed(packed: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]], tol: float, max_steps: int) -> dict[str, _Pass]:
+    """Best weighting found for every group."""
+    size = {r["group"]: r["n"] for r in packed.groupBy("group").agg(F.sum("copies").alias("n")).collect()}
+    start = {g: [np.full(len(i), 1.0 / len(i))] for g, (i, _) in models.items()}
+    active = {g: _active(w[0], None) for g, w in start.items()}
+    state = {g: _better(None, p) for g, p in _passes(packed, models, start, active, size).items()}
+    # The first product matrix covers the first models only; the next pass covers those that matter.
+    for _ in range(max_steps):
+        moving = [g for g, p in state.items() if p.slopes.max() > 1 + tol]
+        if not moving:
+            break
+        trials = {g: _next_trials(state[g]) for g in moving}
+        active = {g: _active(state[g].weights, state[g].slopes) for g in moving}
+        for g, found in _passes(packed, models, trials, active, size).items():
+            state[g] = _better(state[g], found)
+    return state
 
 
 def stack(
     points: DataFrame,
     keys: tuple[str, ...] = (),
     tol: float = 1e-4,
-    max_steps: int = 5000,
+    max_steps: int = 200,
 ) -> DataFrame:
     """Stacking weights: the simplex point with the best log score.
 
-    Columns: model_name, keys, weight, gradient, converged. A step multiplies each
-    weight by its gradient to one of ``POWERS`` in turn; power 1 never lowers the
-    score, the others cover ground. A group is done when no model's gradient
-    exceeds 1 + tol, which bounds the loss of score per trial by tol; a group
-    that is not done after ``max_steps`` is marked as not converged. Weights are
-    kept above ``LEAST_WEIGHT``, so that a model can come back.
-
-    Classes are packed once, a row each with all models' densities; a step is one
-    pass in which a task returns one vector per group. With ``keys`` (chunk) every
-    group is stacked in the same passes.
+    Columns: model_name, keys, weight, gradient, converged. A step tries several
+    weightings in one pass over the classes (the multiplicative step, which never
+    lowers the score, a longer one, and Newton steps on the models that matter) and
+    keeps the best, so the score never falls. A group is done when no model's
+    gradient exceeds 1 + tol, which bounds the loss of score per trial by tol; a
+    group that is not done after ``max_steps`` is marked as not converged. Weights
+    are kept above ``LEAST_WEIGHT``, so that a model can come back.
+
+    Classes are packed once, a row each with all models' densities; a pass returns
+    one vector per group and task. With ``keys`` (chunk) every group is stacked in
+    the same passes.
     """
     spark = points.sparkSession
     named = points.select("model_name", *keys).distinct()
@@ -234,42 +382,45 @@ def stack(
         members.setdefault("|".join(map(str, r[1:])), []).append(r)
     if not members:
         raise ValueError("stacking needs a model")
-    packed = _packed(points, keys)
-    size = {r["group"]: r["n"] for r in packed.groupBy("group").agg(F.sum("copies").alias("n")).collect()}
-
-    def gradients(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        def run(batches):
-            sums: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                for g, rows in pdf.groupby("group"):
-                    if g in state:
-                        d = np.stack(rows["density"].to_numpy())
-                        sums[g] = sums.get(g, 0.0) + (rows["copies"].to_numpy() / (d @ state[g])) @ d
-            yield pd.DataFrame({"group": list(sums), "part": [v.tolist() for v in sums.values()]})
-
-        out: dict[str, np.ndarray] = {}
-        for r in packed.mapInPandas(run, "group string, part array<double>").collect():
-            out[r["group"]] = out.get(r["group"], 0.0) + np.array(r["part"])
-        return {g: v / size[g] for g, v in out.items()}
-
-    state = {g: np.full(len(m), 1.0 / len(m)) for g, m in members.items()}
-    grad = gradients(state)
-    for step in range(max_steps):
-        moving = {g: state[g] * grad[g] ** POWERS[step % len(POWERS)] for g in members if grad[g].max() > 1 + tol}
-        if not moving:
-            break
-        moved = {g: np.maximum(w / w.sum(), LEAST_WEIGHT) for g, w in moving.items()}
-        state.update(moved)
-        grad.update(gradients(moved))
+    models = {g: (np.arange(len(m)), np.zeros(len(m), int)) for g, m in members.items()}
+    state = _stack_packed(_packed(points, keys), models, tol, max_steps)
     rows = [
-        (*m, float(w), float(d), bool(grad[g].max() <= 1 + tol))
+        (*m, float(w), float(d), bool(state[g].slopes.max() <= 1 + tol))
         for g, ms in members.items()
-        for m, w, d in zip(ms, state[g], grad[g])
+        for m, w, d in zip(ms, state[g].weights, state[g].slopes)
     ]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
     return spark.createDataFrame(rows, f"{schema}, weight double, gradient double, converged boolean")
 
 
+def stack_pairs(halves: DataFrame, pairs: DataFrame, tol: float = 1e-4, max_steps: int = 200) -> DataFrame:
+    """Stacking weights of two-part models from the scores of their halves.
+
+    ``halves`` has (side, cell_id, cnt, copies, elpd_count, elpd_zero), ``pairs``
+    (model_name, count_side, hurdle_side). A pair's density is the product of two
+    halves, so a class holds one number per half, not per pair: 134 for 4,489
+    pairs. Columns and steps are those of ``stack``.
+    """
+    spark = halves.sparkSession
+    sides = sorted(r[0] for r in halves.select("side").distinct().collect())
+    place = {s: k for k, s in enumerate(sides)}
+    named = sorted(tuple(r) for r in pairs.select("model_name", "count_side", "hurdle_side").distinct().collect())
+    if not named:
+        raise ValueError("stacking needs a model")
+    models = {"": tuple(np.array([place[r[c]] for r in named]) for c in (1, 2))}
+    both = F.sort_array(F.collect_list(F.struct("side", "elpd_count", "elpd_zero")))
+    rows = halves.groupBy(*CLASS).agg(
+        F.max("copies").alias("copies"), both.alias("sides"), F.max("elpd_count").alias("top"), F.max("elpd_zero").alias("top_zero")
+    )
+    first = F.transform("sides", lambda s: F.exp(s["elpd_count"] - F.col("top")))
+    second = F.transform("sides", lambda s: F.exp(s["elpd_zero"] - F.col("top_zero")))
+    packed = stage(rows.select(F.lit("").alias("group"), "copies", first.alias("first"), second.alias("second")), "packed")
+    found = _stack_packed(packed, models, tol, max_steps)[""]
+    done = bool(found.slopes.max() <= 1 + tol)
+    out = [(n, float(w), float(d), done) for (n, *_), w, d in zip(named, found.weights, found.slopes)]
+    return spark.createDataFrame(out, "model_name string, weight double, gradient double, converged boolean")
+
+
 def first_pass(points: DataFrame, chunked: DataFrame, **options) -> DataFrame:
     """Stacking inside every chunk of models, all chunks in the same jobs."""
     inside = points.join(chunked.select("model_name", "chunk"), "model_name")

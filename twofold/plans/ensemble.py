@@ -27,7 +27,7 @@ class Study:
         sf_dir: str,
         forms: tuple[Form, ...] = FORMS,
         per_model: int = 4000,
-        tol: float = 1e-4,
+        tol: float = 1e-10,
         design: Design = Design(),
     ):
         self.spark, self.sf_dir = spark, sf_dir
@@ -130,11 +130,6 @@ class Study:
             "draws", lambda: draws.make_draws(self.index, self.candidates, self.parameters), *self._pool
         )
 
-    @cached_property
-    def draw_bound(self) -> int:
-        """Largest possible number of pooled draws: every model at full size."""
-        return len(self.forms) ** 2 * self.per_model
-
     @cached_property
     def details(self) -> DataFrame:
         return draws.draw_details(self.index, self.candidates)

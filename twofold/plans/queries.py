@@ -532,14 +532,14 @@ def w10(spark, sf_dir):
 def w10b(spark, sf_dir):
     study = pooled_study(spark, sf_dir)
     chunked = weights.balanced_chunks(weights.pseudo_bma(study.staged_points), CHUNKS)
-    return weights.first_pass(study.staged_points, chunked)
+    return weights.first_pass(study.staged_points, chunked, tol=study.tol)
 
 
 @query("w11_survivors")
 def w11(spark, sf_dir):
     study = pooled_study(spark, sf_dir)
     inside = tables.stage(_chunked_points(study), "chunked")
-    first = weights.stack(inside, ("chunk",))
+    first = weights.stack(inside, ("chunk",), tol=study.tol)
     return weights.survivors(study.candidates.select("model_name", "count_formula", "hurdle_formula"), first)
 
 
@@ -550,8 +550,8 @@ def w12(spark, sf_dir):
     settings = study.candidates.select("model_name", "count_formula", "hurdle_formula")
     rough = weights.cutoff(weights.pseudo_bma_bootstrap(study.staged_points, REPLICATES))
     chunked = tables.stage(weights.balanced_chunks(rough, CHUNKS), "chunked")
-    first = weights.first_pass(study.staged_points, chunked)
-    return weights.final_stacking(study.staged_points, weights.survivors(settings, first).drop("weight"))
+    first = weights.first_pass(study.staged_points, chunked, tol=study.tol)
+    return weights.final_stacking(study.staged_points, weights.survivors(settings, first).drop("weight"), tol=study.tol)
 
 
 def _weighted(study: Study) -> DataFrame:
@@ -722,7 +722,7 @@ def e6(spark, sf_dir):
 @query("e7_cell_summary")
 def e7(spark, sf_dir):
     study = ev_study(spark, sf_dir)
-    return expected.cell_summary(study.staged_values, study.draw_bound)
+    return expected.cell_summary(study.staged_values)
 
 
 def _site_summary(spark, sf_dir):
@@ -917,7 +917,7 @@ def x16(spark, sf_dir):
 @query("x17_credible_intervals")
 def x17(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.credible_intervals(study.staged_effects, ["component", "factor"], study.draw_bound)
+    return effects.credible_intervals(study.staged_effects, ["component", "factor"])
 
 
 @query("x17b_located_quantiles")
@@ -929,7 +929,7 @@ def x17b(spark, sf_dir):
 @query("x18_summary")
 def x18(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.summary(study.staged_effects, study.draw_bound)
+    return effects.summary(study.staged_effects)
 
 
 @query("x19_n_draws")
@@ -940,13 +940,13 @@ def x19(spark, sf_dir):
 @query("x20_manuscript")
 def x20(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.manuscript(effects.summary(study.staged_effects, study.draw_bound))
+    return effects.manuscript(effects.summary(study.staged_effects))
 
 
 @query("x21_split_effects")
 def x21(spark, sf_dir):
     study = effect_study(spark, sf_dir)
-    return effects.split_effects(study.staged_effects, "Genus", "Host Site", study.draw_bound)
+    return effects.split_effects(study.staged_effects, "Genus", "Host Site")
 
 
 @query("x22_joint_inclusion")
@@ -973,7 +973,7 @@ def k3(spark, sf_dir):
 
 
 def _density(study: Study, points: DataFrame, n: int = GRID) -> DataFrame:
-    return density.density_2d(tables.stage(points, "points"), n, study.draw_bound)
+    return density.density_2d(tables.stage(points, "points"), n)
 
 
 def _joint_density(spark, sf_dir, n: int = GRID) -> DataFrame:
@@ -1010,7 +1010,7 @@ def k5b(spark, sf_dir):
 def _class_density(spark, sf_dir) -> DataFrame:
     study = effect_study(spark, sf_dir)
     rows = tables.stage(density.class_labels(study.staged_effects, "Genus", "Host Site"), "classes")
-    return density.density_1d(rows, ["component", "class"], "effect_size", CURVE, study.draw_bound)
+    return density.density_1d(rows, ["component", "class"], "effect_size", CURVE)
 
 
 @query("k6_density_1d", digits=4)
@@ -1028,7 +1028,7 @@ def k6b(spark, sf_dir):
     study = effect_study(spark, sf_dir)
     rows = density.class_labels(study.staged_effects, "Genus", "Host Site")
     return quantiles.grouped_quantiles(
-        rows, ["component", "class"], "effect_size", EFFECT_PROBS, EFFECT_NAMES, study.draw_bound
+        rows, ["component", "class"], "effect_size", EFFECT_PROBS, EFFECT_NAMES
     )
 
 
@@ -1063,7 +1063,7 @@ def k8(spark, sf_dir):
 def k9(spark, sf_dir):
     study = effect_study(spark, sf_dir)
     # Order on rounded values, so that ties and last digits do not decide it.
-    table = rounded(effects.summary(study.staged_effects, study.draw_bound))
+    table = rounded(effects.summary(study.staged_effects))
     return density.measures(table, [JOINT_SOURCE, JOINT_HOST])
 
 
@@ -1138,7 +1138,6 @@ def c4(spark, sf_dir):
         "value",
         EFFECT_PROBS,
         EFFECT_NAMES,
-        group_rows=2 * study.per_model,
     )
 
 
