@@ -605,3 +605,15 @@ expect(
   avg(infected) AS prevalence, 'Prevalence' AS component FROM cohort2 GROUP BY host_site, different_species""",
     "prevalence",
 )
+
+# Certificates of iterative results: at a mode the gradient is zero, at the best weights no model would raise the score.
+expect(
+    "f4d_fit_gradient",
+    """SELECT * FROM (WITH valid AS (SELECT mask, terms FROM flagged WHERE NOT (inter_host OR inter_genus OR nest_host OR nest_family)),
+found AS (
+  SELECT mask, term, level FROM (SELECT mask, unnest(terms) AS term FROM valid) JOIN (SELECT DISTINCT term, level FROM cell_levels) USING (term)
+  WHERE NOT (term IN ('host', 'source') AND level = 'AFRICA') AND NOT (term = 'genus' AND level = 'A') AND NOT (term = 'native' AND level = 'false')
+  UNION ALL SELECT mask, 'intercept', '' FROM valid)
+SELECT CAST(mask AS VARCHAR) AS side, component, term, level, 0e0 AS gradient FROM found CROSS JOIN (VALUES ('count'), ('prop')) c(component))""",
+)
+expect("w16b_additive_optimality", "SELECT model_name, true AS at_most_one FROM valid_models")

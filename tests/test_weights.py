@@ -81,10 +81,10 @@ def packed_stack(density, copies, tol, max_steps=60):
         return [weights._Pass(w, r[0], r[1 : 1 + k], active, r[1 + k :].reshape(a, a)) for w, r in zip(trials, sums)]
 
     w = np.full(density.shape[1], 1 / density.shape[1])
-    state, n = weights._better(None, passes([w], weights._active(w, None))), 1
+    state, n = weights._better(passes([w], weights._active(w, None))), 1
     while state.slopes.max() > 1 + tol and n < max_steps:
         before = state.score
-        state = weights._better(state, passes(weights._next_trials(state), weights._active(state.weights, state.slopes)))
+        state = weights._better(passes(weights._next_trials(state), weights._active(state.weights, state.slopes)))
         assert state.score >= before - 1e-9
         n += 1
     return state, n

@@ -45,7 +45,7 @@ def draw_index(allocated: DataFrame, per_model: int = 4000, seed: int = 52399832
         raise ValueError("draws per model must be below 2^32")
     short = F.when(F.col("n_draws") > per_model, F.raise_error(F.lit("a model is asked for more draws than it has")).cast("long"))
     allocated = allocated.withColumn("n_draws", F.coalesce(short, F.col("n_draws")))
-    pool = allocated.select(
+    pool = allocated.where(F.col("n_draws") > 0).select(
         "model_name", "id", "n_draws", F.explode(F.sequence(F.lit(1), F.lit(per_model))).alias("draw_in_model")
     )
     u = rand.uniform(rand.key("pick", seed, F.col("model_name"), F.col("draw_in_model")))

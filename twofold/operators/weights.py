@@ -21,7 +21,8 @@ from twofold.sources.tables import stage
 
 # Weight that no model falls below, models of a Newton step, and tasks whose vectors the driver adds by itself.
 LEAST_WEIGHT = 1e-12
-MOST_ACTIVE = 128
+MOST_ACTIVE = 64
+POWERS = (1, 64)
 FEW_PARTS = 32
 
 
@@ -255,19 +256,19 @@ def _passes(packed: DataFrame, models: dict, trials: dict, active: dict, size: d
                     first, second = np.stack(rows["first"].to_numpy()), np.stack(rows["second"].to_numpy())
                     part = _class_sums(first, second, rows["copies"].to_numpy(float), models[g], trials[g], active[g])
                     sums[g] = sums[g] + part if g in sums else part
-        yield pd.DataFrame({"group": list(sums), "part": [v.tolist() for v in sums.values()]})
+        yield pd.DataFrame({"group": list(sums), "part": [v.tobytes() for v in sums.values()]})
 
     def add(pdf):
-        return pd.DataFrame({"group": pdf["group"][:1], "part": [np.stack(pdf["part"].to_numpy()).sum(0).tolist()]})
+        return pd.DataFrame({"group": pdf["group"][:1], "part": [sum(map(np.frombuffer, pdf["part"])).tobytes()]})
 
-    schema = "group string, part array<double>"
+    schema = "group string, part binary"
     parts = packed.mapInPandas(run, schema)
     if packed.rdd.getNumPartitions() > FEW_PARTS:  # then tasks' vectors meet in parts first
         part = F.pmod(F.spark_partition_id(), F.lit(FEW_PARTS))
         parts = parts.withColumn("at", part).groupBy("group", "at").applyInPandas(add, schema)
     total: dict[str, np.ndarray] = {}
     for r in parts.collect():
-        total[r["group"]] = total.get(r["group"], 0.0) + np.array(r["part"])
+        total[r["group"]] = total.get(r["group"], 0.0) + np.frombuffer(r["part"])
     out = {}
     for g, v in total.items():
         k, a = len(models[g][0]), len(active[g])
@@ -324,15 +325,20 @@ def _newton_weights(at: _Pass) -> np.ndarray:
 
 
 def _next_trials(at: _Pass) -> list[np.ndarray]:
-    """Weightings to try from here: the multiplicative step, which never lowers the score, a longer one, and Newton steps."""
+    """Weightings to try from here: the same, whose product matrix then covers the models that matter now, the
+    multiplicative step, which never lowers the score, a longer one, and Newton steps."""
     newton = _newton_weights(at)
-    out = [at.weights * at.slopes, at.weights * at.slopes**8, newton, at.weights + 0.25 * (newton - at.weights)]
-    return [np.maximum(w / w.sum(), LEAST_WEIGHT) for w in out if np.isfinite(w).all() and w.sum() > 0]
+    out = [at.weights] + [at.weights * (at.slopes / at.slopes.max()) ** p for p in POWERS]
+    alone = np.zeros(len(newton))
+    alone[at.active] = newton[at.active]  # without the weight of models that are not active
+    out += [newton, alone, at.weights + 0.25 * (newton - at.weights)]
+    kept = [np.maximum(w / w.sum(), LEAST_WEIGHT) for w in out if np.isfinite(w).all() and w.sum() > 0]
+    return [w / w.sum() for w in kept]
 
 
-def _better(now: _Pass | None, found: list[_Pass]) -> _Pass:
+def _better(found: list[_Pass]) -> _Pass:
     """The trial of best score, and of those that equal it but for rounding the one of least slope."""
-    pool = [p for p in ([now] if now else []) + found if np.isfinite(p.score) and np.isfinite(p.slopes).all()]
+    pool = [p for p in found if np.isfinite(p.score) and np.isfinite(p.slopes).all()]
     best = max(p.score for p in pool)
     return min((p for p in pool if p.score >= best - 1e-10 * (1 + abs(best))), key=lambda p: p.slopes.max())
 
@@ -342,8 +348,7 @@ def _stack_packed(packed: DataFrame, models: dict[str, tuple[np.ndarray, np.ndar
     size = {r["group"]: r["n"] for r in packed.groupBy("group").agg(F.sum("copies").alias("n")).collect()}
     start = {g: [np.full(len(i), 1.0 / len(i))] for g, (i, _) in models.items()}
     active = {g: _active(w[0], None) for g, w in start.items()}
-    state = {g: _better(None, p) for g, p in _passes(packed, models, start, active, size).items()}
-    # The first product matrix covers the first models only; the next pass covers those that matter.
+    state = {g: _better(p) for g, p in _passes(packed, models, start, active, size).items()}
     for _ in range(max_steps):
         moving = [g for g, p in state.items() if p.slopes.max() > 1 + tol]
         if not moving:
@@ -351,7 +356,7 @@ def _stack_packed(packed: DataFrame, models: dict[str, tuple[np.ndarray, np.ndar
         trials = {g: _next_trials(state[g]) for g in moving}
         active = {g: _active(state[g].weights, state[g].slopes) for g in moving}
         for g, found in _passes(packed, models, trials, active, size).items():
-            state[g] = _better(state[g], found)
+            state[g] = _better(found)
     return state
 
 
@@ -365,7 +370,7 @@ def stack(
 
     Columns: model_name, keys, weight, gradient, converged. A step tries several
     weightings in one pass over the classes (the multiplicative step, which never
-    lowers the score, a longer one, and Newton steps on the models that matter) and
+    lowers the score, longer ones, and Newton steps on the models that matter) and
     keeps the best, so the score never falls. A group is done when no model's
     gradient exceeds 1 + tol, which bounds the loss of score per trial by tol; a
     group that is not done after ``max_steps`` is marked as not converged. Weights

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.operators import contrast, draws, effects, expected, fit, modelspace, scores, trials, weights
+from twofold.operators import additive, contrast, draws, effects, expected, fit, modelspace, scores, trials, weights
 from twofold.rules import FIXED_FORMS, FORMS, Design, Form
 from twofold.sources import star
 from twofold.sources.tables import stage_once
@@ -178,6 +178,58 @@ class Study:
         }
 
 
+class AdditiveStudy(Study):
+    """Study over every pair of additive sides that obeys the structural rules.
+
+    Sides are fitted with estimated group variances, scored by leaving out one trial
+    to first order, and weighted as pairs; draws have the fits' correlations.
+    """
+
+    @property
+    def _scores(self) -> tuple:
+        return ("additive",)
+
+    @property
+    def _pool(self) -> tuple:
+        return ("additive", self.tol, self.per_model)
+
+    @cached_property
+    def sides(self) -> DataFrame:
+        return additive.valid_sides(modelspace.usable_terms(self.cells))
+
+    @cached_property
+    def design_rows(self) -> DataFrame:
+        rows = fit.design_rows(self.cells, self.sides.select("side", "terms"), self.reference)
+        return self._stage("side-design", lambda: rows, *self._scores)
+
+    @cached_property
+    def fitted(self) -> DataFrame:
+        """Estimate, precision and Cholesky row of every parameter of every side."""
+        return self._stage("side-fits", lambda: additive.fit_sides(self.design_rows, self.cells), *self._scores)
+
+    @cached_property
+    def side_scores(self) -> DataFrame:
+        def build():
+            return additive.additive_half_scores(self.classes, additive.cell_fits(self.design_rows, self.fitted))
+
+        return self._stage("side-scores", build, *self._scores)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        settings = modelspace.candidates(modelspace.usable_terms(self.cells))
+        sides = {f"{part}_side": F.col(f"{part}_mask").cast("string") for part in ("count", "hurdle")}
+        return self._stage("side-pairs", lambda: settings.withColumns(sides), *self._scores)
+
+    @cached_property
+    def stacked(self) -> DataFrame:
+        return self._stage("weights", lambda: weights.stack_pairs(self.side_scores, self.candidates, tol=self.tol), *self._scores, self.tol)
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        pairs = self.candidates.select("model_name", "count_side", "hurdle_side")
+        return self._stage("draws", lambda: additive.additive_draws(self.index, pairs, self.fitted), *self._pool)
+
+
 def grouped_estimates(study: Study) -> DataFrame:
     """Fitted against observed expected values per (host, source) pair."""
     pair = tuple(f for f in FIXED_FORMS if f.name == "host_source")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twofold.functions.links import prevalence, truncated_mean
 from twofold.operators import (
+    additive,
     contrast,
     density,
     draws,
@@ -21,7 +22,7 @@ from twofold.operators import (
     trials,
     weights,
 )
-from twofold.plans.ensemble import Study, grouped_estimates
+from twofold.plans.ensemble import AdditiveStudy, Study, grouped_estimates
 from twofold.rules import (
     EFFECT_NAMES,
     EFFECT_PROBS,
@@ -386,6 +387,25 @@ def f4b(spark, sf_dir):
     return fit.newton_fit(_additive(study), study.cells).drop("precision")
 
 
+@query("f4c_side_fits")
+def f4c(spark, sf_dir):
+    """All sides with estimated group variances; a term's variance is one over its precision."""
+    return AdditiveStudy(spark, sf_dir).fitted.select("side", "component", "term", "level", "value", (1 / F.col("precision")).alias("variance"), "converged")
+
+
+@query("f4d_fit_gradient", digits=4)
+def f4d(spark, sf_dir):
+    """Penalised gradient at the fits, summed anew over cells by joins; zero at the mode."""
+    study = AdditiveStudy(spark, sf_dir)
+    state = study.fitted.select("side", "component", "term", "level", "value", "precision")
+    return fit.score_sweep(study.design_rows, study.cells, state).select("side", "component", "term", "level", "gradient")
+
+
+@query("f6b_additive_loo")
+def f6b(spark, sf_dir):
+    return AdditiveStudy(spark, sf_dir).side_scores
+
+
 @query("f5_draws")
 def f5(spark, sf_dir):
     return effect_study(spark, sf_dir).draws.drop("model_name")
@@ -568,6 +588,20 @@ def w14(spark, sf_dir):
     return weights.term_weights(_weighted(pooled_study(spark, sf_dir)))
 
 
+@query("w16_additive_weights")
+def w16(spark, sf_dir):
+    """Stacking weights of all pairs of additive sides."""
+    return AdditiveStudy(spark, sf_dir).stacked
+
+
+@query("w16b_additive_optimality")
+def w16b(spark, sf_dir):
+    """Whether no pair would raise the score, from gradients summed anew by joins."""
+    study = AdditiveStudy(spark, sf_dir)
+    found = additive.pair_optimality(study.side_scores, study.candidates.select("model_name", "count_side", "hurdle_side"), study.weights)
+    return found.select("model_name", (F.col("gradient") <= 1 + 1e-6).alias("at_most_one"))
+
+
 class Question2(Study):
     """Second contrast question: one source, candidates about host kinship."""
 
@@ -932,6 +966,12 @@ def x18(spark, sf_dir):
     return effects.summary(study.staged_effects)
 
 
+@query("x18b_additive_summary")
+def x18b(spark, sf_dir):
+    """Inclusion and intervals over all pairs of additive sides."""
+    return effects.summary(AdditiveStudy(spark, sf_dir).staged_effects)
+
+
 @query("x19_n_draws")
 def x19(spark, sf_dir):
     return effects.n_draws(effect_study(spark, sf_dir).staged_effects)
