@@ -576,11 +576,7 @@ UNION ALL SELECT component, factor, factor_ordinal, q_5, 'Effect size [with 95%
 )
 
 # Contrast study
-expect(
-    "c1_cohort_one",
-    """SELECT trial_id, host_site, family, source_site, CASE WHEN infected_flag = 'y' THEN 1 ELSE 0 END AS infected, cnt,
-  coalesce(block, 'na_block') AS block FROM raw WHERE host_site IN ('EUROPE', 'AFRICA') AND source_site = 'AFRICA'""",
-)
+expect("c1_cohort_one", "SELECT * FROM cohort1")
 expect("c2_cohort_two", "SELECT * FROM cohort2")
 expect("c3b_question_two_fits", "SELECT * FROM c2_fits", "loc", "scale")
 _C4 = normal(key("'contrast'", "'9842892'", "model_name", "component", "role", "level", "draw"))
@@ -617,3 +613,16 @@ found AS (
 SELECT CAST(mask AS VARCHAR) AS side, component, term, level, 0e0 AS gradient FROM found CROSS JOIN (VALUES ('count'), ('prop')) c(component))""",
 )
 expect("w16b_additive_optimality", "SELECT model_name, true AS at_most_one FROM valid_models")
+expect(
+    "c3c_question_one_gradient",
+    """SELECT side, component, term, level, 0e0 AS gradient FROM (
+  SELECT side, unnest(list_concat(['intercept'], terms)) AS term FROM (VALUES ('Full', ['host', '(1|family)', '(1|block)']),
+    ('Compromise', ['host', '(1|family)', '(1|block)']), ('Fixed Effect', ['host']), ('Null', []), ('Random Effects', ['(1|family)', '(1|block)'])) v(side, terms))
+JOIN (SELECT DISTINCT 'host' AS term, host_site AS level FROM cohort1 WHERE host_site <> 'AFRICA'
+  UNION ALL SELECT DISTINCT '(1|family)', family FROM cohort1 UNION ALL SELECT DISTINCT '(1|block)', block FROM cohort1
+  UNION ALL SELECT 'intercept', '') USING (term) CROSS JOIN (VALUES ('count'), ('prop')) c(component)""",
+)
+expect(
+    "c3e_question_one_optimality",
+    "SELECT model_name, true AS at_most_one FROM (VALUES ('Full'), ('Compromise'), ('Fixed Effect'), ('Random Effects')) v(model_name)",
+)

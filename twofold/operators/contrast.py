@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twofold.operators.trials import fill_block, flag_to_int, with_native_and_genus
-from twofold.rules import Design, Form
+from twofold.rules import INTERCEPT_SD, Design, Form
 
 MISSING = "na_block"
 FLAGS = ("different_species", "different_genus")
@@ -22,7 +22,8 @@ QUESTION1 = (
 )
 FIXED_SD = {"prop": 0.5, "count": 0.25}
 RANDOM_SD = {"prop": 0.25, "count": 0.125}
-T_VARIANCE = 7.0 / 5.0
+# The candidates that are weighted against each other.
+QUESTION1_STACKED = ("Full", "Compromise", "Fixed Effect", "Random Effects")
 
 # Named candidates of the second question.
 QUESTION2 = (
@@ -71,22 +72,18 @@ def question1_sides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "side string, terms array<string>, prior string")
 
 
-def question1_precision(component, term):
-    """Prior precision of the first question's candidates; a Student prior has
-    the wider variance. Expects the candidate's name in ``side``."""
+def question1_prior(side: str, component: str, term: str) -> tuple[str, float]:
+    """Kind and scale of a prior of the first question's candidates, for ``additive.fit_sides``.
 
-    def inv(table, widen=1.0):
-        return F.when(component == "count", 1.0 / (table["count"] ** 2 * widen)).otherwise(
-            1.0 / (table["prop"] ** 2 * widen)
-        )
-
-    random = term.startswith("(1|")
-    return (
-        F.when(term == "intercept", F.lit(1.0 / 36.0))
-        .when(random & (F.col("side") == "Compromise"), inv(RANDOM_SD))
-        .when(random, inv(RANDOM_SD, T_VARIANCE))
-        .otherwise(inv(FIXED_SD))
-    )
+    The compromise differs from the full candidate by a normal prior on the sd of
+    its random groups, where the others have a Student prior.
+    """
+    if term == "intercept":
+        return "normal", INTERCEPT_SD
+    if term.startswith("(1|"):
+        kinds = {name: kind for name, _, kind in QUESTION1}
+        return ("sd_normal" if kinds[side] == "normal" else "sd_t"), RANDOM_SD[component]
+    return "normal", FIXED_SD[component]
 
 
 def species_label(df: DataFrame) -> DataFrame:

@@ -1120,13 +1120,59 @@ def c2(spark, sf_dir):
     return contrast.cohort2(star.raw_trials(spark, sf_dir))
 
 
+class Question1(Study):
+    """First contrast question: one source on two hosts, named additive candidates."""
+
+    @property
+    def trials(self):
+        return contrast.cohort1_cells(contrast.cohort1(self.raw))
+
+    @property
+    def design_rows(self):
+        return self._stage("design", lambda: fit.design_rows(self.cells, contrast.question1_sides(self.spark), {"host": "AFRICA"}))
+
+    @property
+    def fitted(self):
+        return self._stage("fits", lambda: additive.fit_sides(self.design_rows, self.cells, contrast.question1_prior))
+
+    @property
+    def side_scores(self):
+        return self._stage("side-scores", lambda: additive.additive_half_scores(self.classes, additive.cell_fits(self.design_rows, self.fitted)))
+
+    @property
+    def candidates(self):
+        """The same side in both parts."""
+        names = [(n, n, n) for n in contrast.QUESTION1_STACKED]
+        return self.spark.createDataFrame(names, "model_name string, count_side string, hurdle_side string")
+
+    @property
+    def stacked(self):
+        return self._stage("weights", lambda: weights.stack_pairs(self.side_scores, self.candidates, tol=self.tol), self.tol)
+
+
 @query("c3_question_one_fits")
 def c3(spark, sf_dir):
-    clean = contrast.cohort1_cells(contrast.cohort1(star.raw_trials(spark, sf_dir)))
-    classes = tables.stage(trials.count_classes(clean), "classes")
-    cells = tables.stage(trials.cells_from_classes(classes), "cells")
-    design = fit.design_rows(cells, contrast.question1_sides(spark), {"host": "AFRICA"})
-    return fit.newton_fit(design, cells, precision=contrast.question1_precision).drop("precision")
+    return Question1(spark, sf_dir).fitted.select("side", "component", "term", "level", "value", (1 / F.col("precision")).alias("variance"), "converged")
+
+
+@query("c3c_question_one_gradient", digits=4)
+def c3c(spark, sf_dir):
+    """Penalised gradient at the fits, summed anew by joins; zero at the mode."""
+    study = Question1(spark, sf_dir)
+    state = study.fitted.select("side", "component", "term", "level", "value", "precision")
+    return fit.score_sweep(study.design_rows, study.cells, state).select("side", "component", "term", "level", "gradient")
+
+
+@query("c3d_question_one_weights")
+def c3d(spark, sf_dir):
+    return weights.scaled(Question1(spark, sf_dir).stacked)
+
+
+@query("c3e_question_one_optimality")
+def c3e(spark, sf_dir):
+    study = Question1(spark, sf_dir)
+    found = additive.pair_optimality(study.side_scores, study.candidates, study.weights)
+    return found.select("model_name", (F.col("gradient") <= 1 + 1e-6).alias("at_most_one"))
 
 
 @query("c3b_question_two_fits")
