@@ -421,36 +421,42 @@ cte(
     "class_copies",
     "SELECT DISTINCT cell_id, cnt, copies FROM points64",
 )
-cte(
-    "masses",
-    f"""SELECT cell_id, cnt, copies, replicate, coalesce(arg_min(d * v, attempt) FILTER (accepted), any_value(d)) AS mass FROM (
-  SELECT *, v > 0 AND ln({uniform(_MASS_KEY, 2)}) <
-    0.5e0 * x * x + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1e0 END) AS accepted FROM (
-    SELECT *, pow(1e0 + 1e0 / sqrt(9e0 * d) * x, 3) AS v FROM (
-      SELECT *, copies - 1e0 / 3e0 AS d, {normal(_MASS_KEY)} AS x FROM (
-        SELECT *, {key("'dirichlet'", "'1234'", "cell_id", "cnt", "replicate")} AS key_text
-        FROM class_copies, range(1, 51) r(replicate), range(1, 13) a(attempt)))))
-GROUP BY cell_id, cnt, copies, replicate""",
-)
-cte(
-    "boot",
-    """SELECT replicate, model_name, n_trials * weighted / total_mass AS z FROM (
-  SELECT replicate, model_name, sum(mass * elpd) AS weighted
-  FROM points64 JOIN masses USING (cell_id, cnt) GROUP BY replicate, model_name)
-JOIN (SELECT replicate, sum(mass) AS total_mass, sum(copies) AS n_trials FROM masses GROUP BY replicate) USING (replicate)""",
-)
-cte(
-    "boot_weights",
-    """SELECT replicate, model_name, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY replicate) AS weight
-FROM (SELECT *, max(z) OVER (PARTITION BY replicate) AS top FROM boot)""",
-)
+def boot_chain(prefix: str, replicates: int) -> None:
+    """Masses, scores and weights of the Bayesian bootstrap."""
+    cte(
+        f"{prefix}masses",
+        f"""SELECT cell_id, cnt, copies, replicate, coalesce(arg_min(d * v, attempt) FILTER (accepted), any_value(d)) AS mass FROM (
+      SELECT *, v > 0 AND ln({uniform(_MASS_KEY, 2)}) <
+        0.5e0 * x * x + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1e0 END) AS accepted FROM (
+        SELECT *, pow(1e0 + 1e0 / sqrt(9e0 * d) * x, 3) AS v FROM (
+          SELECT *, copies - 1e0 / 3e0 AS d, {normal(_MASS_KEY)} AS x FROM (
+            SELECT *, {key("'dirichlet'", "'1234'", "cell_id", "cnt", "replicate")} AS key_text
+            FROM class_copies, range(1, {replicates + 1}) r(replicate), range(1, 13) a(attempt)))))
+    GROUP BY cell_id, cnt, copies, replicate""",
+    )
+    cte(
+        f"{prefix}boot",
+        f"""SELECT replicate, model_name, n_trials * weighted / total_mass AS z FROM (
+      SELECT replicate, model_name, sum(mass * elpd) AS weighted
+      FROM points64 JOIN {prefix}masses USING (cell_id, cnt) GROUP BY replicate, model_name)
+    JOIN (SELECT replicate, sum(mass) AS total_mass, sum(copies) AS n_trials FROM {prefix}masses GROUP BY replicate) USING (replicate)""",
+    )
+    cte(
+        f"{prefix}boot_weights",
+        f"""SELECT replicate, model_name, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY replicate) AS weight
+    FROM (SELECT *, max(z) OVER (PARTITION BY replicate) AS top FROM {prefix}boot)""",
+    )
+
+
+boot_chain("", 2880)
+boot_chain("few_", 50)
 
 # Draws ---------------------------------------------------------------------
 
 cte("study_weights", "SELECT model_name, weight FROM m64_stacked")
 
 # The whole path of weighting.
-cte("rough", "SELECT model_name, avg(weight) AS weight FROM boot_weights GROUP BY model_name HAVING log10(avg(weight)) > -100")
+cte("rough", "SELECT model_name, avg(weight) AS weight FROM few_boot_weights GROUP BY model_name HAVING log10(avg(weight)) > -100")
 cte("rough_chunks", "SELECT model_name, row_number() OVER (ORDER BY round(ln(weight), 6) DESC NULLS LAST, model_name) % 4 + 1 AS chunk FROM rough")
 cte("rough_points", "SELECT p.*, chunk FROM points64 p JOIN rough_chunks USING (model_name)")
 em_chain("rc_", "rough_points", 0, "chunk")

@@ -157,6 +157,16 @@ def test_classes_equal_single_trials(spark, mixed):
     assert a == pytest.approx(b, abs=0.08)
 
 
+def test_blocked_bootstrap_equals_the_joins(spark, mixed):
+    """The product in blocks against one row per class, model and replicate."""
+    table, _ = mixed
+    p = points(spark, table, [1 + i % 4 for i in range(60)])
+    masses = weights.bootstrap_masses(p, 200, 1234)
+    want = {(r.replicate, r.model_name): r.weight for r in weights.replicate_weights(weights.bootstrap_scores(p, masses)).collect()}
+    got = {(r.replicate, r.model_name): r.weight for r in weights.bootstrap_weights(p, 200).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and len(got) == 1200
+
+
 def test_chunks_are_stacked_apart(spark, mixed):
     _, p = mixed
     chunked = weights.balanced_chunks(weights.pseudo_bma(p), 2)

@@ -7,6 +7,7 @@ scores are the case ``copies = 1``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ LEAST_WEIGHT = 1e-12
 MOST_ACTIVE = 64
 POWERS = (1, 64)
 FEW_PARTS = 32
+# Replicates of a bootstrap block.
+BLOCK = 96
 
 
 def pseudo_bma(points: DataFrame) -> DataFrame:
@@ -79,11 +82,68 @@ def replicate_weights(scores: DataFrame) -> DataFrame:
     return with_top.withColumn("weight", part / F.sum(part).over(by_rep)).drop("top")
 
 
+def class_masses(cell_id: int, cnt: int, copies: float, first: int, last: int, seed: int, attempts: int = 12) -> np.ndarray:
+    """Masses of one class in replicates first to last, those of ``bootstrap_masses``."""
+    d = copies - 1 / 3
+    out = np.full(last - first + 1, d)
+    left = np.arange(len(out))
+    for attempt in range(1, attempts + 1):
+        keys = (f"dirichlet|{seed}|{cell_id}|{cnt}|{first + r}|{attempt}" for r in left.tolist())
+        raw = np.frombuffer(b"".join(hashlib.md5(k.encode()).digest() for k in keys), ">u4").reshape(-1, 4)
+        u = (raw[:, :3].astype(float) + 0.5) / 2.0**32
+        x = np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * np.pi * u[:, 1])
+        v = (1 + x / np.sqrt(9 * d)) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            good = (v > 0) & (np.log(u[:, 2]) < 0.5 * x * x + d - d * v + d * np.log(v))
+        out[left[good]] = d * v[good]
+        left = left[~good]
+        if not len(left):
+            break
+    return out
+
+
+def bootstrap_weights(points: DataFrame, replicates: int = 2880, seed: int = 1234) -> DataFrame:
+    """(replicate, model_name, z, weight) of every replicate, as a product of matrices.
+
+    A class is one row with all models' scores. The task that holds it makes its
+    masses for a block of replicates and adds masses times scores, so no row is
+    made per class, model and replicate; a task returns one matrix per block, and
+    a block's matrices are added and turned into weights by one task each.
+    """
+    names = sorted(r[0] for r in points.select("model_name").distinct().collect())
+    rows = points.groupBy(*CLASS).agg(
+        F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("model_name", "elpd"))).alias("models")
+    )
+    packed = stage(rows.select(*CLASS, "copies", F.col("models.elpd").alias("scores")), "scores")
+    blocks = [(i, min(i + BLOCK, replicates + 1) - 1) for i in range(1, replicates + 1, BLOCK)]
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), packed.rdd.getNumPartitions())
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            scores, copies = np.stack(pdf["scores"].to_numpy()), pdf["copies"].to_numpy(float)
+            table = np.c_[scores, np.ones(len(pdf))]
+            for k, (first, last) in enumerate(blocks):
+                mass = np.stack([class_masses(c, n, m, first, last, seed) for c, n, m in zip(pdf["cell_id"], pdf["cnt"], copies)])
+                sums[k] = sums.get(k, 0.0) + np.c_[mass.T @ table, np.full(last - first + 1, copies.sum())]
+        yield pd.DataFrame({"block": list(sums), "part": [v.tobytes() for v in sums.values()]})
+
+    def finish(key, pdf):
+        first, last = blocks[int(key[0])]
+        total = sum(map(np.frombuffer, pdf["part"])).reshape(last - first + 1, -1)
+        z = total[:, :-2] / total[:, -2:-1] * total[:, -1:]
+        w = np.exp(z - z.max(1, keepdims=True))
+        w /= w.sum(1, keepdims=True)
+        who = np.arange(first, last + 1)
+        return pd.DataFrame({"replicate": np.repeat(who, len(names)), "model_name": names * len(who), "z": z.ravel(), "weight": w.ravel()})
+
+    parts = packed.repartition(tasks, *CLASS).mapInPandas(run, "block int, part binary")
+    return parts.groupBy("block").applyInPandas(finish, "replicate int, model_name string, z double, weight double")
+
+
 def pseudo_bma_bootstrap(points: DataFrame, replicates: int = 2880, seed: int = 1234) -> DataFrame:
     """Pseudo-BMA+ weights: mean over Bayesian-bootstrap replicates of the softmax."""
-    masses = bootstrap_masses(points, replicates, seed)
-    per_replicate = replicate_weights(bootstrap_scores(points, masses))
-    return per_replicate.groupBy("model_name").agg(F.avg("weight").alias("weight"))
+    return bootstrap_weights(points, replicates, seed).groupBy("model_name").agg(F.avg("weight").alias("weight"))
 
 
 def worker_averages(per_replicate: DataFrame, workers: int) -> DataFrame:

@@ -38,7 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Sizes of the registered queries; the operators take them as arguments.
-REPLICATES = 50
+REPLICATES = 2880
+PATH_REPLICATES = 50
 LOO_DRAWS = 200
 EV_DRAWS = 400
 EFFECT_DRAWS = 4000
@@ -491,11 +492,7 @@ def w2(spark, sf_dir):
 
 @query("w3_worker_average")
 def w3(spark, sf_dir):
-    points = pooled_study(spark, sf_dir).staged_points
-    masses = weights.bootstrap_masses(points, REPLICATES, 1234)
-    return weights.worker_averages(
-        weights.replicate_weights(weights.bootstrap_scores(points, masses)), 5
-    )
+    return weights.worker_averages(weights.bootstrap_weights(pooled_study(spark, sf_dir).staged_points, REPLICATES), 5)
 
 
 @query("w4_cutoff", digits=4)
@@ -563,17 +560,26 @@ def w11(spark, sf_dir):
     return weights.survivors(study.candidates.select("model_name", "count_formula", "hurdle_formula"), first)
 
 
-@query("w12_final_stacking")
-def w12(spark, sf_dir):
+def _weighting_path(study: Study, replicates: int) -> DataFrame:
     """The whole path: bootstrap weights, cutoff, chunks, stacking per chunk, stacking of what is left."""
-    study = pooled_study(spark, sf_dir)
     settings = study.candidates.select("model_name", "count_formula", "hurdle_formula")
-    rough = weights.cutoff(weights.pseudo_bma_bootstrap(study.staged_points, REPLICATES))
+    rough = weights.cutoff(weights.pseudo_bma_bootstrap(study.staged_points, replicates))
     chunked = tables.stage(weights.balanced_chunks(rough, CHUNKS), "chunked")
     first = weights.first_pass(study.staged_points, chunked, tol=study.tol)
     return weights.final_stacking(study.staged_points, weights.survivors(settings, first).drop("weight"), tol=study.tol)
 
 
+@query("w12_final_stacking")
+def w12(spark, sf_dir):
+    return _weighting_path(pooled_study(spark, sf_dir), PATH_REPLICATES)
+
+
+@query("w12b_final_stacking_whole")
+def w12b(spark, sf_dir):
+    """The path over all replicates; its statement would not end in time."""
+    return _weighting_path(pooled_study(spark, sf_dir), REPLICATES)
+
+
 def _weighted(study: Study) -> DataFrame:
     return study.weights.join(study.candidates, "model_name")
 
