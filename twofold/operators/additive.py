@@ -269,18 +269,17 @@ def additive_draws(index: DataFrame, candidates: DataFrame, fitted: DataFrame, s
     )
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     normals = sides.join(size, ["side", "component"]).repartition(tasks, "model_name", "draw_in_model").withColumn("z", z)
-    rows = fitted.select("side", "component", "place", "value", "factor").collect()  # sides times parameters, whatever the draws
+    used = fitted.join(sides.select("side", "component").distinct(), ["side", "component"], "left_semi")
+    rows = used.select("side", "component", "place", "value", "factor").collect()  # sides of drawn models, whatever the draws
     fits: dict = {}
     for r in sorted(rows, key=lambda r: r["place"]):
         fits.setdefault((r["side"], r["component"]), []).append((r["value"], np.array(r["factor"])))
-    shared = index.sparkSession.sparkContext.broadcast(
-        {k: (np.array([v for v, _ in f]), np.stack([a for _, a in f])) for k, f in fits.items()}
-    )
+    arrays = {k: (np.array([v for v, _ in f]), np.stack([a for _, a in f])) for k, f in fits.items()}
 
     def move(batches):
         for pdf in batches:
             for key, part in pdf.groupby(["side", "component"]):
-                at, factor = shared.value[key]
+                at, factor = arrays[key]
                 values = np.stack(part["z"].to_numpy()) @ factor.T + at
                 yield part.drop(columns="z").assign(values=values.tolist())
 
