@@ -51,3 +51,32 @@ def test_few_and_no_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest(frame(spark, rows)).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]
     assert nearest(frame(spark, rows).where("vec_id > 9")).count() == 0
+
+
+def test_recall_with_heavy_tailed_lengths(spark):
+    rng = np.random.default_rng(4)
+    ids = np.arange(8000)
+    x = rng.normal(size=(8000, 32)) * np.exp(rng.normal(size=(8000, 1)))
+    got = {}
+    for r in nearest(frame(spark, [(int(i), v.tolist(), 0, 1, "c") for i, v in zip(ids, x)])).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(x, ids, 20)
+    assert sum(len({i for i, _ in best} & got[q]) for q, best in want.items()) / (20 * len(want)) >= 0.9
+
+
+def test_very_many_copies_and_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 2.0], 0, 0, "") for i in range(3000)] + [(i, (0.1 * rng.normal(size=3)).tolist(), 0, 0, "") for i in range(3000, 3500)]
+    rows += [(7, [1.0, 2.0, 2.0], 0, 0, "")] * 500 + [(9, [9.0, 9.0, 9.0], 0, 0, "")]
+    got = {}
+    for r in nearest(frame(spark, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(got) == 175
+    for q in range(0, 3000, 20):
+        assert got[q] == [(9, 45.0)] + [(i, 9.0) for i in [i for i in range(21) if i not in (9, q)][:19]]
+
+
+def test_double_precision_input_keeps_its_digits(spark):
+    data = [(0, [1.0, 0.0]), (1, [0.1, 0.3]), (2, [0.1 + 1e-12, 0.3])]
+    rows = nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(2, 0.1 + 1e-12), (1, 0.1)]
