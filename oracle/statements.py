@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.tables import EFFECT_NAMES, link, quantiles, spread, statement, uniform
+from oracle.tables import EFFECT_NAMES, curves, link, quantiles, spread, statement, uniform
 
 ORACLE: dict[str, str] = {}
 
@@ -546,6 +546,26 @@ expect(
     "y",
     "ndensity",
 )
+
+
+def _alpha(grid: str) -> str:
+    return f"""SELECT component, i, j, CASE WHEN z >= 1 THEN 1e0 WHEN component = 'count' THEN z * z ELSE z END AS alpha,
+  CASE WHEN z IS NOT NULL THEN least(z, 1e0) END AS plot_alpha FROM {grid}"""
+
+
+def _relative(grid: str) -> str:
+    return f"SELECT component, i, j, x, y, z / max(z) OVER (PARTITION BY component) AS ndensity FROM {grid}"
+
+
+# Whole grids, all components and classes
+expect("k4b_density_all_components", "SELECT * FROM jp_whole", "x", "y", "z", digits=4)
+expect("k4c_density_source_family", "SELECT * FROM sf_whole", "x", "y", "z", digits=4)
+expect("k5b_alpha_all_components", _alpha("jp_whole"), "alpha", "plot_alpha", digits=4)
+expect("k5c_alpha_source_family", _alpha("sf_whole"), "alpha", "plot_alpha", digits=4)
+expect("k6c_density_all_classes", curves("class_rows"), "x", "density", digits=4)
+expect("k6d_density_source_family", curves("sf_classes"), "x", "density", digits=4)
+expect("k7b_normalised_all_components", _relative("bp_whole"), "x", "y", "ndensity")
+expect("k7c_normalised_source_family", _relative("fs_whole"), "x", "y", "ndensity")
 expect(
     "k8_parent_child",
     """SELECT component, draw_id, parent, child, child IS NULL AS child_missing, largest, -largest / 5e0 AS panel_start FROM (

@@ -765,7 +765,28 @@ GROUP BY component, i, j, gx, gy""",
     )
 
 
+def whole_density(prefix: str, points: str, n: int = 400) -> None:
+    """Exact density on an n x n grid of every component, null without a spread: sums over points as products of lists."""
+    if f"{prefix}frame" not in CTES:
+        density_chain(prefix, points)
+    for axis in "xy":
+        at = f"{axis}0 + ({axis}1 - {axis}0) * i / {n - 1}e0"
+        cte(
+            f"{prefix}{axis}_kernel",
+            f"""SELECT component, i, g, list(coalesce(exp(-0.5e0 * pow((g - v) / h, 2)), 0e0) ORDER BY draw_id) AS k{axis}
+FROM (SELECT f.component, CAST(i AS INTEGER) AS i, {at} AS g, p.draw_id, p.{axis} AS v, f.h{axis} AS h
+  FROM {prefix}frame f JOIN {points} p USING (component), range({n}) a(i)) GROUP BY component, i, g""",
+        )
+    cte(
+        f"{prefix}whole",
+        f"""SELECT component, a.i, b.i AS j, a.g AS x, b.g AS y,
+  CASE WHEN hx > 0 AND hy > 0 THEN list_dot_product(kx, ky) / {PI2} / (n * hx * hy) END AS z
+FROM {prefix}x_kernel a JOIN {prefix}y_kernel b USING (component) JOIN {prefix}frame USING (component)""",
+    )
+
+
 density_chain("jp_", "joint_points")
+whole_density("jp_", "joint_points")
 cte(
     "wide_effects",
     """SELECT component, draw_id, max(effect_size) FILTER (factor = 'Genus') AS parent,
@@ -777,6 +798,43 @@ cte(
     "SELECT component, draw_id, child AS x, parent AS y FROM wide_effects WHERE child IS NOT NULL AND parent IS NOT NULL",
 )
 density_chain("bp_", "both_points")
+whole_density("bp_", "both_points")
+
+# The same for the pair of source site and family
+cte("source_rows", "SELECT component, draw_id, effect_size FROM there WHERE factor = 'Source Site'")
+cte("family_rows", "SELECT component, draw_id, effect_size FROM there WHERE factor = 'Family (RE)'")
+cte(
+    "source_family",
+    """SELECT component, draw_id, s.effect_size AS parent, f.effect_size AS child
+FROM source_rows s FULL JOIN family_rows f USING (component, draw_id)""",
+)
+cte(
+    "sf_points",
+    """SELECT component, draw_id, parent AS x, coalesce(child, 0e0) AS y FROM source_family
+WHERE parent < 1.5 AND coalesce(child, 0e0) < 1.5""",
+)
+cte("fs_points", "SELECT component, draw_id, child AS x, parent AS y FROM source_family WHERE parent <= 1.5 AND child <= 1.5")
+cte(
+    "sf_classes",
+    """SELECT component, draw_id, 'Family (RE)' AS class, effect_size FROM family_rows
+UNION ALL SELECT component, draw_id, CASE WHEN child IS NULL THEN 'Source Site without Family (RE)' ELSE 'Source Site with Family (RE)' END, parent
+FROM source_family WHERE parent IS NOT NULL""",
+)
+whole_density("sf_", "sf_points")
+whole_density("fs_", "fs_points")
+
+
+def curves(rows: str, n: int = 41) -> str:
+    """Exact density of every class of ``rows`` on n points, null without a spread."""
+    return f"""SELECT component, class, CAST(i AS INTEGER) AS i, any_value(lo + (hi - lo) * i / {n - 1}e0) AS x,
+  CASE WHEN any_value(h) > 0 THEN sum(exp(-0.5e0 * pow((lo + (hi - lo) * i / {n - 1}e0 - effect_size) / h, 2)))
+    / sqrt(6.283185307179586e0) / any_value(n * h) END AS density
+FROM (SELECT *, 0.9e0 * ({spread('sd', 'a', 'b')}) * pow(n, -0.2e0) AS h FROM (
+    SELECT component, class, count(effect_size)::DOUBLE AS n, min(effect_size) AS lo, max(effect_size) AS hi,
+      stddev_samp(effect_size) AS sd, quantile_cont(effect_size, 0.25) AS a, quantile_cont(effect_size, 0.75) AS b
+    FROM {rows} WHERE effect_size IS NOT NULL GROUP BY component, class)) f
+  JOIN {rows} r USING (component, class), range({n}) g(i) WHERE effect_size IS NOT NULL
+GROUP BY component, class, i"""
 
 # Contrast study ------------------------------------------------------------
 

@@ -1022,13 +1022,17 @@ def _density(study: Study, points: DataFrame, n: int = GRID) -> DataFrame:
     return density.density_2d(tables.stage(points, "points"), n)
 
 
-def _joint_density(spark, sf_dir, n: int = GRID) -> DataFrame:
+HOST_PAIR = ("Genus", "Host Site")
+SOURCE_PAIR = ("Source Site", "Family (RE)")
+
+
+def _joint_density(spark, sf_dir, n: int = GRID, pair: tuple[str, str] = HOST_PAIR) -> DataFrame:
     study = effect_study(spark, sf_dir)
-    return _density(study, density.joint_points(study.staged_effects, "Genus", "Host Site"), n)
+    return _density(study, density.joint_points(study.staged_effects, *pair), n)
 
 
 # The statements of k4 to k7 leave out groups without a density; their second forms
-# below hold all of them, on the full grid.
+# below hold all of them, on the full grid, their third those of source and family.
 
 
 @query("k4_density_2d", digits=4)
@@ -1041,6 +1045,11 @@ def k4b(spark, sf_dir):
     return _joint_density(spark, sf_dir, WHOLE_GRID)
 
 
+@query("k4c_density_source_family", digits=4)
+def k4c(spark, sf_dir):
+    return _joint_density(spark, sf_dir, WHOLE_GRID, SOURCE_PAIR)
+
+
 @query("k5_alpha", digits=4)
 def k5(spark, sf_dir):
     grid = _joint_density(spark, sf_dir).where(F.col("z").isNotNull())
@@ -1053,9 +1062,15 @@ def k5b(spark, sf_dir):
     return density.with_alpha(grid).select("component", "i", "j", "alpha", "plot_alpha")
 
 
-def _class_density(spark, sf_dir) -> DataFrame:
+@query("k5c_alpha_source_family", digits=4)
+def k5c(spark, sf_dir):
+    grid = _joint_density(spark, sf_dir, WHOLE_GRID, SOURCE_PAIR)
+    return density.with_alpha(grid).select("component", "i", "j", "alpha", "plot_alpha")
+
+
+def _class_density(spark, sf_dir, pair: tuple[str, str] = HOST_PAIR) -> DataFrame:
     study = effect_study(spark, sf_dir)
-    rows = tables.stage(density.class_labels(study.staged_effects, "Genus", "Host Site"), "classes")
+    rows = tables.stage(density.class_labels(study.staged_effects, *pair), "classes")
     return density.density_1d(rows, ["component", "class"], "effect_size", CURVE)
 
 
@@ -1069,6 +1084,11 @@ def k6c(spark, sf_dir):
     return _class_density(spark, sf_dir)
 
 
+@query("k6d_density_source_family", digits=4)
+def k6d(spark, sf_dir):
+    return _class_density(spark, sf_dir, SOURCE_PAIR)
+
+
 @query("k6b_class_intervals")
 def k6b(spark, sf_dir):
     study = effect_study(spark, sf_dir)
@@ -1078,9 +1098,9 @@ def k6b(spark, sf_dir):
     )
 
 
-def _pair_density(spark, sf_dir, n: int = GRID) -> DataFrame:
+def _pair_density(spark, sf_dir, n: int = GRID, pair: tuple[str, str] = HOST_PAIR) -> DataFrame:
     study = effect_study(spark, sf_dir)
-    wide = density.parent_child(study.staged_effects, "Genus", "Host Site", 1.5)
+    wide = density.parent_child(study.staged_effects, *pair, 1.5)
     points = wide.where(~F.col("child_missing") & F.col("parent").isNotNull()).select(
         "component", "draw_id", F.col("child").alias("x"), F.col("parent").alias("y")
     )
@@ -1097,6 +1117,11 @@ def k7b(spark, sf_dir):
     return _pair_density(spark, sf_dir, WHOLE_GRID)
 
 
+@query("k7c_normalised_source_family")
+def k7c(spark, sf_dir):
+    return _pair_density(spark, sf_dir, WHOLE_GRID, SOURCE_PAIR)
+
+
 @query("k8_parent_child")
 def k8(spark, sf_dir):
     study = effect_study(spark, sf_dir)
