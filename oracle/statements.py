@@ -421,16 +421,17 @@ expect(
     "prevalence",
 )
 _SHARE = """SELECT {0}, avg((wanted = found)::INT) FILTER (component = 'count') AS prop_count,
-  avg((wanted = found)::INT) FILTER (component = 'prop') AS prop_hu FROM held GROUP BY {0}"""
-expect("e13_share_by_cell", _SHARE.format("cell_id"), "prop_count", "prop_hu")
-expect("e13b_share_by_draw", _SHARE.format("draw_id"), "prop_count", "prop_hu")
-expect(
-    "e13c_common_terms",
-    f"""SELECT term FROM (SELECT DISTINCT model_name, unnest(count_terms) AS term, k FROM (
+  avg((wanted = found)::INT) FILTER (component = 'prop') AS prop_hu FROM {1} GROUP BY {0}"""
+_COMMON = """SELECT term FROM (SELECT DISTINCT model_name, unnest(count_terms) AS term, k FROM (
   SELECT m.*, count(*) OVER () AS k FROM models64 m WHERE model_name IN (
-    SELECT model_name FROM d400_index JOIN ({_SHARE.format('draw_id')}) USING (draw_id) WHERE prop_count > 0.5 AND prop_hu > 0.5)))
-GROUP BY term, k HAVING count(*) = k""",
-)
+    SELECT model_name FROM d400_index JOIN ({}) USING (draw_id) WHERE prop_count > 0.5 AND prop_hu > 0.5)))
+GROUP BY term, k HAVING count(*) = k"""
+expect("e13_share_by_cell", _SHARE.format("cell_id", "held"), "prop_count", "prop_hu")
+expect("e13b_share_by_draw", _SHARE.format("draw_id", "held"), "prop_count", "prop_hu")
+expect("e13c_common_terms", _COMMON.format(_SHARE.format("draw_id", "held")))
+expect("e13d_share_by_cell_all_terms", _SHARE.format("cell_id", "held_all"), "prop_count", "prop_hu")
+expect("e13e_share_by_draw_all_terms", _SHARE.format("draw_id", "held_all"), "prop_count", "prop_hu")
+expect("e13f_common_terms_all_terms", _COMMON.format(_SHARE.format("draw_id", "held_all")))
 
 # Effects
 expect("x1_factor_table", "SELECT DISTINCT kind, term, level, factor FROM d4000_draws JOIN factor_labels USING (term)")

@@ -603,6 +603,27 @@ cte(
 AND NOT (term = 'host' AND level = 'AFRICA') AND NOT (term = 'source' AND level = 'AFRICA')
 AND NOT (term = 'genus' AND level = 'A') AND NOT (term = 'native' AND level = 'false')""",
 )
+# What a cell asks for under all terms that vary: nothing where one of a term's factors is at its reference level.
+cte(
+    "at_reference",
+    """SELECT cell_id, term AS factor FROM cell_levels
+WHERE (term, level) IN (('host', 'AFRICA'), ('source', 'AFRICA'), ('genus', 'A'), ('native', 'false'))""",
+)
+cte(
+    "needed_all",
+    """SELECT cell_id, term, level FROM cell_levels JOIN (SELECT term FROM usable) USING (term)
+WHERE (cell_id, term) NOT IN (
+  SELECT c.cell_id, c.term FROM (SELECT cell_id, term, unnest(string_split(term, ':')) AS factor FROM cell_levels) c
+  JOIN at_reference USING (cell_id, factor))""",
+)
+cte(
+    "held_all",
+    """SELECT d.draw_id, c.cell_id, s.component, count(n.term) AS wanted, count(p.term) AS found
+FROM d400_index d CROSS JOIN cells c CROSS JOIN (VALUES ('count'), ('prop')) s(component)
+LEFT JOIN needed_all n ON n.cell_id = c.cell_id
+LEFT JOIN d400_draws p ON p.draw_id = d.draw_id AND p.component = s.component AND p.term = n.term AND p.level = n.level
+GROUP BY d.draw_id, c.cell_id, s.component""",
+)
 cte(
     "held",
     """SELECT d.draw_id, c.cell_id, s.component, count(n.term) AS wanted, count(p.term) AS found

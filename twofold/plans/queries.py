@@ -822,7 +822,7 @@ def e13c(spark, sf_dir):
 
 
 def _share_of_all_terms(spark, sf_dir, by: str) -> DataFrame:
-    """Share over every term that varies in the trials; the statements of e13 have four."""
+    """Share over every term that varies in the trials; e13 has four."""
     study = ev_study(spark, sf_dir)
     terms = [r["term"] for r in modelspace.usable_terms(study.cells).orderBy("bit").collect()]
     return expected.complete_share(study.cells, study.draws, by, terms, study.reference)
