@@ -65,3 +65,11 @@ def test_odd_rows(spark, table):
 
 def test_empty_table(spark, table):
     assert without_repeats(table([(1, "a")]).where("doc_id > 1")).count() == 0
+
+
+def test_very_long_texts(spark, table):
+    rng = random.Random(5)
+    long = [f"v{rng.randrange(400)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[500:40_000] + ["z"] + long[:900])), (3, " ".join(long[59_980:] + long[:15]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, " ".join(r.kept.split())) for r in without_repeats(table(rows), with_text=True).collect())
+    assert got == sorted(brute(rows))

@@ -198,7 +198,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = []
             for doc, text, items in zip(pdf["doc_id"], pdf["text"], pdf["items"]):
                 tokens = words(text)
-                upper = (window_hashes(word_hashes(tokens), window) >> np.uint64(32)).astype(np.uint32)
+                full = window_hashes(word_hashes(tokens), window)
+                upper = (full >> np.uint64(32)).astype(np.uint32)
+                # Different windows may share these 32 bits; such a one goes to every reference named for them.
+                values, often = np.unique(np.unique(full) >> np.uint64(32), return_counts=True)
+                shared = np.isin(upper, values[often > 1].astype(np.uint32))
                 by: dict[tuple, list[bytes]] = {}
                 shares = 1
                 for it in items:
@@ -209,7 +213,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 found = {k: np.isin(upper, np.frombuffer(b"".join(w), np.uint32)) for k, w in by.items()}
                 for (other, share), mask in sorted(found.items(), key=lambda x: (x[0][0] is not None, -int(x[1].sum()), x[0][0] or 0)):
                     if other is not None:
-                        mask, free = mask & free, free & ~mask
+                        mask, free = mask & free, free & (~mask | shared)
                     for a, b in _runs(mask):
                         body = b" ".join(tokens[a : b + window - 1])
                         for s in range(shares) if other is None else (share,):
