@@ -3,7 +3,9 @@ from itertools import combinations
 
 import pytest
 
-from twofold.llm.ngram_join import features, ngram_components, signatures
+from pyspark.sql import functions as F
+
+from twofold.llm.ngram_join import across_components, features, ngram_components, signatures
 
 
 def brute(rows, num=75, den=100):
@@ -78,3 +80,31 @@ def test_odd_rows(spark, table):
 
 def test_empty_table(spark, table):
     assert ngram_components(table([(1, "a")]).where("doc_id > 1")).count() == 0
+
+
+def near_copies(rng, n, least, most):
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for doc in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(least, most)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(40)}"
+        rows.append((doc, " ".join(copy)))
+    return rows
+
+
+def test_many_near_copies_of_one_text_equal_brute_force(spark, table):
+    rows = near_copies(random.Random(7), 90, 0, 9)
+    got = {r.doc_id: r.component_id for r in ngram_components(table(rows), few=2, common=3, hubs=1).collect()}
+    assert len(set(got.values())) > 5
+    assert got == brute(rows)
+
+
+def test_copies_too_far_apart_to_be_linked_make_no_pairs(spark, table):
+    rows = near_copies(random.Random(8), 80, 6, 6)
+    texts = table(rows).select(F.col("doc_id").alias("comp"), F.lit(1).alias("members"), "text")
+    found = {(r.a, r.b) for r in across_components(texts, 5, 75, 100, 64, 16).collect()}
+    sets = {d: set(features(t, 5).tolist()) for d, t in rows}
+    linked = {(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked <= found
+    assert len(found) < 80 * 79 // 2 // 4
